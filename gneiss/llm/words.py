@@ -3,19 +3,18 @@
 A batch of texts is handled as one long array of 64-bit word hashes with the
 bounds of each text, so that shingles, windows and minimisers of thousands of
 texts cost a few vector operations. Words are runs of bytes other than
-``\\x20 \\x09-\\x0D``; that is what :meth:`bytes.split` cuts at.
+``\\x20 \\x09-\\x0D``, as :meth:`bytes.split` cuts them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 
-#: Odd multiplier of the positional hash, and its inverse modulo 2**64.
+#: Odd multipliers of the positional hash of words, and a second one for a second hash.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -34,32 +33,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashes(words: Sequence[bytes]) -> np.ndarray:
-    """A stable 64-bit hash of each word."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    values = np.empty(len(words), object)
-    values[:] = words
-    return pd.util.hash_array(values, categorize=len(words) > 64)
+_BYTES = np.uint64(0xD6E8FEB86659FD93)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_powers: dict[int, np.ndarray] = {}
 
 
-def batch(texts: Iterable[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Word hashes of all texts on end, bounds (one more than texts) and the words."""
-    words = [encode(t, lower).split() for t in texts]
-    bounds = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) for w in words], out=bounds[1:])
-    return hashes([w for ws in words for w in ws]), bounds, words
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) or more, modulo 2**64; kept for the next batch."""
+    held = _powers.get(int(base))
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 16), base)
+        held[0] = 1
+        held = _powers[int(base)] = np.cumprod(held, dtype=np.uint64)
+    return held
+
+
+def inverse(base: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(base), -1, 1 << 64))
+
+
+def batch(texts: Iterable[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts on end, and bounds (one more than texts).
+
+    No object is made for a word: words are ranges of the joined bytes, and
+    their hashes differences of one running sum.
+    """
+    parts = [encode(t, lower) for t in texts]
+    data = np.frombuffer(b"\n".join([*parts, b""]) or b"\n", np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[data]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[0::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BYTES, len(data) + 1)[: len(data)], dtype=np.uint64, out=sums[1:])
+    back = powers(inverse(_BYTES), len(data) + 1)
+    words = mix((sums[end] - sums[start]) * back[start] + mix((end - start).astype(np.uint64)))
+    at = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(p) + 1 for p in parts], out=at[1:])
+    return words, np.searchsorted(start, at).astype(np.int64)
 
 
 class Ranges:
     """Hashes of any range of a word array in constant time each."""
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, base: np.uint64 = BASE):
         n = len(words)
-        self._powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE)]), dtype=np.uint64)
-        self._back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, INVERSE)]), dtype=np.uint64)
+        self._back = powers(inverse(base), n + 1)
         self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * self._powers[:-1], dtype=np.uint64, out=self._sums[1:])
+        np.cumsum(words * powers(base, n + 1)[:n], dtype=np.uint64, out=self._sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self._sums[end] - self._sums[start]) * self._back[start]
