@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import jaccard, pii, quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1_pii,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_warc": warc.op10_warc,
 }
 
 SQL: dict[str, str] = {
+    "op9_jaccard_join": jaccard.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
