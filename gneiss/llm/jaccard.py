@@ -7,8 +7,9 @@ counted over all documents in a sketch of fixed size, whose errors cost time
 but lose nothing. Documents with equal sets are one member; members with equal
 prefix and size are one group, which stands once in the inverted lists.
 
-Links are needed up to connectivity. So each list first links its members to
-one pivot, a number of pairs linear in the list; sets verify them. Components
+Links are needed up to connectivity. So each member is first held against one
+pivot, the least member that a list has in common with it: no more pairs than
+members. Components
 of what is linked are then known, and only pairs of a list that lie in
 different components and pass the size and position filters are expanded to
 members and verified. Pairs within a component are never listed, which is what
@@ -157,23 +158,22 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     """
     rows = cut(prefixes(docs, how))
     members = cut(rows.where("n > 0 and doc_id is not null").groupBy("set_id", "group_id", "n").agg(F.min("doc_id").alias("id")))
-    heads = members.groupBy("group_id").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size"))
-    heads = cut(heads)
+    heads = cut(members.groupBy("group_id").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")))
     # Inverted lists over group heads; tokens that only one group has are of no use.
     first = rows.join(counted(heads.select(F.col("head").alias("doc_id"))), "doc_id", "left_semi")
     entries = first.select(F.col("doc_id").alias("head"), "n", F.posexplode("prefix").alias("at", "token"))
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1")
     lists = cut(entries.join(shared, "token"))
     pivots = cut(lists.groupBy("token").agg(F.min(F.struct("head", "n", "at")).alias("p")).select("token", F.col("p.head").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.at").alias("pivot_at")))
-    stars = lists.join(pivots, "token").where(F.col("head") > F.col("pivot")).where(_fits("n", "at", "pivot_n", "pivot_at", how)).select(F.col("pivot").alias("a"), F.col("head").alias("b"))
-    grouped = members.join(heads.where("size > 1").drop("size"), "group_id").select("id", "head", "n")
-    grouped = cut(grouped)
+    stars = lists.join(pivots, "token").where(F.col("head") > F.col("pivot")).where(_fits("n", "at", "pivot_n", "pivot_at", how)).groupBy("head").agg(F.min("pivot").alias("a")).select("a", F.col("head").alias("b"))
+    grouped = cut(members.join(heads.where("size > 1").drop("size"), "group_id").select("id", "head", "n"))
     inside = grouped.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    near = cut(verify(cut(stars.unionByName(inside).distinct()), docs, how))
+    tried = cut(stars.unionByName(inside).distinct())
+    near = cut(verify(tried, docs, how))
     found = components(near)
     # What the stars left open: pairs of a list in different components.
     known = counted(found)
-    wide = lists.where("entries > 2").join(counted(grouped.select("head", F.col("id").alias("other"))), "head", "left")
+    wide = lists.join(counted(grouped.select("head", F.col("id").alias("other"))), "head", "left")
     within = grouped.join(grouped.groupBy("head").agg(F.count(F.lit(1)).alias("s")).where("s > 2"), "head").select("head", F.col("head").alias("token"), F.lit(1).alias("kind"), "id", "n", F.lit(0).alias("at"), F.col("head").alias("pivot"))
     entered = wide.join(pivots.select("token", "pivot"), "token").select("head", "token", F.lit(0).alias("kind"), F.coalesce("other", "head").alias("id"), "n", "at", "pivot").unionByName(within)
     placed = entered.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -181,8 +181,9 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     placed = cut(placed.join(counted(of_pivot), "pivot", "left").withColumn("pivot_component", F.coalesce("pivot_component", "pivot")))
     x = placed.where("component <> pivot_component").select("token", "kind", "head", "pivot", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "at", "component")])
     y = placed.select("token", "kind", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "at", "component")])
-    open_ = x.join(y, ["token", "kind"]).where((F.col("x_component") != F.col("y_component")) & ((F.col("y_id") != F.col("pivot")) | (F.col("x_id") != F.col("head")))).where(_fits("x_n", "x_at", "y_n", "y_at", how))
-    rest = cut(open_.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct())
+    open_ = x.join(y, ["token", "kind"]).where(F.col("x_component") != F.col("y_component")).where(_fits("x_n", "x_at", "y_n", "y_at", how))
+    rest = open_.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+    rest = cut(rest.join(counted(tried), ["a", "b"], "left_anti"))
     more = cut(verify(rest, docs, how))
     if more.limit(1).count():
         lead = found.select(F.col("id").alias("v"), "component")
