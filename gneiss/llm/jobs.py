@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,12 +27,30 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is ``spark.checkpoint.dir``; only where that is unset (tests,
     notebooks in local mode) a temporary folder is taken.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gneiss-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or the one set where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gneiss-"))
+    return root or spark.sparkContext.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder; smaller than a checkpoint where rows are many.
+
+    Tables stay there like checkpoint files of a session that ended; whoever
+    owns the folder empties it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a narrow table that has been counted and is small; else as it is.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import arrow_schema, cut, table
+from .jobs import arrow_schema, shared_folder, table
 
 #: Records in an archive file at most; three make a capture.
 RECORDS_PER_FILE = 6_000
@@ -182,11 +182,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def captures(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write the pages to archives in the shared folder, read them back, assemble."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        cut(spark.range(1))
-        root = spark.sparkContext.getCheckpointDir()
-    path = f"{root}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, min_bytes=min_bytes)
     return assemble(read(spark, path, payloads=False))
 
