@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, pii, quality_rules, warc
+from . import cotraining, fingerprint, jaccard, licenses, mixing, packing, pii, quality_rules, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
+    "op2_licenses": licenses.op2_licenses,
+    "op3_fingerprint": fingerprint.op3_fingerprint,
+    "op4_quality": cotraining.op4_quality,
+    "op5_substring_dedup": substring.op5_substring_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_packing": packing.op8_packing,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_warc": warc.op10_warc,
 }
 
 SQL: dict[str, str] = {
+    "op5_substring_dedup": substring.OP5_SQL,
     "op9_jaccard_join": jaccard.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
