@@ -28,7 +28,7 @@ from .jobs import map_rows, table
 from .quality_rules import CLASSES, char_classes, duplicate_lines, repeated_words
 from .words import batch, encode
 
-HASHED = 2_048
+HASHED = 1_024
 NAMES = 32  # hash buckets for sources and for languages
 _GRAM = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,9 +37,9 @@ _GRAM = np.uint64(0x9E3779B97F4A7C15)
 class Training:
     """Bounds of the sample and of the rounds."""
 
-    labelled: int = 4_000
-    pool: int = 4_000
-    rounds: int = 4
+    labelled: int = 3_000
+    pool: int = 3_000
+    rounds: int = 3
     share: float = 0.1  # of the pool, at most, that a view labels in a round
     confidence: float = 0.95
     held_out: float = 0.25
@@ -112,25 +112,25 @@ def page(texts: list[str | None], langs: list[str | None], sources: list[str | N
     return np.hstack([shape, names]).astype(np.float32)
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 150, ridge: float = 1e-3) -> View:
+def fit(x: np.ndarray, y: np.ndarray, steps: int = 80, ridge: float = 1e-3) -> View:
     """Logistic regression by accelerated gradient steps; classes weigh the same."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-    z = (x - mean) / scale
-    weight = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
-    w, b, v, c = np.zeros(z.shape[1]), 0.0, np.zeros(z.shape[1]), 0.0
-    top = np.ones(z.shape[1]) / np.sqrt(z.shape[1])
+    z, y = ((x - mean) / scale).astype(np.float32), y.astype(np.float32)
+    weight = (np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)).astype(np.float32)
+    w, b, v, c = np.zeros(z.shape[1], np.float32), np.float32(0), np.zeros(z.shape[1], np.float32), np.float32(0)
+    top = np.full(z.shape[1], 1 / np.sqrt(z.shape[1]), np.float32)
     for _ in range(12):  # the largest curvature, by power iteration
         top = z.T @ (weight * (z @ top))
         curve = float(np.linalg.norm(top))
         top /= max(curve, 1e-12)
-    rate = 1 / (0.25 * (curve + 1) + ridge)
+    rate, ridge = np.float32(1 / (0.25 * (curve + 1) + ridge)), np.float32(ridge)
     for k in range(steps):
-        m = k / (k + 3)
+        m = np.float32(k / (k + 3))
         pw, pb = w + m * (w - v), b + m * (b - c)
         g = weight * (sigmoid(z @ pw + pb) - y)
         v, c = w, b
-        w, b = pw - rate * (z.T @ g + ridge * pw), pb - rate * float(g.sum())
-    return View(mean, scale, w, b)
+        w, b = pw - rate * (z.T @ g + ridge * pw), pb - rate * g.sum()
+    return View(mean, scale, w, float(b))
 
 
 def calibrate(view: View, x: np.ndarray, y: np.ndarray) -> None:
