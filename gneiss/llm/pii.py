@@ -143,16 +143,22 @@ def disclosing(docs: DataFrame, found: DataFrame, how: Disclosure) -> DataFrame:
     near = found.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.entity", "m.term", "m.context")
     pairs = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts"))
     pairs = cut(pairs.where(F.col("contexts") >= how.least_contexts))
+    held = found.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
+    n_entity = held.join(counted(pairs.select("entity").distinct()), "entity", "left_semi").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    total = F.lit(float(docs.count()))
+
+    def share(n_term: str):  # noqa: ANN202
+        ic = F.log(total / F.col("n_entity"))
+        return F.when(ic > 0, F.log(F.col("n_both") * total / (F.col("n_entity") * F.col(n_term))) / ic).otherwise(0.0)
+
+    # A term is in as many documents at least as it is near entities in: that alone rules most pairs out.
+    n_near = near.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    pairs = cut(pairs.join(n_entity, "entity").join(n_near, "term").where(share("n_near") >= min(how.remove, how.generalise)))
     terms = counted(pairs.select("term").distinct())
     folded = F.split(F.translate("text", UPPER, LOWER), r"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
     words = docs.select(F.explode(F.array_distinct(folded)).alias("term")).where(F.char_length("term") >= how.least_letters)
     n_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    held = found.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
-    n_entity = held.join(counted(pairs.select("entity").distinct()), "entity", "left_semi").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    total = F.lit(float(docs.count()))
-    ic = F.log(total / F.col("n_entity"))
-    pmi = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    out = pairs.join(n_term, "term").join(n_entity, "entity").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0))
+    out = pairs.join(n_term, "term").withColumn("share", share("n_term"))
     kind = F.when(F.col("share") >= how.remove, 4).when(F.col("share") >= how.generalise, 5)
     return out.withColumn("kind", kind).where("kind is not null").select("entity", "term", "share", "kind")
 
