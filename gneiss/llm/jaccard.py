@@ -12,7 +12,8 @@ pivot, the least member that a list has in common with it: no more pairs than
 members. Components
 of what is linked are then known, and only pairs of a list that lie in
 different components and pass the size and position filters are expanded to
-members and verified. Pairs within a component are never listed, which is what
+members and verified. Before sets are fetched, a few bits of each set bound
+from below in how many tokens a pair differs, which rules most pairs out. Pairs within a component are never listed, which is what
 keeps groups of near copies from growing with their square.
 """
 
@@ -101,7 +102,7 @@ def prefixes(docs: DataFrame, how: Likeness) -> DataFrame:
     shift = np.uint64(64 - SKETCH_BITS)
 
     def work(piece: dict[str, list]) -> dict[str, list]:
-        n, sets, groups, prefix = [], [], [], []
+        n, sets, groups, prefix, odd = [], [], [], [], []
         for s in shingles(piece["text"], how.shingle):
             keep = len(s) - -(-how.num * len(s) // how.den) + 1 if len(s) else 0
             key = (levels.value[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16))
@@ -110,9 +111,40 @@ def prefixes(docs: DataFrame, how: Likeness) -> DataFrame:
             sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             groups.append(hashlib.blake2b(first.tobytes() + len(s).to_bytes(8, "big"), digest_size=16).digest())
             prefix.append(first.view(np.int64))
-        return {"doc_id": piece["doc_id"], "n": n, "set_id": sets, "group_id": groups, "prefix": prefix}
+            odd.append(parity(s))
+        return {"doc_id": piece["doc_id"], "n": n, "set_id": sets, "group_id": groups, "prefix": prefix, "odd": odd}
 
-    return map_rows(docs.select("doc_id", "text"), work, "doc_id long, n int, set_id binary, group_id binary, prefix array<long>")
+    return map_rows(docs.select("doc_id", "text"), work, "doc_id long, n int, set_id binary, group_id binary, prefix array<long>, odd binary")
+
+
+def parity(tokens: np.ndarray) -> bytes:
+    """Bits that each token flips, two to four for a token: a sixteenth of the set's size at most."""
+    bits = 1 << max(6, (2 * len(tokens)).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """How many bits differ: never more than the sets have tokens that are in one of them only."""
+    a, b = sorted((np.unpackbits(np.frombuffer(v, np.uint8)) for v in (x, y)), key=len)
+    return int(np.count_nonzero(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)))
+
+
+def sift(pairs: DataFrame, rows: DataFrame, how: Likeness) -> DataFrame:
+    """Leaves out pairs (a, b) that differ in too many bits to be linked; loses none that is."""
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    marks = rows.select("doc_id", "n", "odd").join(counted(ids), "doc_id", "left_semi")
+    num, den = how.num, how.den
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = b.to_pydict()
+            ok = [(den + num) * differing(x, y) <= (den - num) * (n + m) for x, y, n, m in zip(c["x"], c["y"], c["n"], c["m"], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    x, y = marks.alias("x"), marks.alias("y")
+    with_b = pairs.join(y, F.col("b") == F.col("y.doc_id")).select("a", "b", F.col("n").alias("m"), F.col("odd").alias("y"))
+    both = with_b.join(x, F.col("a") == F.col("x.doc_id")).select("a", "b", "n", "m", F.col("odd").alias("x"), "y")
+    return cut(both.mapInArrow(near, "a long, b long"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, how: Likeness) -> DataFrame:
@@ -162,14 +194,14 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     # Inverted lists over group heads; tokens that only one group has are of no use.
     first = rows.join(counted(heads.select(F.col("head").alias("doc_id"))), "doc_id", "left_semi")
     entries = first.select(F.col("doc_id").alias("head"), "n", F.posexplode("prefix").alias("at", "token"))
-    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1")
-    lists = cut(entries.join(shared, "token"))
+    shared = cut(entries.groupBy("token").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("token"))
+    lists = cut(entries.join(counted(shared), "token"))
     pivots = cut(lists.groupBy("token").agg(F.min(F.struct("head", "n", "at")).alias("p")).select("token", F.col("p.head").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.at").alias("pivot_at")))
     stars = lists.join(pivots, "token").where(F.col("head") > F.col("pivot")).where(_fits("n", "at", "pivot_n", "pivot_at", how)).groupBy("head").agg(F.min("pivot").alias("a")).select("a", F.col("head").alias("b"))
     grouped = cut(members.join(heads.where("size > 1").drop("size"), "group_id").select("id", "head", "n"))
     inside = grouped.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     tried = cut(stars.unionByName(inside).distinct())
-    near = cut(verify(tried, docs, how))
+    near = cut(verify(sift(tried, rows, how), docs, how))
     found = components(near)
     # What the stars left open: pairs of a list in different components.
     known = counted(found)
@@ -184,7 +216,7 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     open_ = x.join(y, ["token", "kind"]).where(F.col("x_component") != F.col("y_component")).where(_fits("x_n", "x_at", "y_n", "y_at", how))
     rest = open_.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     rest = cut(rest.join(counted(tried), ["a", "b"], "left_anti"))
-    more = cut(verify(rest, docs, how))
+    more = cut(verify(sift(rest, rows, how), docs, how))
     if more.limit(1).count():
         lead = found.select(F.col("id").alias("v"), "component")
         ends = more.join(lead, F.col("a") == F.col("v"), "left").select(F.coalesce("component", "a").alias("a"), "b").join(lead, F.col("b") == F.col("v"), "left").select("a", F.coalesce("component", "b").alias("b"))
