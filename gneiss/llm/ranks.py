@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .jobs import cut
 
 #: Rows that a task numbers at once, about.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 5_000
 
 
 def running(df: DataFrame, group: str, order: list[str], amount: str | None = None, rows: int | None = None) -> DataFrame:
