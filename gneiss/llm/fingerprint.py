@@ -103,7 +103,7 @@ def _following():  # noqa: ANN202
     return Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
 
 
-def followed(docs: DataFrame, per_block: int = 4_096) -> tuple[DataFrame, DataFrame]:
+def followed(docs: DataFrame, per_block: int = 1_024) -> tuple[DataFrame, DataFrame]:
     """Each document with the text of the next one: the row with the next smaller doc_id, after the last the first.
 
     Ids are cut into ranges of about ``per_block`` documents (``block``). Inside
