@@ -29,6 +29,8 @@ from .jobs import counted, cut, map_rows, table
 
 KINDS = ("email", "ip", "card", "phone", "term", "general")
 BASE_KINDS = 4
+#: The name of added spans while they stand beside a caller's own columns.
+ADDED = "_gneiss_added"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A run of digits is taken whole, so that a long one costs no more than its length.
@@ -207,15 +209,15 @@ def sanitise(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     joined to it; those are few unless a corpus discloses a lot.
     """
     names = docs.columns
-    spans = find(docs, how).where(F.size("added") > 0).select("doc_id", "added").dropDuplicates(["doc_id"])
+    spans = find(docs, how).where(F.size("added") > 0).select("doc_id", F.col("added").alias(ADDED)).dropDuplicates(["doc_id"])
     with_spans = docs.join(counted(cut(spans)), "doc_id", "left")
 
     def work(piece: dict[str, list]) -> dict[str, list]:
-        new = [rewrite(t, base_spans(t) + [(x["start"], x["kind"], x["end"]) for x in more or []]) for t, more in zip(piece["text"], piece["added"], strict=True)]
+        new = [rewrite(t, base_spans(t) + [(x["start"], x["kind"], x["end"]) for x in more or []]) for t, more in zip(piece["text"], piece[ADDED], strict=True)]
         return {c: piece[c] for c in names} | {"text": new} | ({"n_chars": [None if t is None else len(t) for t in new]} if "n_chars" in names else {})
 
     ddl = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_rows(with_spans.select("text", *[c for c in names if c != "text"], "added"), work, ddl)
+    return map_rows(with_spans.select("text", *[c for c in names if c != "text"], ADDED), work, ddl)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
