@@ -232,7 +232,9 @@ def first_of_each(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     """The documents that are the least of their component; of repeated rows one stays."""
     keep = cut(join(docs, how).where("doc_id = component_id or doc_id is null").select("doc_id").distinct())
     kept = docs.join(counted(keep.where("doc_id is not null")), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    twice = counted(cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 and doc_id is not null").select("doc_id")))
+    once, again = kept.join(twice, "doc_id", "left_anti"), kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(docs.columns).unionByName(again.select(docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import cut, table
+from .jobs import counted, cut, table
 from .ranks import running
 
 
@@ -106,7 +106,7 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, how: M
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, how: Mix = Mix()) -> DataFrame:
     """The documents of the mix: those scheduled before any source runs out."""
     keep = cut(schedule(docs.where("doc_id is not null"), weights, how).where("in_mix").select("doc_id").distinct())
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(counted(keep), "doc_id", "left_semi").select(docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import counted, cut, map_rows, table
+from .jobs import cut, map_rows, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term", "general")
 BASE_KINDS = 4
@@ -146,7 +146,7 @@ def disclosing(docs: DataFrame, found: DataFrame, how: Disclosure) -> DataFrame:
     pairs = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts"))
     pairs = cut(pairs.where(F.col("contexts") >= how.least_contexts))
     held = found.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
-    n_entity = held.join(counted(pairs.select("entity").distinct()), "entity", "left_semi").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    n_entity = held.join(written(pairs.select("entity").distinct()), "entity", "left_semi").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     total = F.lit(float(docs.count()))
 
     def share(n_term: str):  # noqa: ANN202
@@ -156,7 +156,7 @@ def disclosing(docs: DataFrame, found: DataFrame, how: Disclosure) -> DataFrame:
     # A term is in as many documents at least as it is near entities in: that alone rules most pairs out.
     n_near = near.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     pairs = cut(pairs.join(n_entity, "entity").join(n_near, "term").where(share("n_near") >= min(how.remove, how.generalise)))
-    terms = counted(pairs.select("term").distinct())
+    terms = written(pairs.select("term").distinct())  # Spark broadcasts it if the files are small
     folded = F.split(F.translate("text", UPPER, LOWER), r"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
     words = docs.select(F.explode(F.array_distinct(folded)).alias("term")).where(F.char_length("term") >= how.least_letters)
     n_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
@@ -174,14 +174,14 @@ def find(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     are not looked at.
     """
     found = cut(scan(docs, how))
-    pairs = cut(disclosing(docs, found, how))
+    pairs = written(disclosing(docs, found, how))
     spot = F.col("p")
     near = found.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.entity", "m.term", "m.places")
-    spans = near.join(counted(pairs.drop("share")), ["entity", "term"]).select("doc_id", "kind", F.explode("places").alias("p"))
+    spans = near.join(pairs.drop("share"), ["entity", "term"]).select("doc_id", "kind", F.explode("places").alias("p"))
     added = spans.groupBy("doc_id", spot["start"].alias("start"), spot["end"].alias("end")).agg(F.min("kind").alias("kind"))
     added = added.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return found.select("doc_id", "base").join(counted(cut(added)), "doc_id", "left").withColumn("added", F.coalesce("added", none))
+    return found.select("doc_id", "base").join(written(added), "doc_id", "left").withColumn("added", F.coalesce("added", none))
 
 
 def rewrite(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
@@ -210,7 +210,7 @@ def sanitise(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """
     names = docs.columns
     spans = find(docs, how).where(F.size("added") > 0).select("doc_id", F.col("added").alias(ADDED)).dropDuplicates(["doc_id"])
-    with_spans = docs.join(counted(cut(spans)), "doc_id", "left")
+    with_spans = docs.join(written(spans), "doc_id", "left")
 
     def work(piece: dict[str, list]) -> dict[str, list]:
         new = [rewrite(t, base_spans(t) + [(x["start"], x["kind"], x["end"]) for x in more or []]) for t, more in zip(piece["text"], piece[ADDED], strict=True)]
