@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalog_queries, generation_queries, validation_queries
+from .plans import catalog_queries, generation_queries, relational_queries, validation_queries
 
-QUERIES = validation_queries.QUERIES | catalog_queries.QUERIES | generation_queries.QUERIES
-SQL = validation_queries.SQL | catalog_queries.SQL | generation_queries.SQL
+QUERIES = validation_queries.QUERIES | relational_queries.QUERIES | catalog_queries.QUERIES | generation_queries.QUERIES
+SQL = validation_queries.SQL | relational_queries.SQL | catalog_queries.SQL | generation_queries.SQL
