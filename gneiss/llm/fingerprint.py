@@ -117,11 +117,16 @@ def followed(docs: DataFrame, per_block: int = 1_024) -> tuple[DataFrame, DataFr
     block = F.coalesce(F.floor((F.col("doc_id") - F.lit(bounds["lo"] or 0)) / F.lit(width)).cast("long"), F.lit(-1))
     rows = docs.withColumn("block", block)
     seams = cut(rows.groupBy("block").agg(F.max("doc_id").alias("first_id")))
-    wide = Window.partitionBy(F.lit(0)).orderBy(F.desc("block"))
+    # The next range that has rows: among a thousand neighbours, else by the first one of the next thousand.
+    seams = seams.withColumn("thousand", F.floor(F.col("block") / 1_000))
+    mine = F.struct("block", "first_id")
+    tops = seams.groupBy("thousand").agg(F.max(mine).alias("top"))
+    wide = Window.partitionBy(F.lit(0)).orderBy(F.desc("thousand"))
     ends = wide.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = seams.select("block", F.lead("first_id").over(wide).alias("next_id"), F.lead("block").over(wide).alias("next_block"), F.first("first_id").over(ends).alias("top_id"), F.first("block").over(ends).alias("top_block"))
-    last = F.col("next_block").isNull()
-    after = cut(after.select("block", F.when(last, F.col("top_id")).otherwise(F.col("next_id")).alias("seam_id"), F.when(last, F.col("top_block")).otherwise(F.col("next_block")).alias("seam_block")))
+    tops = cut(tops.select("thousand", F.lead("top").over(wide).alias("below"), F.first("top").over(ends).alias("first")))
+    below = F.lead(mine).over(Window.partitionBy("thousand").orderBy(F.desc("block")))
+    after = seams.withColumn("next", below).join(tops, "thousand").select("block", F.coalesce("next", "below", "first").alias("next"))
+    after = cut(after.select("block", F.col("next.first_id").alias("seam_id"), F.col("next.block").alias("seam_block")))
     heads = rows.join(counted(after.select("seam_id", "seam_block").distinct()), F.col("doc_id").eqNullSafe(F.col("seam_id")) & (F.col("block") == F.col("seam_block")))
     heads = heads.groupBy("seam_block").agg(F.max("text").alias("seam_text"))
     seam = cut(after.join(heads, "seam_block").select("block", "seam_text"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: A piece of a batch that is worked on at once has at most this many characters (or one text).
 PIECE_CHARS = 1_500_000
 PIECE_ROWS = 4_000
-#: Rows of two numbers up to which a table may be broadcast after it has been counted (16 MB).
-BROADCAST_ROWS = 1_000_000
+#: Rows of one or two numbers up to which a table may be broadcast after it has been counted (70 MB as a hash table).
+BROADCAST_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
