@@ -19,9 +19,11 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,16 +210,20 @@ def sanitise(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     Base spans are found again where the text is, so only added spans are
     joined to it; those are few unless a corpus discloses a lot.
     """
-    names = docs.columns
     spans = find(docs, how).where(F.size("added") > 0).select("doc_id", F.col("added").alias(ADDED)).dropDuplicates(["doc_id"])
-    with_spans = docs.join(written(spans), "doc_id", "left")
-
-    def work(piece: dict[str, list]) -> dict[str, list]:
-        new = [rewrite(t, base_spans(t) + [(x["start"], x["kind"], x["end"]) for x in more or []]) for t, more in zip(piece["text"], piece[ADDED], strict=True)]
-        return {c: piece[c] for c in names} | {"text": new} | ({"n_chars": [None if t is None else len(t) for t in new]} if "n_chars" in names else {})
-
-    ddl = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_rows(with_spans.select("text", *[c for c in names if c != "text"], ADDED), work, ddl)
+    with_spans = docs.join(written(spans), "doc_id", "left").select(*docs.columns, ADDED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                b = whole.slice(at, 1_000)
+                c = b.select(["text", ADDED]).to_pydict()
+                new = [rewrite(t, base_spans(t) + [(x["start"], x["kind"], x["end"]) for x in more or []]) for t, more in zip(c["text"], c[ADDED], strict=True)]
+                made = {"text": new, "n_chars": [None if t is None else len(t) for t in new]}
+                fields = [f for f in b.schema if f.name != ADDED]
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else b.column(f.name) for f in fields], schema=pa.schema(fields))
+
+    return with_spans.mapInArrow(run, docs.schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
