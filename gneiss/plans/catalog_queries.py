@@ -347,3 +347,60 @@ SQL |= {
     "value_profile": " union all ".join(f"select '{c}' as column_name, count(distinct {c})::BIGINT as distinct_values, count(*) filter ({c} is null)::BIGINT as nulls, min({c}::VARCHAR) as least, max({c}::VARCHAR) as greatest from customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")),
     "top_parents": "select c_nationkey, place, c_custkey, orders from (select c_nationkey, c_custkey, n as orders, row_number() over (partition by c_nationkey order by n desc, c_custkey) as place from customer join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey) where place <= 3",
 }
+
+
+# Indexes, references that share columns, reports, statements ---------------------------
+OWNED = [("users_pkey", "users", "CREATE UNIQUE INDEX users_pkey ON users USING btree (id)", True), ("users_email", "users", "CREATE UNIQUE INDEX users_email ON users USING btree (lower(email))", False), ("orders_at", "orders", "CREATE INDEX orders_at ON orders USING btree (placed)", False), ("tags_slug", "tags", "CREATE UNIQUE INDEX tags_slug ON tags USING btree (upper(label))", False)]
+SHARED: Catalog = {
+    t.name: t
+    for t in (
+        table("tenants", "id int", "id"), table("people", "tenant int, id int", "tenant,id", (), (("tenant", "tenants", "id"),)), table("rooms", "tenant int, id int", "tenant,id", (), (("tenant", "tenants", "id"),)),
+        table("bookings", "id int, tenant int, person int, room int", "id", (), (("tenant,person", "people", "tenant,id"), ("tenant,room", "rooms", "tenant,id"))), table("notes", "id int, tenant int, person int", "id", (), (("tenant", "tenants", "id"), ("tenant,person", "people", "tenant,id"))),
+    )
+}
+
+
+def index_obligations(spark: SparkSession, d: str) -> DataFrame:
+    """What the indexes that no constraint owns ask of their tables: a key, a key in lower case, nothing, or not read."""
+    i = spark.createDataFrame(OWNED, "index_name string, table_name string, definition string, owned boolean")
+    owned = i.where("owned").select("index_name")
+    r = i.join(owned, "index_name", "left_anti").withColumn("r", shapes.index(F.col("definition")))
+    asks = F.when(F.col("r.reading") == "columns", "unique").when(F.col("r.reading") == "lowered", "unique in lower case").when(F.col("r.reading") == "harmless", "nothing").otherwise("not read")
+    return r.select("index_name", "table_name", asks.alias("asks"))
+
+
+def class_entangled(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of references of a table that share a column, and whether the wider one has all of the other."""
+    r = frames(spark, SHARED)["references"].select("table_name", "ordinal", "columns", "parent")
+    a, b = r.alias("a"), r.alias("b")
+    pairs = a.join(b, (F.col("a.table_name") == F.col("b.table_name")) & (F.col("a.ordinal") < F.col("b.ordinal")) & F.arrays_overlap("a.columns", "b.columns"))
+    covered = (F.size(F.array_except("a.columns", "b.columns")) == 0) | (F.size(F.array_except("b.columns", "a.columns")) == 0)
+    return pairs.select(F.col("a.table_name").alias("table_name"), F.col("a.parent").alias("first_parent"), F.col("b.parent").alias("second_parent"), covered.alias("covered"))
+
+
+def rep_outcome(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a run: each table filled with how many rows, fewer than asked for or not, or refused."""
+    rows = synthesis.sizes(TIGHT, {"users": 20})
+    made = [(n, "filled" if n in rows else "refused", rows.get(n, 0), rows.get(n, 0) < ({"users": 20}.get(n, 50)) and n in rows) for n in sorted(TIGHT)]
+    return spark.createDataFrame(made, "table_name string, outcome string, rows long, capped boolean")
+
+
+def insert_statements(spark: SparkSession, d: str) -> DataFrame:
+    """A table as INSERT statements, a line each: numbers bare, texts quoted, nulls as NULL."""
+    return shapes_of_rows(read(spark, d, "nation"), "nation")
+
+
+def shapes_of_rows(df: DataFrame, name: str) -> DataFrame:
+    """The rows of a table as INSERT statements; ``write.text`` puts them into files."""
+    texts = {f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "date", "timestamp", "timestamp_ntz")}
+    values = [F.coalesce(shapes.quoted(F.col(c).cast("string")) if c in texts else F.col(c).cast("string"), F.lit("NULL")) for c in df.columns]
+    return df.select(F.concat(F.lit(f'INSERT INTO "{name}" ({", ".join(chr(34) + c + chr(34) for c in df.columns)}) VALUES ('), F.concat_ws(", ", *values), F.lit(");")).alias("statement"))
+
+
+QUERIES |= {"index_obligations": index_obligations, "class_entangled": class_entangled, "rep_outcome": rep_outcome, "lit_insert": insert_statements}
+SQL |= {
+    "index_obligations": _values([("users_email", "users", "unique in lower case"), ("orders_at", "orders", "nothing"), ("tags_slug", "tags", "not read")], "index_name VARCHAR, table_name VARCHAR, asks VARCHAR"),
+    "class_entangled": _values([("bookings", "people", "rooms", False), ("notes", "tenants", "people", True)], "table_name VARCHAR, first_parent VARCHAR, second_parent VARCHAR, covered BOOLEAN"),
+    "rep_outcome": _values([("codes", "filled", 36, True), ("flags", "filled", 2, True), ("grants", "filled", 40, True), ("levels", "filled", 12, True), ("moods", "filled", 3, True), ("narrow", "filled", 6, True), ("opaque", "refused", 0, False), ("roles", "filled", 2, True), ("users", "filled", 20, False)], "table_name VARCHAR, outcome VARCHAR, rows BIGINT, capped BOOLEAN"),
+    "lit_insert": """select 'INSERT INTO "nation" ("n_nationkey", "n_name", "n_regionkey") VALUES (' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ');' as statement from nation""",
+}
