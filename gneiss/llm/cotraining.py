@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import map_rows, table
+from .jobs import map_batches, map_rows, table
 from .quality_rules import CLASSES, char_classes, duplicate_lines, repeated_words
 from .words import batch, encode
 
@@ -37,8 +37,8 @@ _GRAM = np.uint64(0x9E3779B97F4A7C15)
 class Training:
     """Bounds of the sample and of the rounds."""
 
-    labelled: int = 3_000
-    pool: int = 3_000
+    labelled: int = 2_000
+    pool: int = 2_000
     rounds: int = 3
     share: float = 0.1  # of the pool, at most, that a view labels in a round
     confidence: float = 0.95
@@ -204,13 +204,15 @@ def sample(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[list[np.n
         return {"doc_id": piece["doc_id"], "y": piece["y"], "at": at, "x": [r[i] for r, i in zip(x, at, strict=True)], "page": list(page(piece["text"], piece["lang"], piece["source"]))}
 
     rows = map_rows(docs.select("text", "doc_id", "lang", "source").join(F.broadcast(few), "doc_id").select("text", "doc_id", "lang", "source", "y"), work, "doc_id long, y int, at array<int>, x array<float>, page array<float>")
-    got = rows.limit(len(wanted)).toPandas()
+    got = rows.limit(len(wanted)).toArrow().combine_chunks()
+    if not got.num_rows:
+        return [np.zeros((0, 1)), np.zeros((0, 1))], np.zeros(0)
+    at, values, shape = (got.column(c).chunk(0) for c in ("at", "x", "page"))
+    x = np.zeros((got.num_rows, HASHED), np.float32)
+    x[np.repeat(np.arange(got.num_rows), np.diff(at.offsets.to_numpy())), at.values.to_numpy()] = values.values.to_numpy()
     place = {d: i for i, d in enumerate(wanted)}
-    got = got.sort_values("doc_id", key=lambda ids: ids.map(place), kind="stable")
-    x = np.zeros((len(got), HASHED), np.float32)
-    for i, (at, values) in enumerate(zip(got["at"], got["x"], strict=True)):
-        x[i, at] = values
-    return [x, np.stack(got["page"].to_list()) if len(got) else np.zeros((0, 1))], got["y"].to_numpy()
+    order = np.argsort([place[d] for d in got.column("doc_id").to_pylist()], kind="stable")
+    return [x[order], shape.values.to_numpy().reshape(got.num_rows, -1)[order]], got.column("y").to_numpy()[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
@@ -259,7 +261,7 @@ def accepted(docs: DataFrame, labels: DataFrame, how: Training = Training()) ->
                 ok = judged(model.value, part.select(["text", "lang", "source"]).to_pydict(), how)[3]
                 yield part.filter(pa.array(ok))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

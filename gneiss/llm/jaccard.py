@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .jobs import arrow_schema, counted, cut, map_rows, pieces, table
+from .jobs import arrow_schema, counted, cut, map_batches, map_rows, pieces, table
 from .words import Ranges, batch, starts
 
 SKETCH_BITS = 20
@@ -91,7 +91,7 @@ def sketch(docs: DataFrame, how: Likeness) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary())], schema=schema)
 
     levels = np.zeros(size, np.uint16)
-    for chunk, counts in docs.select("text").mapInArrow(count, ddl).repartition(16, "chunk").mapInArrow(add, ddl).collect():
+    for chunk, counts in map_batches(map_batches(docs.select("text"), count, ddl).repartition(16, "chunk"), add, ddl).collect():
         levels[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(counts, np.uint16)
     return levels
 
@@ -144,7 +144,7 @@ def sift(pairs: DataFrame, rows: DataFrame, how: Likeness) -> DataFrame:
     x, y = marks.alias("x"), marks.alias("y")
     with_b = pairs.join(y, F.col("b") == F.col("y.doc_id")).select("a", "b", F.col("n").alias("m"), F.col("odd").alias("y"))
     both = with_b.join(x, F.col("a") == F.col("x.doc_id")).select("a", "b", "n", "m", F.col("odd").alias("x"), "y")
-    return cut(both.mapInArrow(near, "a long, b long"))
+    return cut(map_batches(both, near, "a long, b long"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, how: Likeness) -> DataFrame:
@@ -169,7 +169,7 @@ def verify(pairs: DataFrame, docs: DataFrame, how: Likeness) -> DataFrame:
     x, y = sets.alias("x"), sets.alias("y")
     with_b = pairs.join(y, F.col("b") == F.col("y.doc_id")).select("a", "b", F.col("tokens").alias("y"))
     both = with_b.join(x, F.col("a") == F.col("x.doc_id")).select("a", "b", F.col("tokens").alias("x"), "y")
-    return both.mapInArrow(compare, "a long, b long")
+    return map_batches(both, compare, "a long, b long")
 
 
 def _fits(n: str, at: str, m: str, to: str, how: Likeness):  # noqa: ANN202

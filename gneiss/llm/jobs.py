@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A piece of a batch that is worked on at once has at most this many characters (or one text).
-PIECE_CHARS = 1_500_000
-PIECE_ROWS = 4_000
+PIECE_CHARS = 500_000
+PIECE_ROWS = 2_000
+#: Rows that go to a Python worker at once, where the session has Spark's default of ten thousand. Texts are long.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1_000
 #: Rows of one or two numbers up to which a table may be broadcast after it has been counted (70 MB as a hash table).
 BROADCAST_ROWS = 250_000
 
@@ -67,6 +70,14 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:  # noqa: ANN001
+    """``mapInArrow`` with batches that stay small for texts; a batch size that the session has set is kept."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, "10000") == "10000":
+        conf.set(BATCH, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], ddl: str, chars: int = PIECE_CHARS) -> DataFrame:
     """``work`` over pieces of the rows: dict of columns in, dict of columns out.
 
@@ -81,7 +92,7 @@ def map_rows(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]],
             out = work(piece)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in schema], schema=schema)
 
-    return df.mapInArrow(run, ddl)
+    return map_batches(df, run, ddl)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], weigh: str | None, chars: int = PIECE_CHARS) -> Iterator[dict[str, list]]:

@@ -168,7 +168,7 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
             "start_word": [best[x][1] for x in keys], "end_word": [best[x][2] for x in keys], "n_windows": [best[x][3] for x in keys],
         }
 
-    return map_rows(docs.select("doc_id", "text"), work, "doc_id long, license string, containment double, start_word long, end_word long, n_windows long", 6_000_000)
+    return map_rows(docs.select("doc_id", "text"), work, "doc_id long, license string, containment double, start_word long, end_word long, n_windows long", 2_000_000)
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

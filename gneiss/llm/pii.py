@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import cut, map_rows, table, written
+from .jobs import cut, map_batches, map_rows, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term", "general")
 BASE_KINDS = 4
@@ -223,7 +223,7 @@ def sanitise(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
                 fields = [f for f in b.schema if f.name != ADDED]
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else b.column(f.name) for f in fields], schema=pa.schema(fields))
 
-    return with_spans.mapInArrow(run, docs.schema)
+    return map_batches(with_spans, run, docs.schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .jobs import arrow_schema, map_rows, pieces, table
+from .jobs import arrow_schema, map_batches, map_rows, pieces, table
 from .words import Ranges, batch, starts
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "quote", "letter", "other")
@@ -144,7 +144,7 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, Reference]:
                 held = {}
         yield emit(held)
 
-    counts = docs.select("lang", "text").mapInArrow(run, ddl).groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
+    counts = map_batches(docs.select("lang", "text"), run, ddl).groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
     mine = Window.partitionBy("lang", "kind")
     top = counts.withColumns({"place": F.row_number().over(mine.orderBy(F.desc("n"), "bucket")), "total": F.sum("n").over(mine)})
     out: dict[str, Reference] = {}

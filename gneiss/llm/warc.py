@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import arrow_schema, shared_folder, table
+from .jobs import arrow_schema, map_batches, shared_folder, table
 
 #: Records in an archive file at most; three make a capture.
 RECORDS_PER_FILE = 6_000
@@ -154,7 +154,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(work, RECORD)
+    return map_batches(files, work, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
