@@ -192,10 +192,10 @@ def join(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     members = cut(rows.where("n > 0 and doc_id is not null").groupBy("set_id", "group_id", "n").agg(F.min("doc_id").alias("id")))
     heads = cut(members.groupBy("group_id").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")))
     # Inverted lists over group heads; tokens that only one group has are of no use.
-    first = rows.join(counted(heads.select(F.col("head").alias("doc_id"))), "doc_id", "left_semi")
+    first = rows.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi")
     entries = first.select(F.col("doc_id").alias("head"), "n", F.posexplode("prefix").alias("at", "token"))
     shared = cut(entries.groupBy("token").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("token"))
-    lists = cut(entries.join(counted(shared), "token"))
+    lists = cut(entries.join(shared, "token"))
     pivots = cut(lists.groupBy("token").agg(F.min(F.struct("head", "n", "at")).alias("p")).select("token", F.col("p.head").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.at").alias("pivot_at")))
     stars = lists.join(pivots, "token").where(F.col("head") > F.col("pivot")).where(_fits("n", "at", "pivot_n", "pivot_at", how)).groupBy("head").agg(F.min("pivot").alias("a")).select("a", F.col("head").alias("b"))
     grouped = cut(members.join(heads.where("size > 1").drop("size"), "group_id").select("id", "head", "n"))

@@ -128,10 +128,10 @@ def matches(docs: DataFrame, how: Windows) -> tuple[DataFrame, DataFrame]:
     """
     every = written(blocks(docs, how))
     shared = cut(every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"))
-    rows = written(every.join(counted(shared), "anchor", "left_semi"))
+    rows = written(every.join(shared, "anchor", "left_semi"))
     first = written(rows.groupBy("anchor", "block").agg(F.min(F.struct("doc_id", "at")).alias("first")))
     mixed = cut(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("anchor", F.lit(True).alias("mixed")))
-    placed = rows.join(first, ["anchor", "block"]).join(counted(mixed), "anchor", "left")
+    placed = rows.join(first, ["anchor", "block"]).join(mixed, "anchor", "left")
     copied = F.col("doc_id") > F.col("first.doc_id")
     settled = placed.where(copied | F.coalesce("mixed", F.lit(False))).groupBy("doc_id").agg(
         F.collect_list(F.when(copied, F.struct("at", F.col("first.doc_id").alias("ref"), F.col("first.at").alias("ref_at")))).alias("blocks"),
