@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import map_batches, map_rows, table
+from .jobs import map_batches, map_rows, slices, table
 from .quality_rules import CLASSES, char_classes, duplicate_lines, repeated_words
 from .words import batch, encode
 
@@ -255,11 +255,9 @@ def accepted(docs: DataFrame, labels: DataFrame, how: Training = Training()) ->
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, how))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ok = judged(model.value, part.select(["text", "lang", "source"]).to_pydict(), how)[3]
-                yield part.filter(pa.array(ok))
+        for part in slices(batches, "text"):
+            ok = judged(model.value, part.select(["text", "lang", "source"]).to_pydict(), how)[3]
+            yield part.filter(pa.array(ok))
 
     return map_batches(docs, keep, docs.schema)
 

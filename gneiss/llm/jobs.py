@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A piece of a batch that is worked on at once has at most this many characters (or one text).
-PIECE_CHARS = 500_000
+PIECE_CHARS = 400_000
 PIECE_ROWS = 2_000
 #: Rows that go to a Python worker at once, where the session has Spark's default of ten thousand. Texts are long.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 1_000
+BATCH_ROWS = 500
 #: Rows of one or two numbers up to which a table may be broadcast after it has been counted (70 MB as a hash table).
 BROADCAST_ROWS = 250_000
 
@@ -95,7 +95,8 @@ def map_rows(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]],
     return map_batches(df, run, ddl)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], weigh: str | None, chars: int = PIECE_CHARS) -> Iterator[dict[str, list]]:
+def slices(batches: Iterator[pa.RecordBatch], weigh: str | None, chars: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of at most so many bytes in the column (or one row), and of few rows."""
     import pyarrow.compute as pc
 
     for whole in batches:
@@ -106,5 +107,12 @@ def pieces(batches: Iterator[pa.RecordBatch], weigh: str | None, chars: int = PI
             while end < n and end - at < PIECE_ROWS and (end == at or sizes is None or total + sizes[end] <= chars):
                 total += int(sizes[end]) if sizes is not None else 0
                 end += 1
-            yield whole.slice(at, end - at).to_pydict()
+            yield whole.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
+
+
+def pieces(batches: Iterator[pa.RecordBatch], weigh: str | None, chars: int = PIECE_CHARS) -> Iterator[dict[str, list]]:
+    """The same as dicts of columns."""
+    for part in slices(batches, weigh, chars):
+        yield part.to_pydict()

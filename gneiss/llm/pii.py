@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import cut, map_batches, map_rows, table, written
+from .jobs import cut, map_batches, map_rows, slices, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term", "general")
 BASE_KINDS = 4
@@ -214,14 +214,12 @@ def sanitise(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     with_spans = docs.join(written(spans), "doc_id", "left").select(*docs.columns, ADDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1_000):
-                b = whole.slice(at, 1_000)
-                c = b.select(["text", ADDED]).to_pydict()
-                new = [rewrite(t, base_spans(t) + [(x["start"], x["kind"], x["end"]) for x in more or []]) for t, more in zip(c["text"], c[ADDED], strict=True)]
-                made = {"text": new, "n_chars": [None if t is None else len(t) for t in new]}
-                fields = [f for f in b.schema if f.name != ADDED]
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else b.column(f.name) for f in fields], schema=pa.schema(fields))
+        for b in slices(batches, "text"):
+            c = b.select(["text", ADDED]).to_pydict()
+            new = [rewrite(t, base_spans(t) + [(x["start"], x["kind"], x["end"]) for x in more or []]) for t, more in zip(c["text"], c[ADDED], strict=True)]
+            made = {"text": new, "n_chars": [None if t is None else len(t) for t in new]}
+            fields = [f for f in b.schema if f.name != ADDED]
+            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else b.column(f.name) for f in fields], schema=pa.schema(fields))
 
     return map_batches(with_spans, run, docs.schema)
 

@@ -21,7 +21,7 @@ _BASE = np.uint64(0x8CB92BA72F3D8DD7)
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNSURE = 0, 1, 2, 3, 4
 _SURE = 0x530  # Latin, Greek and Cyrillic with their marks; what lies beyond is encoded text by text
 #: Words to remember at most; then a worker starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def _classes() -> np.ndarray:
