@@ -8,21 +8,27 @@ that at no time a source is a whole block away from its target.
 
 Weights are rounded to a number of slots in a frame, so the schedule repeats
 frame by frame: the slots of one frame (a table whose size does not depend on
-the data) give the slot of any block in closed form.
+the data) give the slot of any block in closed form. When a source has no block
+left, the others go on at renormalised weights from the next frame on: the
+schedule has a piece for each frame in which sources end, and every block has a
+slot in one of them.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import counted, cut, table
+from .jobs import BROADCAST_ROWS, counted, cut, table
 from .ranks import running
 
+#: The name of slots while they stand beside a caller's own columns.
+SLOT = "_gneiss_slot"
+
 
 @dataclass(frozen=True)
 class Mix:
@@ -68,47 +74,87 @@ def frame_slots(slots: Mapping[str, int]) -> dict[str, list[int]]:
     return out
 
 
+def segments(blocks: Mapping[str, int], weights: Mapping[str, float], how: Mix) -> Iterator[tuple[str, int, int, int, int, int, list[int]]]:
+    """source, first block, block after the last, first slot, share, frame and slots within the frame, till no block is left.
+
+    Whole frames repeat until a source has too few blocks for one. The frame in
+    which sources end holds what they have left, and later blocks of it move up;
+    the next one deals without them. All lists together are no longer than the
+    blocks, and each source ends a piece at most once.
+    """
+    left, start = {s: n for s, n in blocks.items() if n > 0 and weights.get(s, 0) > 0}, 0
+    done = dict.fromkeys(left, 0)
+    while left:
+        slots = shares({s: weights[s] for s in left}, how.frame)
+        frame, at = sum(slots.values()), frame_slots(slots)
+        if whole := min(left[s] // k for s, k in slots.items()):
+            for s, k in slots.items():
+                yield s, done[s], done[s] + whole * k, start, k, frame, at[s]
+                done[s], left[s] = done[s] + whole * k, left[s] - whole * k
+            start += whole * frame
+        if all(left.values()):
+            held = {s: at[s][: left[s]] for s in slots}
+            place = {t: i for i, t in enumerate(sorted(t for x in held.values() for t in x))}
+            for s, x in held.items():
+                yield s, done[s], done[s] + len(x), start, len(x), frame, [place[t] for t in x]
+                done[s], left[s] = done[s] + len(x), left[s] - len(x)
+            start += len(place)
+        left = {s: n for s, n in left.items() if n}
+
+
 def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, how: Mix = Mix(), source: str = "source", key: str = "doc_id", size: str = "n_chars") -> DataFrame:
     """key, source, block, slot and in_mix of each document.
 
-    ``slot`` orders the blocks of all sources. A mix of the target weights
-    exists up to the slot at which the first source has no block left;
-    ``in_mix`` tells the documents before it. Later documents keep their slots,
-    and none is left out. Without ``weights`` they are the sources' sizes to
-    ``how.power``. Sources without a weight have a null slot and are not in the
-    mix. A null source is a source of its own (the empty name), a null or
-    negative size counts as 0. Repeated rows are documents each. Sources are
-    taken to be few (their totals come to the driver, a row each); one may hold
-    any share of the rows.
+    ``slot`` orders the blocks of all sources. Without ``weights`` they are the
+    sources' sizes to ``how.power``; all documents are in the mix, and where a
+    source ends the others go on at renormalised weights. With ``weights`` a mix
+    of just these exists up to the slot at which the first source has no block
+    left; ``in_mix`` tells the documents before it. Later documents keep their
+    slots, and none is left out. Sources without a weight have a null slot and
+    are not in the mix. A null source is a source of its own (the empty name), a
+    null or negative size counts as 0. Repeated rows are documents each. Sources
+    are taken to be few (their totals come to the driver, a row each); one may
+    hold any share of the rows.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size"))
     totals = {r["source"]: (r["n"], r["chars"]) for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).collect()}
-    weights = {s: max(chars, 1) ** how.power for s, (_, chars) in totals.items()} if weights is None else weights
-    slots = shares({s: w for s, w in weights.items() if s in totals}, how.frame)
+    blocks = {s: max(0, chars - 1) // how.block_chars + 1 for s, (_, chars) in totals.items()}
+    end = None
+    if weights is None:
+        pieces = list(segments(blocks, {s: max(chars, 1) ** how.power for s, (_, chars) in totals.items()}, how))
+    else:
+        slots = shares({s: w for s, w in weights.items() if s in totals}, how.frame)
+        frame, per = sum(slots.values()), frame_slots(slots)
+        pieces = [(s, 0, blocks[s], 0, k, frame, per[s]) for s, k in sorted(slots.items())]
+        # A source's first slot without a block of its own ends the mix.
+        end = min((blocks[s] // k * frame + per[s][blocks[s] % k] for s, k in slots.items()), default=0)
     spark = docs.sparkSession
-    if not slots:
+    if not pieces:
         return rows.select("doc_id", "source", F.lit(0).cast("long").alias("block"), F.lit(None).cast("long").alias("slot"), F.lit(False).alias("in_mix"))
-    frame, per = sum(slots.values()), frame_slots(slots)
-    blocks = {s: max(0, totals[s][1] - 1) // how.block_chars + 1 for s in slots}
-    # A source's first slot without a block of its own ends the mix.
-    end = min(blocks[s] // slots[s] * frame + per[s][blocks[s] % slots[s]] for s in slots)
-    plan = spark.createDataFrame([(s, k, per[s]) for s, k in sorted(slots.items())], "source string, share int, at array<int>")
+    plan = spark.createDataFrame(pieces, "of string, first long, after long, start long, share int, frame int, at array<int>")
     placed = running(rows, "source", ["doc_id", "size"], "size", rows=sum(n for n, _ in totals.values()))
     # A document that begins where its source ends (it has no characters) is of the last block.
     last = spark.createDataFrame([(s, b - 1) for s, b in sorted(blocks.items())], "source string, last long")
-    block = F.floor(F.col("place") / how.block_chars).cast("long")
-    out = placed.join(F.broadcast(plan.join(last, "source")), "source", "left").withColumn("block", F.least(block, F.coalesce("last", block)))
-    slot = F.floor(F.col("block") / F.col("share")).cast("long") * frame + F.get("at", F.pmod(F.col("block"), F.col("share")).cast("int"))
-    out = out.withColumn("slot", slot.cast("long"))
-    return out.select("doc_id", "source", "block", "slot", F.coalesce(F.col("slot") < end, F.lit(False)).alias("in_mix"))
+    out = placed.join(F.broadcast(last), "source").withColumn("block", F.least(F.floor(F.col("place") / how.block_chars).cast("long"), "last"))
+    found = (F.col("source") == F.col("of")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("after"))
+    out = out.join(F.broadcast(plan) if len(pieces) <= BROADCAST_ROWS else plan, found, "left")
+    i = F.col("block") - F.col("first")
+    slot = F.col("start") + F.floor(i / F.col("share")).cast("long") * F.col("frame") + F.get("at", F.pmod(i, F.col("share")).cast("int"))
+    in_mix = F.col("slot").isNotNull() if end is None else F.coalesce(F.col("slot") < end, F.lit(False))
+    return out.withColumn("slot", slot.cast("long")).select("doc_id", "source", "block", "slot", in_mix.alias("in_mix"))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, how: Mix = Mix()) -> DataFrame:
-    """The documents of the mix: those scheduled before any source runs out."""
-    keep = cut(schedule(docs.where("doc_id is not null"), weights, how).where("in_mix").select("doc_id").distinct())
-    return docs.join(counted(keep), "doc_id", "left_semi").select(docs.columns)
+    """The documents in the order of their slots; only ``weights`` given by the caller drop those beyond the mix.
+
+    Rows of one doc_id stand together at their first slot, rows without a doc_id
+    at the end (``weights`` drop them). Texts are shuffled once, for the order.
+    """
+    slots = schedule(docs.where("doc_id is not null"), weights, how).where("in_mix").groupBy("doc_id").agg(F.min("slot").alias(SLOT))
+    placed = docs.join(counted(cut(slots)), "doc_id", "left" if weights is None else "inner")
+    return placed.orderBy(F.col(SLOT).asc_nulls_last(), "doc_id").select(docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slot of every document in a mix whose sources weigh their size to the power 0.7."""
+    """The slot of every document in a mix of all documents whose sources weigh their size to the power 0.7."""
     return schedule(table(spark, sf_dir, "documents"))

@@ -149,6 +149,48 @@ def test_mix_of_nothing_and_of_whole_rows(spark, corpus):
     assert mixing.schedule(docs, {}).where("in_mix").count() == 0 and mixing.schedule(docs, {"s0": 1}).where("slot is null and source <> 's0'").count() > 0
 
 
+def test_a_source_of_one_document_does_not_end_the_mix(spark, prose):
+    rows = [(i, prose(i, 20 + i % 50), "en", f"s{min(3, i % 10)}") for i in range(600)] + [(900, "one", "en", "lone"), (901, prose("null", 30), "en", None)]
+    how = mixing.Mix(block_chars=300, frame=50)
+    got = mixing.schedule(frame(spark, rows), how=how).collect()
+    assert len(got) == len(rows) and all(r.in_mix for r in got)
+    assert sorted(r.doc_id for r in mixing.mixed(frame(spark, rows), how=how).collect()) == sorted(i for i, *_ in rows)
+    chars = Counter()
+    for _, text, _, s in rows:
+        chars[s or ""] += len(text)
+    blocks = {s: (n - 1) // 300 + 1 for s, n in chars.items()}
+    weights = {s: n**how.power for s, n in chars.items()}
+    # Every block has a slot of its own, without gaps, and blocks of a source follow one another.
+    slot_of = {(s, j): start + (j - first) // k * size + at[(j - first) % k] for s, first, after, start, k, size, at in mixing.segments(blocks, weights, how) for j in range(first, after)}
+    assert set(slot_of) == {(s, j) for s, n in blocks.items() for j in range(n)}
+    assert sorted(slot_of.values()) == list(range(sum(blocks.values())))
+    assert all(slot_of[s, j] < slot_of[s, j + 1] for s, n in blocks.items() for j in range(n - 1))
+    assert all(r.slot == slot_of[r.source, r.block] for r in got)
+    # While several sources last, each is near its share of those that are left.
+    order = [s for (s, _), _ in sorted(slot_of.items(), key=lambda x: x[1])]
+    left, want, given = Counter(blocks), Counter(), Counter()
+    for s in order:
+        total = sum(weights[x] for x in left if left[x])
+        for x in left:
+            if left[x]:
+                want[x] += weights[x] / total
+        given[s] += 1
+        left[s] -= 1
+    assert all(abs(want[s] - blocks[s]) < 0.1 * blocks[s] + 3 for s in blocks)
+
+
+def test_mixed_stands_in_the_order_of_slots(spark, corpus):
+    docs = frame(spark, corpus)
+    how = mixing.Mix(block_chars=700, frame=50)
+    slot = {}
+    for r in mixing.schedule(docs.where("doc_id is not null"), how=how).collect():
+        slot[r.doc_id] = min(r.slot, slot.get(r.doc_id, r.slot))
+    out = [r.doc_id for r in mixing.mixed(docs, how=how).collect()]
+    assert Counter(out) == Counter(i for i, *_ in corpus)
+    known = [i for i in out if i is not None]
+    assert out[: len(known)] == known and known == sorted(known, key=lambda i: (slot[i], i))
+
+
 # Packing ------------------------------------------------------------------------------
 def test_encoder_gives_the_tokenizers_ids(corpus):
     e = Encoder(packing.vocabulary())
