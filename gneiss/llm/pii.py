@@ -9,9 +9,15 @@ entity's own information content. ::
     PMI(c; t) = log(n(c,t) * N / (n(c) * n(t)))     IC(c) = log(N / n(c))
 
 From ``PMI >= remove * IC`` on a term is removed, from ``PMI >= generalise *
-IC`` on it is replaced by what kind of term it is. A pair counts only when the
-term occurs near the entity in a few *different* contexts, so that copies of
-one document do not make all its rare words disclosing.
+IC`` on it is replaced by what kind of term it is. Documents in which the
+entity has the same context count once, so that copies of one document do not
+make all its rare words disclosing. What one of the documents says of the pair
+is estimated from the others, smoothed by one document at the entity's own rate::
+
+    P(c | t) = (n(c,t) - 1 + P(c)) / n(t)     PMI(c; t) = log(P(c | t) / P(c))
+
+so two documents are evidence already, and one alone, all of whose rare words
+would have the full share, is none.
 """
 
 from __future__ import annotations
@@ -51,7 +57,6 @@ class Disclosure:
 
     reach: int = 120
     least_letters: int = 4
-    least_contexts: int = 3
     remove: float = 0.9
     generalise: float = 0.6
 
@@ -142,18 +147,19 @@ def disclosing(docs: DataFrame, found: DataFrame, how: Disclosure) -> DataFrame:
 
     All counts are of documents and run over all of them. They are combined
     before each shuffle, so a frequent entity or term makes no large group. The
-    words of the corpus are counted only for terms that have enough contexts.
+    words of the corpus are counted only for terms that have two contexts.
     """
     near = found.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.entity", "m.term", "m.context")
-    pairs = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts"))
-    pairs = cut(pairs.where(F.col("contexts") >= how.least_contexts))
+    pairs = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_both"))
+    pairs = cut(pairs.where("n_both > 1"))  # one context has no share above 0
     held = found.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
     n_entity = held.join(written(pairs.select("entity").distinct()), "entity", "left_semi").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     total = F.lit(float(docs.count()))
 
     def share(n_term: str):  # noqa: ANN202
-        ic = F.log(total / F.col("n_entity"))
-        return F.when(ic > 0, F.log(F.col("n_both") * total / (F.col("n_entity") * F.col(n_term))) / ic).otherwise(0.0)
+        rate = F.col("n_entity") / total
+        once = F.col(n_term) - F.col("n_docs") + F.col("n_both")  # the entity's copies count once
+        return F.when(rate < 1, -F.log((F.col("n_both") - 1 + rate) / once / rate) / F.log(rate)).otherwise(0.0)
 
     # A term is in as many documents at least as it is near entities in: that alone rules most pairs out.
     n_near = near.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))

@@ -78,6 +78,20 @@ def test_terms_that_disclose_an_entity_are_found_and_copies_do_not_make_them(spa
     assert all(clean[i] == text[i] for i in range(300))
 
 
+def test_values_in_two_documents_are_evidence_and_values_in_one_are_not(spark, prose):
+    rows = [(i, prose(i, 60), "en", "s") for i in range(300)]
+    rows += [(1_000 + i, f"{prose(f'x{i}', 20)} Quixotia writes from twice@example.com {prose(f'y{i}', 20)}", "en", "s") for i in range(2)]
+    rows += [(2_000, f"{prose('u', 20)} Dulcinea answers to once@example.com {prose('v', 20)}", "en", "s")]
+    # Copies add nothing, to either side.
+    rows += [(3_000 + i, rows[300 + i // 3][1], "en", "s") for i in range(6)]
+    text = {i: t for i, t, *_ in rows}
+    added = {(d, text[d][x.start : x.end]) for d, r in ((r.doc_id, r) for r in pii.find(frame(spark, rows)).collect()) for x in r.added}
+    assert {(d, "Quixotia") for d in (1_000, 1_001, *range(3_000, 3_006))} <= added
+    assert not any(d == 2_000 for d, _ in added)
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert all("Quixotia" not in clean[d] for d in (1_000, 1_001, 3_000, 3_005)) and "Dulcinea" in clean[2_000]
+
+
 def test_sanitise_keeps_columns_and_rows(spark, corpus):
     docs = frame(spark, corpus, extra=True)
     out = pii.sanitise(docs)
