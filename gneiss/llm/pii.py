@@ -1,7 +1,7 @@
 r"""Personal data: patterns, and the terms that give protected entities away.
 
 Patterns find e-mail addresses, IP numbers, card and phone numbers. Each value
-found is a protected entity. A term near an entity discloses it as far as
+found is a protected entity. A term of a document with an entity discloses it as far as
 seeing the term tells that the entity is there: the pointwise mutual
 information of both over the documents of the corpus, as a share of the
 entity's own information content. ::
@@ -9,7 +9,8 @@ entity's own information content. ::
     PMI(c; t) = log(n(c,t) * N / (n(c) * n(t)))     IC(c) = log(N / n(c))
 
 From ``PMI >= remove * IC`` on a term is removed, from ``PMI >= generalise *
-IC`` on it is replaced by what kind of term it is. Documents in which the
+IC`` on it is replaced by what kind of term it is, wherever it stands in a
+document that holds the entity. Documents in which the
 entity has the same context count once, so that copies of one document do not
 make all its rare words disclosing. What one of the documents says of the pair
 is estimated from the others, smoothed by one document at the entity's own rate::
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import cut, map_batches, map_rows, slices, table, written
+from .jobs import counted, cut, map_batches, map_rows, slices, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term", "general")
 BASE_KINDS = 4
@@ -53,7 +54,7 @@ _FOLD = str.maketrans(UPPER, LOWER)
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Thresholds. ``reach``: characters on either side of an entity that are its context."""
+    """Thresholds. ``reach``: characters on either side of an entity whose terms tell copies apart."""
 
     reach: int = 120
     least_letters: int = 4
@@ -101,9 +102,8 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]], how: Disclosure) -> list[dict]:
-    """Each entity of the text with each term of its contexts, once, and where the terms are."""
-    found: dict[tuple[str, str], dict] = {}
+def mentions(text: str, spans: list[tuple[int, int, int]], how: Disclosure) -> tuple[list[dict], list[dict]]:
+    """The entities of the text, each with its first context, and the terms of the text with all their places."""
     begins = [s for s, *_ in spans]
     reached = list(accumulate((e for *_, e in spans), max))  # where the spans up to each one end
 
@@ -111,49 +111,57 @@ def mentions(text: str, spans: list[tuple[int, int, int]], how: Disclosure) -> l
         i = bisect_left(begins, e)
         return i > 0 and reached[i - 1] > s
 
+    words = [(m.start(), m.end(), m[0].translate(_FOLD)) for m in _TERM.finditer(text) if m.end() - m.start() >= how.least_letters and not taken(m.start(), m.end())]
+    starts, held, terms = [s for s, *_ in words], {}, {}
     for start, kind, end in spans:
         value = text[start:end].lower() if kind < 2 else re.sub("[^0-9]", "", text[start:end])
-        lo, hi = max(0, start - how.reach), min(len(text), end + how.reach)
-        terms = []
-        for a, b in ((lo, start), (end, hi)):
-            for m in _TERM.finditer(text, a, b):
-                cut_off = (m.start() == lo > 0 and _TERM.match(text[lo - 1])) or (m.end() == hi < len(text) and _TERM.match(text[hi]))
-                if not cut_off and m.end() - m.start() >= how.least_letters and not taken(m.start(), m.end()):
-                    terms.append((m.start(), m.end(), m[0].translate(_FOLD)))
-        context = int.from_bytes(hashlib.blake2b(" ".join(t for *_, t in terms).encode(), digest_size=8).digest(), "big", signed=True)
-        for s, e, term in terms:
-            row = found.setdefault((f"{KINDS[kind]}:{value}", term), {"entity": f"{KINDS[kind]}:{value}", "term": term, "context": context, "places": {}})
-            row["places"][s, e] = {"start": s, "end": e}
-    return [row | {"places": list(row["places"].values())} for row in found.values()]
+        entity = f"{KINDS[kind]}:{value}"
+        if entity not in held:
+            near = words[bisect_left(starts, start - how.reach) : bisect_left(starts, end + how.reach)]
+            # Without a term nearby, the whole text is the context.
+            said = " ".join(t for _, e, t in near if e <= end + how.reach) or text
+            held[entity] = {"entity": entity, "context": int.from_bytes(hashlib.blake2b(said.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)}
+    for s, e, term in words:
+        terms.setdefault(term, []).append({"start": s, "end": e})
+    return list(held.values()), [{"term": term, "places": places} for term, places in terms.items()]
 
 
 def scan(docs: DataFrame, how: Disclosure) -> DataFrame:
-    """doc_id, base: the patterns' spans, mentions: entities with the terms near them."""
+    """doc_id, base: the patterns' spans, held: entities, terms: those of documents that hold entities."""
 
     def work(piece: dict[str, list]) -> dict[str, list]:
         spans = [base_spans(t) for t in piece["text"]]
+        found = [mentions(t, x, how) if x else ([], []) for t, x in zip(piece["text"], spans, strict=True)]
         return {
             "doc_id": piece["doc_id"],
             "base": [[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in spans],
-            "mentions": [mentions(t, x, how) if x else [] for t, x in zip(piece["text"], spans, strict=True)],
+            "held": [x for x, _ in found],
+            "terms": [x for _, x in found],
         }
 
-    ddl = "doc_id long, base array<struct<start:int,kind:int,end:int>>, mentions array<struct<entity:string,term:string,context:long,places:array<struct<start:int,end:int>>>>"
+    ddl = "doc_id long, base array<struct<start:int,kind:int,end:int>>, held array<struct<entity:string,context:long>>, terms array<struct<term:string,places:array<struct<start:int,end:int>>>>"
     return map_rows(docs.select("doc_id", "text"), work, ddl)
 
 
+def together(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """doc_id, entity, context, term, places: the entities with each term of the documents that hold them."""
+    rows = found.select("doc_id", F.explode("held").alias("h"), "terms").select("doc_id", "h.entity", "h.context", "terms")
+    return rows.join(counted(entities), "entity", "left_semi").select("doc_id", "entity", "context", F.explode("terms").alias("t")).select("doc_id", "entity", "context", "t.term", "t.places")
+
+
 def disclosing(docs: DataFrame, found: DataFrame, how: Disclosure) -> DataFrame:
     """entity, term, share (PMI as a share of IC), kind (4: remove, 5: generalise).
 
     All counts are of documents and run over all of them. They are combined
-    before each shuffle, so a frequent entity or term makes no large group. The
-    words of the corpus are counted only for terms that have two contexts.
+    before each shuffle, so a frequent entity or term makes no large group, and
+    of the words of the corpus each task sends every one once.
     """
-    near = found.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.entity", "m.term", "m.context")
+    held = found.select(F.explode("held").alias("h")).select("h.entity", "h.context").groupBy("entity", "context").agg(F.count(F.lit(1)).alias("n"))
+    # One context has no share above 0.
+    n_entity = written(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where("n_entity > 1"))
+    near = together(found, n_entity.select("entity"))
     pairs = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_both"))
-    pairs = cut(pairs.where("n_both > 1"))  # one context has no share above 0
-    held = found.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
-    n_entity = held.join(written(pairs.select("entity").distinct()), "entity", "left_semi").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    pairs = written(pairs.where("n_both > 1"))
     total = F.lit(float(docs.count()))
 
     def share(n_term: str):  # noqa: ANN202
@@ -161,13 +169,12 @@ def disclosing(docs: DataFrame, found: DataFrame, how: Disclosure) -> DataFrame:
         once = F.col(n_term) - F.col("n_docs") + F.col("n_both")  # the entity's copies count once
         return F.when(rate < 1, -F.log((F.col("n_both") - 1 + rate) / once / rate) / F.log(rate)).otherwise(0.0)
 
-    # A term is in as many documents at least as it is near entities in: that alone rules most pairs out.
-    n_near = near.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    # A term is in as many documents at least as hold any entity: that alone rules most pairs out.
+    n_near = found.select(F.explode("terms.term").alias("term")).join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     pairs = cut(pairs.join(n_entity, "entity").join(n_near, "term").where(share("n_near") >= min(how.remove, how.generalise)))
-    terms = written(pairs.select("term").distinct())  # Spark broadcasts it if the files are small
     folded = F.split(F.translate("text", UPPER, LOWER), r"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
     words = docs.select(F.explode(F.array_distinct(folded)).alias("term")).where(F.char_length("term") >= how.least_letters)
-    n_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     out = pairs.join(n_term, "term").withColumn("share", share("n_term"))
     kind = F.when(F.col("share") >= how.remove, 4).when(F.col("share") >= how.generalise, 5)
     return out.withColumn("kind", kind).where("kind is not null").select("entity", "term", "share", "kind")
@@ -181,10 +188,10 @@ def find(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     documents each. Rows with a null doc_id get their base spans. Other columns
     are not looked at.
     """
-    found = cut(scan(docs, how))
+    found = written(scan(docs, how))
     pairs = written(disclosing(docs, found, how))
     spot = F.col("p")
-    near = found.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.entity", "m.term", "m.places")
+    near = together(found, cut(pairs.select("entity").distinct()))
     spans = near.join(pairs.drop("share"), ["entity", "term"]).select("doc_id", "kind", F.explode("places").alias("p"))
     added = spans.groupBy("doc_id", spot["start"].alias("start"), spot["end"].alias("end")).agg(F.min("kind").alias("kind"))
     added = added.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))

@@ -92,6 +92,20 @@ def test_values_in_two_documents_are_evidence_and_values_in_one_are_not(spark, p
     assert all("Quixotia" not in clean[d] for d in (1_000, 1_001, 3_000, 3_005)) and "Dulcinea" in clean[2_000]
 
 
+def test_terms_are_counted_and_marked_anywhere_in_the_documents_of_an_entity(spark, prose):
+    rows = [(i, prose(i, 60), "en", "s") for i in range(300)]
+    # "Quixotia" stands beside the address once; otherwise, and "Rocinante" always, further off than the context reaches.
+    rows += [(1_000 + i, f"Rocinante {prose(f'a{i}', 60)} Quixotia {prose(f'b{i}', 60)} Quixotia at hero@example.com {prose(f'c{i}', 60)} quixotia", "en", "s") for i in range(4)]
+    # A document with nothing near its address counts as one that holds it.
+    rows += [(2_000 + i, f"{'- ' * 100}bare@example.com{' -' * 100} Dulcinea {prose(f'd{i}', 30)}", "en", "s") for i in range(3)]
+    found = {r.doc_id: r for r in pii.find(frame(spark, rows)).collect()}
+    for d, text, *_ in rows[300:]:
+        want = [(m.start(), m.end()) for m in re.finditer("rocinante|quixotia|dulcinea", text, re.IGNORECASE)]
+        assert set(want) <= {(x.start, x.end) for x in found[d].added}
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert not any(w in clean[d].lower() for d, *_ in rows[300:] for w in ("rocinante", "quixotia", "dulcinea"))
+
+
 def test_sanitise_keeps_columns_and_rows(spark, corpus):
     docs = frame(spark, corpus, extra=True)
     out = pii.sanitise(docs)
