@@ -7,14 +7,17 @@ and emits one nested row per capture.
 
 Archives are gzipped WARC/1.1 files that Spark's own text writer puts into a
 shared folder, so they can live in any store that Spark writes to, and a task
-that is run again replaces its own file. They are read back as binary files,
-each cut to ``records_per_file`` records, so a file fits a task.
+that is run again replaces its own file. The rows are dealt into files of about
+``file_bytes`` bytes and at most ``records_per_file`` records. They are read back
+as binary files that are unpacked record by record, so that a task holds a
+packed file and one record.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -24,10 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import arrow_schema, map_batches, shared_folder, table
+from .jobs import arrow_schema, map_batches, shared_folder, table, written
 
-#: Records in an archive file at most; three make a capture.
+#: Records in an archive file at most (three make a capture), and its bytes before it is packed, about.
 RECORDS_PER_FILE = 6_000
+FILE_BYTES = 32 << 20
+#: Bytes of headers of a capture, about.
+HEAD_BYTES = 1_500
+#: Copies of a response's name in the join that resolves references, so that a payload that most captures share is dealt out.
+SALTS = 16
 RECORD = (
     "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, "
     "digest string, headers map<string,string>, payload_bytes long, payload_digest string, payload binary"
@@ -42,27 +50,31 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def mark_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Adds ``digest``, ``size`` and ``first_key``: which capture has the payload first.
+def mark_revisits(pages: DataFrame, min_bytes: int = 0, parts: int = 1) -> DataFrame:
+    """Adds ``digest``, ``size``, ``id`` and ``first`` to pages of k (key), u (URL, not null) and b (payload, not null).
 
-    Payloads below ``min_bytes`` and keys that are first have ``first_key`` null.
-    Only digests and keys are shuffled. The smallest key of each digest comes
-    from a grouped minimum that is combined before the shuffle, and joins back
-    in a join whose large partitions Spark can split, so one payload may hold
-    any share of the rows. Null payloads are empty ones; rows with a null key
-    are never first.
+    ``id`` names the capture by its key, URL and digest; ``first`` is the id of
+    the capture that has the payload first, null where that is the row itself:
+    the least key of a digest, a null key being larger than any other. Rows that
+    share that key, rows whose payload has no key at all and payloads below
+    ``min_bytes`` have no ``first``. Only digests and names are shuffled for
+    this; minima are combined before the shuffle and join back in a join whose
+    large partitions Spark can split, so one payload may hold any share of the rows.
+    Payloads are shuffled once, into ``parts`` partitions by ``id``.
     """
-    body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    rows = pages.withColumns({"digest": base32_sha1(body), "size": F.octet_length(body).cast("long")})
-    first = rows.groupBy("digest").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("copies"))
-    first = first.where("copies > 1").drop("copies")
-    again = rows.select(key, "digest", "size").where(F.col("size") >= min_bytes).join(first, "digest").where(F.col(key) > F.col("first_key"))
-    return rows.join(again.select(key, "first_key").dropDuplicates([key]), key, "left")
+    rows = pages.withColumns({"digest": base32_sha1(F.col("b")), "size": F.octet_length("b").cast("long")})
+    named = F.coalesce(F.concat(F.lit("="), F.col("k").cast("string")), F.lit(""))
+    rows = rows.withColumn("id", F.md5(F.concat_ws("/", named, "digest", "u")))
+    keyed = F.when(F.col("k").isNotNull(), F.struct("k", "id"))
+    first = rows.groupBy("digest").agg(F.min(keyed).alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and least is not null").select("digest", "least")
+    again = rows.select("k", "id", "digest").where(F.col("size") >= min_bytes).join(first, "digest").where(~F.col("k").eqNullSafe(F.col("least.k")))
+    again = again.groupBy("id").agg(F.first("least.id").alias("first"))
+    return rows.repartition(parts, "id").join(again.repartition(parts, "id"), "id", "left")
 
 
-def record_id(kind: str, key: Column) -> Column:
+def record_id(kind: str, capture: Column) -> Column:
     """The same name for the same record on every run: a name-based identifier."""
-    h = F.md5(F.concat(F.lit(f"{kind}/"), key.cast("string")))
+    h = F.md5(F.concat(F.lit(f"{kind}/"), capture))
     part = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *part), F.lit(">"))
 
@@ -75,52 +87,53 @@ def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
     return F.concat(head, F.lit(_CRLF), size, F.lit(_CRLF * 2), block)
 
 
-def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, date: str = "2024-01-01T00:00:00Z") -> None:
+def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write the three records of each page to gzipped archives below ``path``.
 
     A payload is the text in UTF-8 (null: empty). A page whose payload another
     page with a smaller key has already is a revisit and has no payload itself.
-    Keys name the records: rows that repeat a key end as one capture, and so do
-    all rows with a null key. Other columns of ``pages`` are not looked at.
+    Rows with a null key have no page id in their metadata. Rows that repeat key,
+    URL and payload are written each, under the same names. Other columns of
+    ``pages`` are not looked at.
     """
-    pages = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("b"))
-    rows = mark_revisits(pages, "k", "b", min_bytes)
-    clean = F.regexp_replace(F.coalesce("u", F.lit("about:blank")), r"[\x00-\x20\x7f]", "%20")
-    name = F.coalesce(F.col("k").cast("string"), F.lit(""))
-    again = F.col("first_key").isNotNull()
-    response, request, meta = (record_id(kind, name) for kind in ("response", "request", "metadata"))
+    clean = F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("about:blank")), r"[\x00-\x20\x7f]", "%20")
+    pages = pages.select(F.col(key).alias("k"), clean.alias("u"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("b"))
+    total = pages.agg(F.sum(F.octet_length("b").cast("long") + HEAD_BYTES)).first()[0] or 0
+    rows = mark_revisits(pages, min_bytes, max(1, -(-total // file_bytes)))
+    again = F.col("first").isNotNull()
+    response, request, meta = (record_id(kind, F.col("id")) for kind in ("response", "request", "metadata"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(_CRLF * 2))
-    first = F.col("first_key").cast("string")
-    common = [("WARC-Date", date), ("WARC-Target-URI", clean)]
+    common = [("WARC-Date", date), ("WARC-Target-URI", F.col("u"))]
     records = F.array(
-        _record([("WARC-Type", "request"), ("WARC-Record-ID", request), *common, ("WARC-Concurrent-To", response), ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), clean, F.lit(f" HTTP/1.1{_CRLF * 2}"))),
+        _record([("WARC-Type", "request"), ("WARC-Record-ID", request), *common, ("WARC-Concurrent-To", response), ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.col("u"), F.lit(f" HTTP/1.1{_CRLF * 2}"))),
         _record(
             [("WARC-Type", F.when(again, "revisit").otherwise("response")), ("WARC-Record-ID", response), *common, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-             ("WARC-Profile", F.when(again, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", F.when(again, record_id("response", first))), ("Content-Type", "application/http; msgtype=response")],
+             ("WARC-Profile", F.when(again, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", F.when(again, record_id("response", F.col("first")))), ("Content-Type", "application/http; msgtype=response")],
             F.when(again, http).otherwise(F.concat(http, F.col("b"))),
         ),
-        _record([("WARC-Type", "metadata"), ("WARC-Record-ID", meta), *common, ("WARC-Concurrent-To", response), ("Content-Type", "application/warc-fields")], F.concat(F.lit("pageId: "), name, F.concat(F.lit(f"{_CRLF}firstPageId: "), F.coalesce(first, F.lit(""))), F.lit(_CRLF))),
+        _record([("WARC-Type", "metadata"), ("WARC-Record-ID", meta), *common, ("WARC-Concurrent-To", response), ("Content-Type", "application/warc-fields")], F.concat(F.lit("via: "), F.col("u"), F.coalesce(F.concat(F.lit(f"{_CRLF}pageId: "), F.col("k").cast("string")), F.lit("")), F.lit(_CRLF))),
     )
     lines = rows.select(F.explode(records).alias("value"))
     lines.write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive; a broken tail raises ValueError."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in lines)}
-        start = end + 4
-        stop = start + int(headers["content-length"])
-        if stop > len(data):
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield headers, data[start:stop]
-        at = stop + 4
+    """Headers and block of each record of an archive, unpacked one by one; a broken tail raises ValueError."""
+    file = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    count = 0
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record after {count} records")
+        headers = {}
+        while (line := file.readline()).strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[name.strip().lower()] = value.strip()
+        size = int(headers.get("content-length", -1))
+        block = file.read(size) if size >= 0 else b""
+        if len(block) != size or file.read(4) != b"\r\n\r\n":
+            raise ValueError(f"the record after {count} records is cut off")
+        yield headers, block
+        count += 1
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -136,6 +149,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 out: list[dict] = []
+                held = 0
                 for h, block in parse(content.as_py()):
                     kind, body, row = h.get("warc-type"), block, {}
                     if kind in ("response", "revisit"):
@@ -148,9 +162,10 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                     elif kind == "metadata":
                         row = {"headers": dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split(_CRLF) if ": " in x)}
                     out.append({"record_id": h.get("warc-record-id"), "type": kind, "concurrent_to": h.get("warc-concurrent-to"), "refers_to": h.get("warc-refers-to"), "uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "payload": body if payloads else None} | row)
-                    if len(out) >= 500:
+                    held += len(body) if payloads else 0
+                    if len(out) >= 500 or held >= 1 << 22:
                         yield pa.RecordBatch.from_pylist(out, schema=schema)
-                        out = []
+                        out, held = [], 0
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
@@ -158,45 +173,67 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: ``capture_id``, ``response``, ``request``, ``metadata``.
+    """One nested row per capture: ``capture_id``, ``response``, ``request``, ``metadata``, ``copies``.
 
     Requests and metadata name their response in ``concurrent_to``; a response
     or revisit stands for itself. All records of a transaction meet in a grouped
     aggregate keyed by the response's identifier (three rows a key, however
     often a payload occurs). A transaction without a response or revisit is
-    left out; a missing request or metadata record is null; of records that are
-    repeated, the least stays.
+    left out; a missing request or metadata record is null. Of records that
+    repeat an identifier the least stays, and ``copies`` counts the responses.
     """
     lead = F.col("type").isin("response", "revisit")
     rows = records.where(lead | F.col("type").isin("request", "metadata")).withColumn("capture_id", F.when(lead, F.col("record_id")).otherwise(F.col("concurrent_to")))
     body = F.struct("record_id", "type", "uri", "date", "refers_to", "payload_bytes", "payload_digest", "payload")
     side = F.struct("record_id", "uri", "date", "payload")
-    note = F.struct("record_id", F.col("headers")["pageId"].alias("page_id"), F.col("headers")["firstPageId"].alias("first_page_id"))
+    note = F.struct("record_id", F.col("headers")["pageId"].alias("page_id"))
     out = rows.groupBy("capture_id").agg(
         F.min(F.when(lead, body)).alias("response"),
         F.min(F.when(F.col("type") == "request", side)).alias("request"),
         F.min(F.when(F.col("type") == "metadata", note)).alias("metadata"),
+        F.count(F.when(lead, 1)).alias("copies"),
     )
     return out.where(F.col("response").isNotNull())
 
 
+def resolved(captures: DataFrame) -> DataFrame:
+    """Adds ``refers_to_page``: the page id of the response that a revisit names in WARC-Refers-To.
+
+    Null for responses and for revisits whose response is not there. A response
+    that is referred to joins in :data:`SALTS` copies, so that the revisits of
+    one response are dealt out. ``captures`` are read several times (a table).
+    """
+    named = F.col("response.refers_to")
+    asked = captures.select(named.alias("_of")).where("_of is not null").distinct()
+    heads = captures.where("response.type = 'response'").select(F.col("capture_id").alias("_of"), F.col("metadata.page_id").alias("refers_to_page"))
+    heads = heads.join(asked, "_of", "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    revisits = captures.where(named.isNotNull()).withColumns({"_of": named, "_salt": F.pmod(F.xxhash64("capture_id"), F.lit(SALTS)).cast("int")})
+    joined = revisits.join(heads, ["_of", "_salt"], "left").select(*captures.columns, "refers_to_page")
+    return captures.where(named.isNull()).withColumn("refers_to_page", F.lit(None).cast("string")).unionByName(joined)
+
+
 def captures(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write the pages to archives in the shared folder, read them back, assemble."""
+    """Write the pages to archives in the shared folder, read them back, assemble, resolve."""
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, min_bytes=min_bytes)
-    return assemble(read(spark, path, payloads=False))
+    return resolved(written(assemble(read(spark, path, payloads=False))))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's payload as archived and read back; the least page of a payload is its response."""
+    """Each page's payload as archived and read back; the least page of a payload is its response.
+
+    A row for each row of ``pages``. Rows with a null page_id are revisits of the
+    least page that has their payload, and responses where none has.
+    """
     c = captures(spark, table(spark, sf_dir, "pages"))
     return c.select(
         F.col("metadata.page_id").cast("long").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        F.when(F.col("metadata.first_page_id") != "", F.col("metadata.first_page_id")).cast("long").alias("refers_to"),
-    )
+        F.col("refers_to_page").cast("long").alias("refers_to"),
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+    ).drop("copy")
 
 
 def _sql32() -> str:
@@ -208,7 +245,7 @@ OP10_SQL = f"""
 with p as (select page_id, strlen(coalesce(html, ''))::BIGINT as payload_bytes, sha1(coalesce(html, '')) as h from pages),
      d as (select page_id, payload_bytes, {_sql32()} as payload_digest, min(page_id) over (partition by h) as first_id from p)
 select page_id, payload_bytes, payload_digest,
-       case when page_id = first_id then 'response' else 'revisit' end as record_type,
-       case when page_id <> first_id then first_id end as refers_to
+       case when page_id is not distinct from first_id then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from first_id then first_id end as refers_to
 from d
 """

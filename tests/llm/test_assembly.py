@@ -37,7 +37,7 @@ def sha(text):
 def test_archives_round_trip(spark, tmp_path, least):
     path = str(tmp_path / f"w{least}")
     warc.write(pages(spark, ROWS).repartition(3), path, min_bytes=least, records_per_file=4)
-    got = {int(r.metadata.page_id): r for r in warc.assemble(warc.read(spark, path)).collect()}
+    got = {int(r.metadata.page_id): r for r in warc.resolved(warc.assemble(warc.read(spark, path))).collect()}
     assert len(got) == len(ROWS)
     for page, url, html in ROWS:
         r, body = got[page], (html or "").encode()
@@ -46,7 +46,8 @@ def test_archives_round_trip(spark, tmp_path, least):
         assert r.response.type == ("revisit" if again else "response")
         assert (r.response.payload_bytes, r.response.payload_digest) == (len(body), sha(html))
         assert bytes(r.response.payload) == (b"" if again else body)
-        assert r.metadata.first_page_id == (str(first) if again else "")
+        assert r.refers_to_page == (str(first) if again else None) and r.copies == 1
+        assert r.response.refers_to == (got[first].capture_id if again else None)
         assert r.request.record_id and r.response.uri == (url or "about:blank").replace(" ", "%20").replace("\n", "%20")
 
 
@@ -70,10 +71,28 @@ def test_transactions_without_all_records(spark):
     assert set(got) == {"r1", "r2"} and got["r1"].request.record_id == "q1" and got["r2"].request is None
 
 
-def test_archive_query_of_nothing_and_repeats(spark, tmp_path):
-    for name, rows, n in (("none", [], 0), ("repeat", [(1, "u", "x"), (1, "u", "x"), (None, "u", "x"), (2, "u", "x")], 3)):
-        pages(spark, rows).write.parquet(f"{tmp_path}/{name}/pages.parquet")
-        assert warc.op10_warc(spark, f"{tmp_path}/{name}").count() == n
+def test_archive_query_of_nothing_repeats_and_null_keys(spark, tmp_path):
+    rows = [(1, "u", "x"), (1, "u", "x"), (1, "v", "x"), (None, "u", "x"), (2, "u", "x"), (1, "u", "other"), (None, "u", "alone"), (None, "w", "alone"), (None, None, None), (-3, "u", "")]
+    for name, made in (("none", []), ("repeat", rows)):
+        pages(spark, made).write.parquet(f"{tmp_path}/{name}/pages.parquet")
+        got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op10_warc(spark, f"{tmp_path}/{name}").collect()]
+        want = []
+        for page, _, html in made:
+            keys = [p for p, _, t in made if (t or "") == (html or "") and p is not None]
+            least = min(keys, default=None)
+            want.append((page, len(html or ""), sha(html), "response" if page == least else "revisit", None if page == least else least))
+        key = lambda r: tuple(str(x) for x in r)
+        assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_files_are_cut_by_bytes(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", hashlib.sha256(str(i).encode()).hexdigest() * 500) for i in range(60)]
+    path = tmp_path / "bytes"
+    warc.write(pages(spark, rows), str(path), file_bytes=200_000)
+    sizes = [sum(len(b) for _, b in warc.parse(f.read_bytes())) for f in path.glob("*.gz")]
+    assert len(sizes) >= 6 and max(sizes) < 800_000 and sum(sizes) > 60 * 32_000
+    got = {int(r.metadata.page_id): bytes(r.response.payload).decode() for r in warc.assemble(warc.read(spark, str(path))).collect()}
+    assert got == {i: t for i, _, t in rows}
 
 
 # Running numbers ---------------------------------------------------------------------
