@@ -2,16 +2,17 @@ r"""Order MinHash fingerprints, by DataFrame functions alone.
 
 A text is a sequence of words, and its k-mers are runs of k words. Each k-mer
 is numbered by how often it occurred before in the text, so that repeats are
-different items. Items are ordered by the hash of the k-mer and then by that
-number. The hash also deals k-mers into bins; of each bin the least items are
-selected, put back into the order in which they stand in the text, and hashed
-as a tuple. Texts that hold the same k-mers in another order thus differ: the
-share of equal entries follows edit distance and not only overlap.
-
-All of it happens inside a row, on arrays of longs: a k-mer is packed as bin,
-hash and position, and one sort of the packed numbers yields the bins, the
-least items of each and the occurrence numbers (equal hashes stand side by
-side, earlier positions first).
+different items, and items are ordered by a hash of k-mer and number together.
+The hash also deals items into bins; of each bin the least items are selected,
+put back into the order in which they stand in the text, and hashed as a tuple.
+Texts that hold the same k-mers in another order thus differ: the share of equal
+entries follows edit distance and not only overlap.
+
+All of it happens inside a row, on arrays of longs: a k-mer is packed as hash
+and position. Sorted, equal k-mers stand side by side, earlier positions first,
+so a binary search for the first of them gives the number. Items are packed
+alike as bin, hash and position, and a second sort yields the bins and the least
+items of each.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .jobs import counted, cut, table
+from .jobs import cut, table
 
 PLACE_BITS = 30
 HASH_BITS = 27
@@ -46,15 +47,30 @@ def fingerprint(df: DataFrame, text: str, out: str, how: Order = Order()) -> Dat
     bits = how.bins.bit_length() - 1
     mask = (1 << (bits + HASH_BITS)) - 1
     w, p, s = "_omh_words", "_omh_packed", "_omh_least"
+    low = F.lit((1 << PLACE_BITS) - 1)
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     df = df.withColumn(w, F.transform(words, lambda x: F.xxhash64(x)))
 
-    def pack(x: Column, i: Column) -> Column:
+    def packed(hashed: Column, place: Column) -> Column:
+        return F.shiftleft(hashed.bitwiseAND(F.lit(mask)), PLACE_BITS).bitwiseOR(place)
+
+    def kmer(x: Column, i: Column) -> Column:
         run = F.xxhash64(x, *[F.get(F.col(w), i + j) for j in range(1, how.k)]) if how.k > 1 else x
-        return F.shiftleft(run.bitwiseAND(F.lit(mask)), PLACE_BITS).bitwiseOR(F.least(i.cast("long"), F.lit((1 << PLACE_BITS) - 1)))
+        return packed(run, F.least(i.cast("long"), low))
 
     heads = F.slice(F.col(w), F.lit(1), F.greatest(F.least(F.size(w), F.lit(1)), F.size(w) - (how.k - 1)))
-    df = df.withColumn(p, F.sort_array(F.transform(heads, pack)))
+    df = df.withColumn(p, F.sort_array(F.transform(heads, kmer)))
+
+    def item(x: Column, i: Column) -> Column:
+        """The k-mer itself where it stands first, else the hash of k-mer and number."""
+        own = F.shiftright(x, PLACE_BITS)
+        start = F.shiftleft(own, PLACE_BITS)
+        steps = F.array(*[F.lit(1 << b) for b in range(24, -1, -1)])
+        before = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(F.col(p), n + step - 1) < start, n + step).otherwise(n))
+        again = (i > 0) & (F.shiftright(F.get(F.col(p), i - 1), PLACE_BITS) == own)
+        return F.when(again, packed(F.xxhash64(own, i - before), x.bitwiseAND(low))).otherwise(x)
+
+    df = df.withColumn(p, F.sort_array(F.transform(F.col(p), item)))
 
     def bin_of(x: Column) -> Column:
         return F.shiftright(x, PLACE_BITS + HASH_BITS)
@@ -63,22 +79,12 @@ def fingerprint(df: DataFrame, text: str, out: str, how: Order = Order()) -> Dat
     least = F.filter(F.col(p), lambda x, i: (i < how.items) | (bin_of(x) != bin_of(F.get(F.col(p), i - how.items))))
     df = df.withColumn(s, least)
 
-    def item(j: Column, x: Column) -> Column:
-        """(place, k-mer hash, occurrence number) of a selected item, null if it is of another bin."""
-        y = F.get(F.col(s), j)
-        return F.when(bin_of(y) == bin_of(x), y)
-
     def entry(x: Column, i: Column) -> Column:
-        group = [item(i + j, x) for j in range(how.items)]
-        low = F.lit((1 << PLACE_BITS) - 1)
-        # The occurrence number: how many selected items before it have the same hash.
-        numbered = []
-        for a, y in enumerate(group):
-            before = [F.when(F.shiftright(z, PLACE_BITS) == F.shiftright(y, PLACE_BITS), 1).otherwise(0) for z in group[:a]]
-            number = sum(before[1:], before[0]) if before else F.lit(0)
-            numbered.append(F.struct(y.bitwiseAND(low).alias("place"), F.shiftright(y, PLACE_BITS).alias("kmer"), number.alias("number")))
-        ordered = F.array_sort(F.filter(F.array(*numbered), lambda z: z["place"].isNotNull()))
-        tuple_hash = F.xxhash64(F.transform(ordered, lambda z: F.xxhash64(z["kmer"], z["number"])))
+        """Bin and hash of the tuple that begins with the i-th selected item."""
+        group = [F.get(F.col(s), i + j) for j in range(how.items)]
+        group = [F.when(bin_of(y) == bin_of(x), F.struct(y.bitwiseAND(low).alias("place"), F.shiftright(y, PLACE_BITS).alias("item"))) for y in group]
+        ordered = F.array_sort(F.filter(F.array(*group), lambda z: z.isNotNull()))
+        tuple_hash = F.xxhash64(F.transform(ordered, lambda z: z["item"]))
         return F.shiftleft(bin_of(x), 32).bitwiseOR(tuple_hash.bitwiseAND(F.lit(0xFFFFFFFF)))
 
     first = F.transform(F.col(s), lambda x, i: F.when((i == 0) | (bin_of(x) != bin_of(F.get(F.col(s), i - 1))), entry(x, i)))
@@ -100,37 +106,52 @@ def shown(a: Column) -> Column:
 
 
 def _following():  # noqa: ANN202
-    return Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
+    return Window.partitionBy("block").orderBy(F.desc("place"), F.desc("text"))
 
 
-def followed(docs: DataFrame, per_block: int = 1_024) -> tuple[DataFrame, DataFrame]:
+def followed(docs: DataFrame, block_bytes: int = 4 << 20, most_blocks: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """Each document with the text of the next one: the row with the next smaller doc_id, after the last the first.
 
-    Ids are cut into ranges of about ``per_block`` documents (``block``). Inside
-    a range the next text comes from a window (``next``; ``inside`` is null for
-    the last row). For that row it is the first text of the next range that has
-    rows: the second table (block, seam_text). Texts are shuffled once. Repeated
-    ids follow each other by text; null ids stand last.
+    Rows are ordered by doc_id and a hash of the text (``place``) and cut into
+    ranges of about ``block_bytes`` (``block``, larger places in larger blocks):
+    bounds are places of a sample by hash, eight a block, so any spread of ids and
+    any number of rows with one id will do. A binary search in the array of
+    bounds, at most ``most_blocks`` of them, gives a row's block. Inside a block
+    the next text comes from a window (``next``; ``inside`` is null for the last
+    row). For that row it is the first text of the next block: the second table
+    (block, seam_text). Texts are shuffled once, each block into a partition.
+    Repeated ids follow each other by hash and text; null ids stand last. Rows
+    equal in both id and text are in one block.
     """
-    bounds = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    width = max(1, ((bounds["hi"] or 0) - (bounds["lo"] or 0)) // max(1, bounds["n"] // per_block) + 1)
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(bounds["lo"] or 0)) / F.lit(width)).cast("long"), F.lit(-1))
-    rows = docs.withColumn("block", block)
-    seams = cut(rows.groupBy("block").agg(F.max("doc_id").alias("first_id")))
-    # The next range that has rows: among a thousand neighbours, else by the first one of the next thousand.
-    seams = seams.withColumn("thousand", F.floor(F.col("block") / 1_000))
-    mine = F.struct("block", "first_id")
-    tops = seams.groupBy("thousand").agg(F.max(mine).alias("top"))
-    wide = Window.partitionBy(F.lit(0)).orderBy(F.desc("thousand"))
-    ends = wide.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = cut(tops.select("thousand", F.lead("top").over(wide).alias("below"), F.first("top").over(ends).alias("first")))
-    below = F.lead(mine).over(Window.partitionBy("thousand").orderBy(F.desc("block")))
-    after = seams.withColumn("next", below).join(tops, "thousand").select("block", F.coalesce("next", "below", "first").alias("next"))
-    after = cut(after.select("block", F.col("next.first_id").alias("seam_id"), F.col("next.block").alias("seam_block")))
-    heads = rows.join(counted(after.select("seam_id", "seam_block").distinct()), F.col("doc_id").eqNullSafe(F.col("seam_id")) & (F.col("block") == F.col("seam_block")))
-    heads = heads.groupBy("seam_block").agg(F.max("text").alias("seam_text"))
-    seam = cut(after.join(heads, "seam_block").select("block", "seam_text"))
-    return rows.select("doc_id", "text", "block", F.lead("text").over(_following()).alias("next"), F.lead("block").over(_following()).alias("inside")), seam
+    spark = docs.sparkSession
+    rows = docs.withColumn("place", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, min(most_blocks, size["bytes"] // block_bytes))
+    every = max(1, size["n"] // (8 * blocks))
+    sample = rows.where("doc_id is not null").where(F.pmod(F.xxhash64(F.lit("bounds"), "place"), F.lit(every)) == 0).select("place").distinct()
+    places = sample.agg(F.sort_array(F.collect_list("place")).alias("places")).first()["places"]
+    places = places[:: max(1, len(places) // blocks)]
+    # Texts that Spark folds to arrays once, however many rows look into them.
+    ids, hashes = (F.split(F.lit(",".join(str(x[c]) for x in places) or "0"), ",").cast("array<bigint>") for c in ("doc_id", "h"))
+    doc_id, h = F.col("doc_id"), F.col("place.h")
+
+    def upto(i: Column) -> Column:
+        return (F.get(ids, i) < doc_id) | ((F.get(ids, i) == doc_id) & (F.get(hashes, i) <= h))
+
+    steps = F.array(*[F.lit(1 << b) for b in range(len(places).bit_length(), -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda n, s: F.when(upto(n + s - 1), n + s).otherwise(n))
+    without = F.floor((h / F.lit(2.0**64) + 0.5) * blocks).cast("int") - blocks - 1
+    rows = rows.withColumn("block", F.when(doc_id.isNull(), without).otherwise(found))
+    # The first row of each block; a row a block, so one window over all of them.
+    heads = cut(rows.groupBy("block").agg(F.max("place").alias("head")))
+    order = Window.orderBy(F.desc("block"))
+    after = heads.select("block", F.coalesce(F.lead("block").over(order), F.max("block").over(Window.partitionBy())).alias("of"))
+    texts = rows.join(F.broadcast(heads.withColumnRenamed("block", "of")), (F.col("block") == F.col("of")) & F.col("place").eqNullSafe(F.col("head")))
+    texts = texts.groupBy("of").agg(F.max("text").alias("seam_text"))
+    seam = cut(after.join(texts, "of").select("block", "seam_text"))
+    parts = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(parts, "block")
+    return rows.select("doc_id", "text", "block", "place", F.lead("text").over(_following()).alias("next"), F.lead("block").over(_following()).alias("inside")), seam
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

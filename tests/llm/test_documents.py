@@ -18,7 +18,7 @@ from .conftest import frame
 
 # Fingerprints ------------------------------------------------------------------
 def h(value, seed=42):
-    data = value.encode() if isinstance(value, str) else int(value).to_bytes(8, "little", signed=True)
+    data = value.encode() if isinstance(value, str) else int(value).to_bytes(4 if isinstance(value, np.int32) else 8, "little", signed=True)
     x = xxhash.xxh64(data, seed=seed).intdigest()
     return x - (1 << 64) if x >> 63 else x
 
@@ -31,21 +31,21 @@ def chained(values):
 
 
 def brute_fingerprint(text, how=fingerprint.Order()):
-    """Bins of items (k-mer hash, occurrence number), least first; tuples in text order."""
+    """Bins of items (hash of k-mer and occurrence number), least first; tuples in text order."""
     words = [w.decode() for w in (text or "").encode().split()]
     if not words:
         return {}
     bits = how.bins.bit_length() - 1
+    size = 1 << (bits + fingerprint.HASH_BITS)
     count, bins = Counter(), {}
     hashes = [h(w) for w in words]
     for i in range(max(1, len(words) - how.k + 1)):
-        run = hashes[i]
-        for j in range(1, how.k):
-            run = chained([hashes[i], *hashes[i + 1 : i + how.k]])
-        kmer = run % (1 << (bits + fingerprint.HASH_BITS))
-        bins.setdefault(kmer >> fingerprint.HASH_BITS, []).append((kmer, count[kmer], i))
+        kmer = chained(hashes[i : i + how.k]) if how.k > 1 else hashes[i]
+        kmer %= size
+        item = (chained([kmer, np.int32(count[kmer])]) % size) if count[kmer] else kmer
+        bins.setdefault(item >> fingerprint.HASH_BITS, []).append((item, i))
         count[kmer] += 1
-    return {b: [(k, n) for k, n, _ in sorted(sorted(items)[: how.items], key=lambda x: x[2])] for b, items in bins.items()}
+    return {b: [x for x, _ in sorted(sorted(items)[: how.items], key=lambda x: x[1])] for b, items in bins.items()}
 
 
 def test_fingerprints_select_the_least_items_in_text_order(spark, corpus, prose):
@@ -74,12 +74,12 @@ def test_likeness_follows_order_and_overlap(spark, prose):
     assert same == 1 and empty == 1 and null == 1 and one == 0 and other < 0.05 and edited > 0.8 and turned < edited
 
 
-@pytest.mark.parametrize("per_block", [3, 1_024])
+@pytest.mark.parametrize("per_block", [40, 4 << 20])
 def test_edited_texts_take_from_the_next_smaller_id(spark, tmp_path, monkeypatch, per_block):
-    rows = [(i * i, f"text {i} " + "é😀z"[: i % 4] * i, "en", "s") for i in range(40)] + [(-5, None, "en", "s"), (5_000_000, "far away", "en", "s")]
+    rows = [(i * i, f"text {i} " + "é😀z"[: i % 4] * i, "en", "s") for i in range(40)] + [(-5, None, "en", "s"), (5_000_000, "far away", "en", "s"), (-(1 << 63), "least", "en", "s"), ((1 << 63) - 1, "largest of all ids", "en", "s")]
     path = str(tmp_path / f"d{per_block}")
     frame(spark, rows).write.parquet(f"{path}/documents.parquet")
-    monkeypatch.setattr(fingerprint.followed, "__defaults__", (per_block,))
+    monkeypatch.setattr(fingerprint.followed, "__defaults__", (per_block, 50_000))
     got = {r.doc_id: r for r in fingerprint.op3_fingerprint(spark, path).collect()}
     order = sorted(((i, t or "") for i, t, *_ in rows), reverse=True)
     for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
@@ -92,6 +92,14 @@ def test_edited_texts_take_from_the_next_smaller_id(spark, tmp_path, monkeypatch
             assert near == pytest.approx(sum(x[k] == y.get(k) for k in x) / either if either else 1.0)
 
 
+def test_blocks_stay_small_whatever_the_ids(spark, prose):
+    """One far id, and one id that a third of the rows have."""
+    rows = [(i, prose(i, 20), "en", "s") for i in range(1_500)] + [(7, prose(-i, 20), "en", "s") for i in range(1, 800)] + [((1 << 63) - 1, "far", "en", "s"), (-(1 << 63), "far too", "en", "s"), (None, "none", "en", "s")]
+    parts, seam = fingerprint.followed(frame(spark, rows).select("doc_id", "text"), 6_000)
+    sizes = [r["count"] for r in parts.groupBy("block").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 250 and seam.count() == len(sizes)
+
+
 def test_fingerprint_query_of_nothing_and_one(spark, tmp_path):
     for name, rows in (("none", []), ("one", [(1, "abc def", "en", "s")]), ("ties", [(1, "a", "en", "s"), (1, "a", "en", "s"), (None, "b", "en", "s"), (None, None, "en", "s")])):
         frame(spark, rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
