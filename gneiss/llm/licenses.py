@@ -2,8 +2,8 @@
 
 Texts are read as lower-case words of letters and digits. For each size class
 of templates the shingles of a text are cut into overlapping windows, each four
-steps long and a step after the one before; a template of at most three steps
-lies whole in one of them wherever it stands. Each of ``hashes`` min-hashes is
+steps long and a step after the one before, the first at the text's own start; a
+template of at most three steps lies whole in one of them wherever it stands. Each of ``hashes`` min-hashes is
 a band of its own: a window that shares one with a template is a candidate.
 
 Steps run through 1, 2, 3, 4, 6, 8, 12, ..., so a template fills half of its
@@ -91,7 +91,7 @@ def prepared(templates: Mapping[str, tuple[str, ...]], how: Scan) -> list[Templa
                 k = min(how.shingle, n)
                 at = starts(bounds, k)
                 tokens = np.unique(Ranges(words).of(at, at + k))
-                out.append(Template(name, n, k, tokens, np.array([mix(tokens ^ s).min() for s in _seeds(how.hashes)])))
+                out.append(Template(name, n, k, tokens, np.array([hashed(tokens, s).min() for s in _seeds(how.hashes)])))
     return out
 
 
@@ -105,30 +105,58 @@ def _step(shingles: int) -> int:
     return step
 
 
-def candidates(tokens: np.ndarray, templates: list[Template], seeds: np.ndarray) -> list[tuple[int, int, int]]:
-    """(template, first, end) of windows over the shingles that share a min-hash with a template."""
+def hashed(tokens: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """One min-hash order of shingles, whose hashes are mixed already."""
+    return (tokens ^ seed) * (seed | np.uint64(1))
+
+
+class Steps:
+    """Windows of four steps over each text's own shingles; ``first[i]`` is where block i of a text begins."""
+
+    def __init__(self, owner: np.ndarray, step: int):
+        n = len(owner)
+        start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[: n or 0]
+        self.step, end = step, np.append(start[1:], n)
+        blocks = -(-(end - start) // step)
+        text = np.repeat(np.arange(len(start)), blocks)
+        self.first = start[text] + step * (np.arange(len(text)) - (np.cumsum(blocks) - blocks)[text])
+        self.end = np.minimum(self.first + 4 * step, end[text])
+        self._next, self._after = text[1:] == text[:-1], text[2:] == text[:-2]
+
+    def least(self, values: np.ndarray) -> np.ndarray:
+        """The minimum of each window; at the end of a text windows are shorter."""
+        block = np.minimum.reduceat(values, self.first)
+        pair = block.copy()
+        np.minimum(block[:-1], block[1:], out=pair[:-1], where=self._next)
+        window = pair.copy()
+        np.minimum(pair[:-2], pair[2:], out=window[:-2], where=self._after)
+        return window
+
+
+def candidates(tokens: np.ndarray, owner: np.ndarray, templates: list[Template], seeds: np.ndarray) -> list[tuple[int, int, int]]:
+    """(template, first, end) of windows over the shingles that share a min-hash with a template.
+
+    ``owner`` tells which text a shingle is of; a window is of one text.
+    """
     found: set[tuple[int, int, int]] = set()
+    if not len(tokens):
+        return []
     classes: dict[int, list[int]] = {}
     for i, t in enumerate(templates):
         classes.setdefault(_step(len(t.tokens)), []).append(i)
-    n, top = len(tokens), np.iinfo(np.uint64).max
+    windows = {step: Steps(owner, step) for step in classes if step}
     for j, seed in enumerate(seeds):
-        if j and set(classes) == {0}:
+        if j and not windows:
             break
-        hashed = mix(tokens ^ seed)
+        order = hashed(tokens, seed)
         for step, mine in classes.items():
-            if step:
-                block = np.concatenate([hashed, np.full(-n % step + 3 * step, top)]).reshape(-1, step).min(axis=1)
-                pair = np.minimum(block[:-1], block[1:])
-                window = np.minimum(pair[:-2], pair[2:])
-            elif j:
+            if not step and j:
                 continue
-            else:
-                window = hashed
+            least = windows[step].least(order) if step else order
             values = np.array([templates[i].least[j] for i in mine])
-            for w in np.flatnonzero(np.isin(window, values)):
-                reach = (int(w) * step, min(n, (int(w) + 4) * step)) if step else (int(w), int(w) + 1)
-                found |= {(i, *reach) for i, v in zip(mine, values, strict=True) if v == window[w]}
+            for w in np.flatnonzero(np.isin(least, values)):
+                reach = (int(windows[step].first[w]), int(windows[step].end[w])) if step else (int(w), int(w) + 1)
+                found |= {(i, *reach) for i, v in zip(mine, values, strict=True) if v == least[w]}
     return sorted(found)
 
 
@@ -151,17 +179,15 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
             at = starts(bounds, k)
             tokens = Ranges(words).of(at, at + k)
             owner = np.searchsorted(bounds, at, side="right") - 1
-            for i, first, end in candidates(tokens, mine, _seeds(how.hashes)):
-                t = mine[i]
+            for i, first, end in candidates(tokens, owner, mine, _seeds(how.hashes)):
+                t, doc = mine[i], int(owner[first])
                 hit = first + np.flatnonzero(np.isin(tokens[first:end], t.tokens))
-                for doc in np.unique(owner[hit]):  # a window may run over into the next text
-                    own = hit[owner[hit] == doc]
-                    share = len(np.unique(tokens[own])) / len(t.tokens)
-                    if share >= how.containment:
-                        row = best.setdefault((int(doc), t.name), [0.0, 0, 0, 0])
-                        row[3] += 1
-                        if share > row[0]:
-                            row[:3] = [share, int(at[own[0]] - bounds[doc]), int(at[own[-1]] + k - bounds[doc])]
+                share = len(np.unique(tokens[hit])) / len(t.tokens)
+                if share >= how.containment:
+                    row = best.setdefault((doc, t.name), [0.0, 0, 0, 0])
+                    row[3] += 1
+                    if share > row[0]:
+                        row[:3] = [share, int(at[hit[0]] - bounds[doc]), int(at[hit[-1]] + k - bounds[doc])]
         keys = sorted(best)
         return {
             "doc_id": [piece["doc_id"][d] for d, _ in keys], "license": [name for _, name in keys], "containment": [best[x][0] for x in keys],

@@ -107,22 +107,26 @@ def test_fingerprint_query_of_nothing_and_one(spark, tmp_path):
 
 
 # Licenses -----------------------------------------------------------------------
-def brute_licenses(text, how=licenses.Scan()):
-    """Licenses of which some run of text, no longer than a window, holds enough shingles."""
-    words, out = licenses._words([text])[0].tolist(), set()
-    for t in licenses.prepared(licenses.TEMPLATES, how):
-        need = {tuple(x) for x in [words]} and t
-        k = need.shingle
-        from gneiss.llm.words import Ranges
-
-        ranges = Ranges(np.array(words, np.uint64)) if words else None
-        at = np.arange(max(0, len(words) - k + 1))
-        tokens = ranges.of(at, at + k) if len(at) else np.zeros(0, np.uint64)
-        step = licenses._step(len(t.tokens))
-        width = 4 * step if step else 1
-        for i in range(0, len(tokens), step or 1):
-            if len(np.intersect1d(tokens[i : i + width], t.tokens)) >= how.containment * len(t.tokens):
-                out.add(t.name)
+def brute_licenses(text):
+    """{license: best containment} over all windows, by sets of words alone."""
+    import re
+
+    def words(t):
+        return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    mine, out = words(text), {}
+    for name, texts in licenses.TEMPLATES.items():
+        for template in texts:
+            w = words(template)
+            k = min(5, len(w))
+            need = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+            step = next(s for s in sorted([2**i for i in range(12)] + [3 * 2**i for i in range(12)]) if 3 * s >= len(need))
+            width = 4 * step if len(need) > 1 else 1
+            have = [tuple(mine[i : i + k]) for i in range(len(mine) - k + 1)]
+            for i in range(0, len(have), step):
+                share = len(need.intersection(have[i : i + width])) / len(need)
+                if share >= 0.8:
+                    out[name] = max(share, out.get(name, 0))
     return out
 
 
@@ -143,8 +147,10 @@ def test_licenses_are_found_in_any_place(spark, prose):
     assert all(want[i] in found.get(i, set()) for i in want)
     assert not any(i >= 1_000 for i in found if i is not None) and found[None] == {"MIT"}
     text = {i: t for i, t, *_ in rows}
-    for i in [*range(0, n, 3), 1_000, 1_001, 2_002]:
-        assert found.get(i, set()) == brute_licenses(text[i])
+    share = {(r.doc_id, r.license): r.containment for r in got}
+    for i in [*range(n), 1_000, 1_001, 2_002]:
+        want_here = brute_licenses(text[i])
+        assert found.get(i, set()) == set(want_here) and all(share[i, name] == pytest.approx(v) for name, v in want_here.items())
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
@@ -155,6 +161,16 @@ def test_altered_licenses_are_verified(spark):
     assert {(r.doc_id, r.license) for r in licenses.scan(frame(spark, rows)).collect()} == {(1, "MIT")}
 
 
+def test_a_text_is_scanned_alike_beside_any_others(spark, prose):
+    text = licenses.TEMPLATES["MIT"][2].split()
+    altered = " ".join([*text[:20], "inserted", "words", *text[20:]])
+    seen = set()
+    for before in range(0, 40, 3):
+        docs = frame(spark, [(1, prose(before, before), "en", "s"), (2, altered, "en", "s"), (3, prose("c", 90), "en", "s")]).coalesce(1)
+        seen |= {tuple(r) for r in licenses.scan(docs).collect()}
+    assert len(seen) == 1 and next(iter(seen))[:2] == (2, "MIT") and next(iter(seen))[2] == pytest.approx(brute_licenses(altered)["MIT"])
+
+
 def test_long_texts_and_many_notices(spark, prose):
     rows = [(1, " ".join(f"{prose(i, 400)} Licensed under CC BY-NC 4.0." for i in range(60)), "en", "s")]
     r = licenses.scan(frame(spark, rows)).first()
