@@ -6,19 +6,23 @@ slot ``ceil((j + 1) / w)``; the earliest deadline among released blocks gets
 each slot. With weights that add up to one, every block meets its deadline, so
 that at no time a source is a whole block away from its target.
 
-Weights are rounded to a number of slots in a frame, so the schedule repeats
-frame by frame: the slots of one frame (a table whose size does not depend on
-the data) give the slot of any block in closed form. When a source has no block
-left, the others go on at renormalised weights from the next frame on: the
-schedule has a piece for each frame in which sources end, and every block has a
-slot in one of them.
+Weights are exact: as decimals they are in the ratio of whole numbers, and after
+as many slots as these add up to the schedule repeats. The slots of one such
+frame (a table whose size does not depend on the data) give the slot of any
+block in closed form. Only weights whose frame would be longer than
+``Mix.frame`` are rounded to parts of that many; those are then the target. When
+a source has no block left, the others go on at renormalised weights from the
+next frame on: the schedule has a piece for each frame in which sources end, and
+every block has a slot in one of them.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +36,15 @@ SLOT = "_gneiss_slot"
 
 @dataclass(frozen=True)
 class Mix:
-    """Characters of a block, slots of a frame, and the power of a source's size that is its weight where none is given."""
+    """Characters of a block, and slots of a frame at most.
+
+    Where no weights are given a source weighs its size to the power ``power``,
+    in whole parts of ``parts``, at least one.
+    """
 
     block_chars: int = 50_000
-    frame: int = 1_000
+    frame: int = 100_000
+    parts: int = 1_000
     power: float = 0.7
 
 
@@ -56,6 +65,21 @@ def shares(weights: Mapping[str, float], frame: int) -> dict[str, int]:
     return out
 
 
+def ratio(weights: Mapping[str, float], most: int) -> dict[str, int]:
+    """The least whole numbers in the exact ratio of the weights, taken as decimals as they are written.
+
+    If they add up to more than ``most``, the weights are rounded to parts of
+    that many by :func:`shares`. Sources with a weight of 0 or less get none.
+    """
+    used = {s: Fraction(str(w)) for s, w in sorted(weights.items()) if w > 0}
+    if not used:
+        return {}
+    unit = math.lcm(*(w.denominator for w in used.values()))
+    whole = {s: int(w * unit) for s, w in used.items()}
+    common = math.gcd(*whole.values())
+    return {s: n // common for s, n in whole.items()} if sum(whole.values()) // common <= most else shares(weights, most)
+
+
 def frame_slots(slots: Mapping[str, int]) -> dict[str, list[int]]:
     """The slots of one frame that each source gets, earliest deadline first."""
     frame = sum(slots.values())
@@ -85,7 +109,7 @@ def segments(blocks: Mapping[str, int], weights: Mapping[str, float], how: Mix)
     left, start = {s: n for s, n in blocks.items() if n > 0 and weights.get(s, 0) > 0}, 0
     done = dict.fromkeys(left, 0)
     while left:
-        slots = shares({s: weights[s] for s in left}, how.frame)
+        slots = ratio({s: weights[s] for s in left}, how.frame)
         frame, at = sum(slots.values()), frame_slots(slots)
         if whole := min(left[s] // k for s, k in slots.items()):
             for s, k in slots.items():
@@ -121,9 +145,9 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, how: M
     blocks = {s: max(0, chars - 1) // how.block_chars + 1 for s, (_, chars) in totals.items()}
     end = None
     if weights is None:
-        pieces = list(segments(blocks, {s: max(chars, 1) ** how.power for s, (_, chars) in totals.items()}, how))
+        pieces = list(segments(blocks, shares({s: max(chars, 1) ** how.power for s, (_, chars) in totals.items()}, how.parts), how))
     else:
-        slots = shares({s: w for s, w in weights.items() if s in totals}, how.frame)
+        slots = ratio({s: w for s, w in weights.items() if s in totals}, how.frame)
         frame, per = sum(slots.values()), frame_slots(slots)
         pieces = [(s, 0, blocks[s], 0, k, frame, per[s]) for s, k in sorted(slots.items())]
         # A source's first slot without a block of its own ends the mix.

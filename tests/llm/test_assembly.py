@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -122,26 +124,45 @@ def test_frames_are_pfair(weights):
         assert np.all(np.abs(given - (np.arange(frame_) + 1) * k / frame_) < 1)
 
 
-def brute_schedule(blocks, weights, frame_, slots_):
-    """Slot by slot, the earliest deadline among released blocks of all sources, for some frames."""
-    k, total = mixing.shares(weights, frame_), None
-    total = sum(k.values())
-    done, out = dict.fromkeys(k, 0), {}
-    for t in range(slots_):
-        ready = [(-(-(done[s] + 1) * total // k[s]), -k[s], s) for s in k if done[s] * total // k[s] <= t]
-        _, _, s = min(ready)
+def brute_schedule(weights, n):
+    """Slot by slot, the earliest deadline among released blocks, in exact fractions of the weights as written."""
+    w = {s: Fraction(str(x)) for s, x in weights.items() if x > 0}
+    w = {s: x / sum(w.values()) for s, x in w.items()}
+    done, out = dict.fromkeys(w, 0), {}
+    for t in range(n):
+        _, _, s = min((math.ceil((done[s] + 1) / w[s]), -w[s], s) for s in w if math.floor(done[s] / w[s]) <= t)
         out[s, done[s]] = t
         done[s] += 1
     return out
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.2, "c": 0.0996, "d": 0.0004}, {"a": 0.1, "b": 0.7, "c": 1.3}, {"a": 1, "b": 99_000}])
+def test_no_source_is_ever_a_block_away_from_its_exact_weight(weights):
+    k = mixing.ratio(weights, 100_000)
+    size, at, n = sum(k.values()), mixing.frame_slots(k), 100_000
+    owner = np.empty(size, object)
+    for s, x in at.items():
+        owner[x] = s
+    order = np.tile(owner, -(-n // size))[:n]
+    total = sum(Fraction(str(w)) for w in weights.values())
+    for s, w in weights.items():
+        assert np.max(np.abs(np.cumsum(order == s) - np.arange(1, n + 1) * float(Fraction(str(w)) / total))) < 1
+    want = brute_schedule(weights, 3_000)
+    assert all(order[t] == s for (s, _), t in want.items())
+
+
+def test_ratios():
+    assert mixing.ratio({"a": 0.5, "b": 0.25, "c": 0.25, "d": 0}, 100) == {"a": 2, "b": 1, "c": 1}
+    assert mixing.ratio({"a": 1 / 3, "b": 0.7}, 100) == mixing.shares({"a": 1 / 3, "b": 0.7}, 100) and mixing.ratio({}, 9) == {}
+
+
 def test_schedule_equals_slot_by_slot(spark, prose):
     rows = [(i, prose(i, 20 + i % 50), "en", f"s{min(3, i % 10)}") for i in range(400)] + [(500, None, "en", "s0"), (501, "abc", "en", None), (502, "", "en", "s1"), (None, "x", "en", "s2")]
-    how = mixing.Mix(block_chars=700, frame=50)
+    how = mixing.Mix(block_chars=700)
     weights = {"s0": 3, "s1": 2, "s2": 1, "s3": 4, "": 0.0, "none": 9}
     got = mixing.schedule(frame(spark, rows, extra=True), weights, how).collect()
     assert len(got) == len(rows)
-    want = brute_schedule(None, {s: w for s, w in weights.items() if s != "none"}, 50, 2_000)
+    want = brute_schedule({s: w for s, w in weights.items() if s != "none"}, 2_000)
     blocks = {s: {r.block for r in got if r.source == s} for s in ("s0", "s1", "s2", "s3")}
     # A document is of the block that it begins in; a long last one may reach into blocks of its own.
     count = {s: max(0, sum(len(t or "") for _, t, _, x in rows if x == s) - 1) // 700 + 1 for s in blocks}
@@ -170,7 +191,7 @@ def test_mix_of_nothing_and_of_whole_rows(spark, corpus):
 
 def test_a_source_of_one_document_does_not_end_the_mix(spark, prose):
     rows = [(i, prose(i, 20 + i % 50), "en", f"s{min(3, i % 10)}") for i in range(600)] + [(900, "one", "en", "lone"), (901, prose("null", 30), "en", None)]
-    how = mixing.Mix(block_chars=300, frame=50)
+    how = mixing.Mix(block_chars=300, parts=50)
     got = mixing.schedule(frame(spark, rows), how=how).collect()
     assert len(got) == len(rows) and all(r.in_mix for r in got)
     assert sorted(r.doc_id for r in mixing.mixed(frame(spark, rows), how=how).collect()) == sorted(i for i, *_ in rows)
@@ -178,7 +199,7 @@ def test_a_source_of_one_document_does_not_end_the_mix(spark, prose):
     for _, text, _, s in rows:
         chars[s or ""] += len(text)
     blocks = {s: (n - 1) // 300 + 1 for s, n in chars.items()}
-    weights = {s: n**how.power for s, n in chars.items()}
+    weights = mixing.shares({s: n**how.power for s, n in chars.items()}, 50)
     # Every block has a slot of its own, without gaps, and blocks of a source follow one another.
     slot_of = {(s, j): start + (j - first) // k * size + at[(j - first) % k] for s, first, after, start, k, size, at in mixing.segments(blocks, weights, how) for j in range(first, after)}
     assert set(slot_of) == {(s, j) for s, n in blocks.items() for j in range(n)}
@@ -200,7 +221,7 @@ def test_a_source_of_one_document_does_not_end_the_mix(spark, prose):
 
 def test_mixed_stands_in_the_order_of_slots(spark, corpus):
     docs = frame(spark, corpus)
-    how = mixing.Mix(block_chars=700, frame=50)
+    how = mixing.Mix(block_chars=700, parts=50)
     slot = {}
     for r in mixing.schedule(docs.where("doc_id is not null"), how=how).collect():
         slot[r.doc_id] = min(r.slot, slot.get(r.doc_id, r.slot))
