@@ -4,10 +4,11 @@ A document is cut into full sequences and a rest. How many rests there are of
 each length (in steps of ``quantum``) is all that the plan needs. A linear
 program chooses how often to use which pattern of lengths; new patterns come
 from a knapsack solved by dynamic programming over the program's prices, until
-none improves the bound. Whole parts of the solution become sequences, what is
-left of the fractions is packed greedily, and slots are dealt to the documents
-by their rank within their length. The plan's size depends on the sequence
-length alone; the documents are numbered and joined by Spark.
+none improves the bound. It begins with the patterns of a greedy packing, so that
+it ends early where those are good already. Whole parts of the solution become
+sequences, what is left of the fractions is packed greedily, and slots are dealt
+to the documents by their rank within their length. The plan's size depends on
+the sequence length alone; the documents are numbered and joined by Spark.
 """
 
 from __future__ import annotations
@@ -26,11 +27,16 @@ from .tokens import encoder
 
 @dataclass(frozen=True)
 class Pack:
-    """Tokens in a sequence, the step of lengths, and the gap to the bound at which the program stops."""
+    """Tokens in a sequence and the step of lengths.
+
+    The program stops within ``gap`` of its bound, or after ``rounds`` columns;
+    :class:`Plan` tells the bound it has proved by then.
+    """
 
     length: int = 4_096
-    quantum: int = 8
+    quantum: int = 4
     gap: float = 1e-3
+    rounds: int = 10_000
     end_id: int = 2
 
     @property
@@ -62,65 +68,120 @@ def cut_up(docs: DataFrame, how: Pack, path: str | None) -> DataFrame:
 
 def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The most valuable multiset of lengths 1..len(prices) of a total of at most ``capacity``."""
+    sizes = np.flatnonzero(prices > 0) + 1
+    worth, fits = prices[sizes - 1], np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
-        k = min(c, len(prices))
-        values = prices[:k] + best[c - 1 : (c - k - 1) if c > k else None : -1]
-        i = int(values.argmax())
-        best[c], choice[c] = (values[i], i + 1) if values[i] > best[c - 1] else (best[c - 1], 0)
+        best[c] = best[c - 1]
+        if k := fits[c]:
+            values = worth[:k] + best[c - sizes[:k]]
+            i = int(values.argmax())
+            if values[i] > best[c]:
+                best[c], choice[c] = values[i], sizes[i]
     pattern, c = np.zeros(len(prices)), capacity
     while c > 0:
         if choice[c]:
             pattern[choice[c] - 1] += 1
-            c -= choice[c]
-        else:
-            c -= 1
+        c -= max(1, int(choice[c]))
     return float(best[capacity]), pattern
 
 
-def plan(demand: np.ndarray, gap: float = 1e-3, most: int = 5_000) -> list[tuple[np.ndarray, int]]:
-    """Patterns (how many of each length) and how often each is used, covering the demand exactly.
+@dataclass(frozen=True)
+class Plan:
+    """Patterns (how many pieces of each length) and how often each is used; no packing has fewer sequences than ``bound``."""
 
-    ``demand[k]`` counts the pieces of length k + 1; the capacity is the number of lengths.
+    patterns: list[tuple[np.ndarray, int]]
+    bound: float
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.patterns)
+
+
+def greedy_basis(sizes: np.ndarray, capacity: int, demand: np.ndarray) -> np.ndarray:
+    """A column for each length: longest first, each pattern used until one of its lengths runs out.
+
+    Later columns do not hold the length that ran out, so they are independent.
     """
-    capacity = len(demand)
-    need = np.flatnonzero(demand)
-    if not len(need):
-        return []
-    sizes = need + 1
-    fits = capacity // sizes
-    basis = np.diag(fits.astype(float))  # a column for each length to begin with
-    inverse = np.diag(1 / fits)
-    x = demand[need] / fits
-    for step in range(most):
-        duals = np.ones(len(need)) @ inverse
-        prices = np.zeros(capacity)
-        prices[need] = np.maximum(duals, 0)
-        value, pattern = knapsack(prices, capacity)
-        if value <= 1 + gap:  # the sum of x is then within this factor of the bound
+    left, open_ = demand.astype(float), np.ones(len(sizes), bool)
+    columns = np.zeros((len(sizes), len(sizes)))
+    for column in columns.T:
+        room = capacity
+        for k in np.flatnonzero(open_)[::-1]:
+            if room >= sizes[k]:
+                column[k] = room // sizes[k]
+                room -= int(column[k]) * sizes[k]
+        held = np.flatnonzero(column)
+        out = held[(left[held] / column[held]).argmin()]
+        left = np.maximum(left - left[out] / column[out] * column, 0)
+        open_[out] = False
+    return columns
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan steps with row pivots.
+
+    Written out because the threads of a BLAS library may hang in a process that
+    has forked, as a Spark driver does to start its JVM.
+    """
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        pivot = i + int(np.abs(both[i:, i]).argmax())
+        if pivot != i:
+            both[[i, pivot]] = both[[pivot, i]]
+        both[i] /= both[i, i]
+        rows = np.flatnonzero(both[:, i])
+        rows = rows[rows != i]
+        both[rows] -= both[rows, i, None] * both[i]
+    return both[:, n:].copy()
+
+
+def relaxed(demand: np.ndarray, gap: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Columns over the lengths in demand, how often each is used (fractions), and a lower bound of their sum.
+
+    Prices over the value of the best pattern are a feasible dual solution, so
+    their sum over the demand is a bound. New columns are priced between the
+    best such prices and the present ones, which steadies the program.
+    """
+    capacity, need = len(demand), np.flatnonzero(demand)
+    sizes, d = need + 1, demand[need].astype(float)
+    basis = greedy_basis(sizes, capacity, d)
+    inverse = inverted(basis)
+    x = np.maximum(inverse @ d, 0)
+    bound, best = float(d @ sizes) / capacity, None
+    for step in range(rounds):
+        duals = inverse.sum(axis=0)
+        column = None
+        for share in (0.7, 0.0) if best is not None else (0.0,):
+            p = np.maximum(duals, 0) * (1 - share) + (best * share if share else 0)
+            prices = np.zeros(capacity)
+            prices[need] = p
+            value, pattern = knapsack(prices, capacity)
+            low = float(d @ p) / value
+            if best is None or low > bound:
+                bound, best = max(bound, low), p / value
+            if pattern[need] @ duals > 1 + 1e-9:
+                column = pattern[need]
+                break
+        if column is None or x.sum() <= bound * (1 + gap):
             break
-        column = pattern[need]
         change = inverse @ column
-        ratio = np.where(change > 1e-9, x / np.where(change > 1e-9, change, 1), np.inf)
-        leave = int(ratio.argmin())
+        leave = int(np.where(change > 1e-9, x / np.where(change > 1e-9, change, 1), np.inf).argmin())
         basis[:, leave] = column
         row = inverse[leave] / change[leave]
         inverse -= np.outer(change, row)
         inverse[leave] = row
-        if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
-        x = np.maximum(inverse @ demand[need], 0)
-    chosen: dict[tuple, int] = {}
-    left = demand.astype(np.int64).copy()
-    for i in np.argsort(-x, kind="stable"):
-        counts = np.zeros(capacity, np.int64)
-        counts[need] = np.round(basis[:, i]).astype(np.int64)
-        held = counts > 0
-        times = min(int(x[i] + 1e-7), int((left[held] // counts[held]).min()))
-        if times > 0:
-            left -= times * counts
-            chosen[tuple(counts)] = chosen.get(tuple(counts), 0) + times
-    while left.any():  # the fractions' rest: longest first, into what fits
+        if step % 100 == 99:
+            inverse = inverted(basis)
+        x = np.maximum(inverse @ d, 0)
+    return basis, x, bound
+
+
+def greedily(left: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Longest first, into what fits; each pattern as often as its pieces last."""
+    capacity, left, out = len(left), left.copy(), []
+    while left.any():
         counts, room = np.zeros(capacity, np.int64), capacity
         for k in np.flatnonzero(left)[::-1]:
             n = min(int(left[k]), room // (int(k) + 1))
@@ -128,8 +189,31 @@ def plan(demand: np.ndarray, gap: float = 1e-3, most: int = 5_000) -> list[tuple
         held = counts > 0
         times = int((left[held] // counts[held]).min())
         left -= times * counts
-        chosen[tuple(counts)] = chosen.get(tuple(counts), 0) + times
-    return [(np.array(p), n) for p, n in chosen.items()]
+        out.append((counts, times))
+    return out
+
+
+def plan(demand: np.ndarray, gap: float = 1e-3, rounds: int = 10_000) -> Plan:
+    """Patterns that cover the demand exactly: the rounded program, or the greedy packing where that is no longer.
+
+    ``demand[k]`` counts the pieces of length k + 1; the capacity is the number of lengths.
+    """
+    capacity, need = len(demand), np.flatnonzero(demand)
+    if not len(need):
+        return Plan([], 0.0)
+    basis, x, bound = relaxed(demand, gap, rounds)
+    chosen: list[tuple[np.ndarray, int]] = []
+    left = demand.astype(np.int64)
+    for i in np.argsort(-x, kind="stable"):
+        counts = np.zeros(capacity, np.int64)
+        counts[need] = np.round(basis[:, i]).astype(np.int64)
+        held = counts > 0
+        times = min(int(x[i] + 1e-7), int((left[held] // counts[held]).min()))
+        if times > 0:
+            left = left - times * counts
+            chosen.append((counts, times))
+    rounded, plain = Plan(chosen + greedily(left), bound), Plan(greedily(demand.astype(np.int64)), bound)
+    return min(rounded, plain, key=lambda p: p.sequences)
 
 
 def slots(patterns: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -155,7 +239,7 @@ def pack(docs: DataFrame, how: Pack = Pack(), path: str | None = None) -> DataFr
     pieces = written(cut_up(docs, how, path).withColumn("class", F.ceil(F.col("length") / how.quantum).cast("int")))
     counts = {r["class"]: r["n"] for r in pieces.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a class
     demand = np.array([counts.get(k + 1, 0) for k in range(how.classes)], np.int64)
-    deal = docs.sparkSession.createDataFrame(slots(plan(demand, how.gap)), "class int, first long, last long, per long, base long")
+    deal = docs.sparkSession.createDataFrame(slots(plan(demand, how.gap, how.rounds).patterns), "class int, first long, last long, per long, base long")
     ranked = running(pieces, "class", ["doc_id", "start", "ids_crc32"], rows=int(demand.sum()))
     ranked = ranked.withColumnRenamed("class", "own")
     placed = ranked.join(F.broadcast(deal), (F.col("own") == F.col("class")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("last")))  # at most some thousand rows

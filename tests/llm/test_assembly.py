@@ -292,7 +292,7 @@ def test_knapsack_and_plan_against_plain_ones():
         assert value == pytest.approx(brute_knapsack(prices, 24)) and pattern @ prices == pytest.approx(value) and pattern @ np.arange(1, 25) <= 24
     for _ in range(8):
         demand = r.integers(0, 400, 64) * (r.random(64) < 0.7)
-        made = packing.plan(demand)
+        made = packing.plan(demand).patterns
         assert (sum(n * p for p, n in made) == demand).all() and all(p @ np.arange(1, 65) <= 64 for p, _ in made)
         least = -(-int(demand @ np.arange(1, 65)) // 64)
         # First-fit decreasing, for comparison.
@@ -301,7 +301,20 @@ def test_knapsack_and_plan_against_plain_ones():
             i = next((i for i, room in enumerate(bins) if room >= size), None)
             bins.append(64 - size) if i is None else bins.__setitem__(i, bins[i] - size)
         assert least <= sum(n for _, n in made) <= len(bins) + 1
-    assert packing.plan(np.zeros(8, np.int64)) == []
+    assert packing.plan(np.zeros(8, np.int64)).patterns == []
+
+
+@pytest.mark.parametrize("shape", ["gamma", "uniform", "two peaks", "thirds"])
+def test_plans_are_near_their_bound(shape):
+    r = np.random.default_rng(5)
+    lengths = {
+        "gamma": r.gamma(2, 60, 50_000) + 1, "uniform": r.integers(1, 513, 50_000),
+        "two peaks": np.where(r.random(50_000) < 0.5, r.normal(140, 15, 50_000), r.normal(230, 20, 50_000)), "thirds": r.integers(120, 260, 50_000),
+    }[shape]
+    demand = np.bincount(np.clip(lengths.astype(int), 1, 512), minlength=513)[1:]
+    made = packing.plan(demand)
+    assert (sum(n * p for p, n in made.patterns) == demand).all() and all(p @ np.arange(1, 513) <= 512 for p, _ in made.patterns)
+    assert demand @ np.arange(1, 513) / 512 <= made.bound <= made.sequences <= 1.02 * made.bound + 1
 
 
 # The pipeline ---------------------------------------------------------------------------
