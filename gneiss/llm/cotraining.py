@@ -3,20 +3,25 @@
 One classifier sees the text's content (hashed byte trigrams), the other what
 there is to know about the page without reading it: source, language, length
 and layout (lines, shares of character classes, how often words come back).
-Both start from labelled documents. In each round either one labels the
-unlabelled pool, and its most confident labels join the training rows of the
-*other*. Scores of each view are calibrated on labelled rows held out from
-training, and the calibrated log-odds of both are added up, less the prior that
-both contain.
-
-Fitting happens on a bounded sample (``labelled`` and ``pool`` documents, those
-with the least hash of their doc_id), on the driver. Scoring reads every
-document once, in tasks.
+Names and length alone tell next to nothing where sources are alike, so layout
+is part of the page's view.
+
+Both start from labelled documents. In each round either one labels all other
+documents of the corpus, and what it is confident of teaches the *other* one: a
+Newton step along the gradient over the labelled and all confidently labelled
+documents, as long as does best on held-out labelled rows. Scores of each view
+are calibrated on these rows as well, and the calibrated log-odds of both are
+added up, less the prior that both contain.
+
+The labelled sample is bounded (``labelled`` documents with the least hash of
+their doc_id) and fitted on the driver. Every round is one pass over all texts
+in tasks, each of which sends one row of gradient sums; Spark adds them up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import map_batches, map_rows, slices, table
+from .jobs import arrow_schema, map_batches, map_rows, slices, table
 from .quality_rules import CLASSES, char_classes, duplicate_lines, repeated_words
 from .words import batch, encode
 
@@ -35,12 +40,10 @@ _GRAM = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the sample and of the rounds."""
+    """``labelled``: the labelled documents at most that are fitted and held out."""
 
-    labelled: int = 2_000
-    pool: int = 2_000
+    labelled: int = 4_000
     rounds: int = 3
-    share: float = 0.1  # of the pool, at most, that a view labels in a round
     confidence: float = 0.95
     held_out: float = 0.25
     keep_from: float = 0.5
@@ -82,11 +85,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def content(texts: list[str | None]) -> np.ndarray:
     """Hashed byte trigrams of each text: log counts, scaled to length 1."""
     parts = [encode(t) for t in texts]
-    data = np.frombuffer(b"".join(parts) + b"\0\0", np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"\0\0".join([*parts, b"\0\0"]), np.uint8).astype(np.uint64)
     grams = data[:-2] | (data[1:-1] << np.uint64(8)) | (data[2:] << np.uint64(16))
     at = ((grams * _GRAM) >> np.uint64(64 - HASHED.bit_length() + 1)).astype(np.int64)
-    lengths = [len(p) for p in parts]
-    counts = np.bincount(np.repeat(np.arange(len(parts)) * HASHED, lengths) + at, minlength=len(parts) * HASHED)
+    lengths = np.array([len(p) for p in parts], np.int64)
+    # A gram for each byte of a text, none for the two bytes between texts.
+    inside = np.repeat(np.tile([True, False], len(parts)), np.column_stack([lengths, np.full(len(parts), 2)]).ravel())[: len(grams)]
+    counts = np.bincount(np.repeat(np.arange(len(parts)) * HASHED, lengths) + at[inside], minlength=len(parts) * HASHED)
     x = np.log1p(counts.reshape(len(parts), HASHED)).astype(np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
 
@@ -107,12 +112,12 @@ def page(texts: list[str | None], langs: list[str | None], sources: list[str | N
     ])
     names = np.zeros((len(texts), 2 * NAMES))
     for column, values in enumerate((langs, sources)):
-        hashed = [sum(encode(v)[i] * 31**i for i in range(min(len(encode(v)), 40))) % NAMES for v in values]
+        hashed = [zlib.crc32(encode(v)) % NAMES for v in values]
         names[np.arange(len(texts)), column * NAMES + np.array(hashed, np.int64)] = 1
     return np.hstack([shape, names]).astype(np.float32)
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 80, ridge: float = 1e-3) -> View:
+def fit(x: np.ndarray, y: np.ndarray, steps: int = 150, ridge: float = 1e-3) -> View:
     """Logistic regression by accelerated gradient steps; classes weigh the same."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     z, y = ((x - mean) / scale).astype(np.float32), y.astype(np.float32)
@@ -149,54 +154,92 @@ def calibrate(view: View, x: np.ndarray, y: np.ndarray) -> None:
     view.slope, view.offset = max(a, 1e-3), b
 
 
-def cotrain(views: list[np.ndarray], y: np.ndarray, how: Training = Training()) -> Model:
-    """``y``: 1 or 0, and -1 for the pool. Rows are used in the order given."""
-    known = np.flatnonzero(y >= 0)
-    n_held = int(len(known) * how.held_out)
-    held, first = known[:n_held], known[n_held:]
-    labels = y[known].astype(float)
-    if len(np.unique(y[first])) < 2 or len(np.unique(y[held])) < 2:
-        good = labels.mean() if len(labels) else 0.5
-        return Model(float(np.log((good * len(labels) + 1) / ((1 - good) * len(labels) + 1))))
-    rate = float(y[first].mean())
-    rows = [list(first), list(first)]
-    given = [list(y[first].astype(float)), list(y[first].astype(float))]
-    pool = [set(np.flatnonzero(y < 0).tolist()) for _ in views]
-    fitted = [fit(x[first], y[first].astype(float)) for x in views]
-    most = max(1, int(how.share * max(len(p) for p in pool)))
+#: For each student and label: sums of residual times input, of residuals, and of rows.
+Lessons = list[list[np.ndarray]]
+
+
+def lessons(model: Model, views: list[np.ndarray], how: Training) -> Lessons:
+    """What each view has to learn from the documents that the other one is confident of."""
+    odds, out = model.log_odds(views), []
+    for student, (view, x) in enumerate(zip(model.views, views, strict=True)):
+        p, score = sigmoid(odds[1 - student]), sigmoid(view.score(x))
+        out.append([])
+        for label, sure in ((0, p <= 1 - how.confidence), (1, p >= how.confidence)):
+            r = (score[sure] - label).astype(np.float64)
+            out[-1].append(np.concatenate([r @ x[sure].astype(np.float64), [r.sum(), sure.sum()]]))
+    return out
+
+
+def learn(view: View, x: np.ndarray, y: np.ndarray, taught: list[np.ndarray], held_x: np.ndarray, held_y: np.ndarray, ridge: float = 1e-2) -> View:
+    """The view after one step on its labelled rows and what it was taught; classes weigh the same.
+
+    The direction solves the labelled rows' Hessian by conjugate gradients; the
+    length, which may be 0, has the least loss on the rows held out.
+    """
+    z = ((x - view.mean) / view.scale).astype(np.float64)
+    p = sigmoid(view.score(x))
+    g, curve = np.append(ridge * view.weights, 0.0), np.zeros(len(y))
+    for label in (0, 1):
+        mine, sums = y == label, taught[label]
+        weight = 0.5 / max(mine.sum() + sums[-1], 1)
+        r = p[mine] - label
+        g += weight * np.append(r @ z[mine] + (sums[:-2] - view.mean * sums[-2]) / view.scale, r.sum() + sums[-2])
+        curve[mine] = 0.5 / max(mine.sum(), 1) * (p * (1 - p))[mine]
+
+    def hessian(v: np.ndarray) -> np.ndarray:
+        s = curve * (z @ v[:-1] + v[-1])
+        return np.append(s @ z, s.sum()) + ridge * v
+
+    step, left = np.zeros(len(g)), -g
+    way, size = left.copy(), float(g @ g)
+    for _ in range(60):
+        if size < 1e-18:
+            break
+        h = hessian(way)
+        a = size / float(way @ h)
+        step, left = step + a * way, left - a * h
+        size, was = float(left @ left), size
+        way = left + size / was * way
+
+    def moved(t: float) -> View:
+        return View(view.mean, view.scale, (view.weights + t * step[:-1]).astype(np.float32), view.bias + t * float(step[-1]))
+
+    def loss(v: View) -> float:
+        s = v.score(held_x)
+        return sum(np.logaddexp(0, np.where(label, -1, 1) * s[held_y == label]).mean() for label in (0, 1))
+
+    return min((moved(t) for t in (0.0, 0.125, 0.25, 0.5, 1.0, 2.0)), key=loss)
+
+
+def cotrain(views: list[np.ndarray], y: np.ndarray, teach: Callable[[Model], Lessons], how: Training = Training()) -> Model:
+    """``views`` and ``y`` (1 or 0) of the labelled rows, the first of which are held out; ``teach`` gives the lessons of all others."""
+    n_held = int(len(y) * how.held_out)
+    held_y, first_y = y[:n_held], y[n_held:]
+    if len(np.unique(first_y)) < 2 or len(np.unique(held_y)) < 2:
+        good = y.mean() if len(y) else 0.5
+        return Model(float(np.log((good * len(y) + 1) / ((1 - good) * len(y) + 1))))
+    good = float(y.mean())
+    model = Model(float(np.log(good / (1 - good))), [fit(x[n_held:], first_y.astype(float)) for x in views])
+    for view, x in zip(model.views, views, strict=True):
+        calibrate(view, x[:n_held], held_y.astype(float))
     for _ in range(how.rounds):
-        for teacher, x in enumerate(views):
-            student = 1 - teacher
-            open_ = np.array(sorted(pool[student]), np.int64)
-            if not len(open_):
-                continue
-            calibrate(fitted[teacher], x[held], y[held].astype(float))
-            p = sigmoid(fitted[teacher].log_odds(x[open_]))
-            # As many of either class as the labelled rows have, so that the prior stays.
-            for label, sure, n in ((1.0, p, max(1, int(most * rate))), (0.0, 1 - p, max(1, int(most * (1 - rate))))):
-                best = [i for i in np.argsort(-sure, kind="stable")[:n] if sure[i] >= how.confidence]
-                rows[student] += open_[best].tolist()
-                given[student] += [label] * len(best)
-                pool[student] -= set(open_[best].tolist())
-        fitted = [fit(x[np.array(r)], np.array(g)) for x, r, g in zip(views, rows, given, strict=True)]
-    for view, x in zip(fitted, views, strict=True):
-        calibrate(view, x[held], y[held].astype(float))
-    good = y[known].mean()
-    return Model(float(np.log(good / (1 - good))), fitted)
-
-
-def sample(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[list[np.ndarray], np.ndarray]:
-    """Both views and labels (-1: pool) of the sample, in the order of a hash of doc_id."""
+        taught = teach(model)
+        model = Model(model.prior, [learn(v, x[n_held:], first_y, t, x[:n_held], held_y) for v, x, t in zip(model.views, views, taught, strict=True)])
+        for view, x in zip(model.views, views, strict=True):
+            calibrate(view, x[:n_held], held_y.astype(float))
+    return model
+
+
+def sample(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[list[np.ndarray], np.ndarray, frozenset[int]]:
+    """Both views, labels and ids of the labelled sample, in the order of a hash of doc_id."""
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    order = F.xxhash64("doc_id")
     ids = docs.where("doc_id is not null").select("doc_id")
-    chosen = known.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(how.labelled).collect()
-    pool = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(how.pool).collect()
-    wanted = {r["doc_id"]: r["y"] for r in chosen} | {r["doc_id"]: -1 for r in pool}
+    chosen = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.labelled).collect()
+    wanted = {r["doc_id"]: r["y"] for r in chosen}
     if not wanted:
-        return [np.zeros((0, 1)), np.zeros((0, 1))], np.zeros(0)
-    few = spark.createDataFrame([*wanted.items()], "doc_id long, y int")  # labelled + pool rows at most
+        return [np.zeros((0, 1)), np.zeros((0, 1))], np.zeros(0), frozenset()
+    few = spark.createDataFrame([*wanted.items()], "doc_id long, y int")  # labelled rows at most
 
     def work(piece: dict[str, list]) -> dict[str, list]:
         x = content(piece["text"])
@@ -206,27 +249,58 @@ def sample(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[list[np.n
     rows = map_rows(docs.select("text", "doc_id", "lang", "source").join(F.broadcast(few), "doc_id").select("text", "doc_id", "lang", "source", "y"), work, "doc_id long, y int, at array<int>, x array<float>, page array<float>")
     got = rows.limit(len(wanted)).toArrow().combine_chunks()
     if not got.num_rows:
-        return [np.zeros((0, 1)), np.zeros((0, 1))], np.zeros(0)
+        return [np.zeros((0, 1)), np.zeros((0, 1))], np.zeros(0), frozenset()
     at, values, shape = (got.column(c).chunk(0) for c in ("at", "x", "page"))
     x = np.zeros((got.num_rows, HASHED), np.float32)
     x[np.repeat(np.arange(got.num_rows), np.diff(at.offsets.to_numpy())), at.values.to_numpy()] = values.values.to_numpy()
     place = {d: i for i, d in enumerate(wanted)}
     order = np.argsort([place[d] for d in got.column("doc_id").to_pylist()], kind="stable")
-    return [x[order], shape.values.to_numpy().reshape(got.num_rows, -1)[order]], got.column("y").to_numpy()[order]
+    return [x[order], shape.values.to_numpy().reshape(got.num_rows, -1)[order]], got.column("y").to_numpy()[order], frozenset(wanted)
+
+
+def views_of(piece: dict[str, list], size: int = 256) -> Iterator[list[np.ndarray]]:
+    """Both views of a piece, some rows at a time."""
+    for i in range(0, len(piece["text"]), size):
+        texts, langs, sources = (piece[c][i : i + size] for c in ("text", "lang", "source"))
+        yield [content(texts), page(texts, langs, sources)]
+
+
+def taught(docs: DataFrame, model: Model, own: frozenset[int], how: Training) -> Lessons:
+    """The lessons of all documents but the labelled sample ``own``: one pass, sums added up by Spark."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, own))
+    schema = arrow_schema("student int, label int, sums array<double>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, own = shared.value
+        total = [[np.zeros(len(v.weights) + 2) for _ in (0, 1)] for v in model.views]
+        for part in slices(batches, "text"):
+            piece = part.filter(pa.array([d not in own for d in part.column("doc_id").to_pylist()])).to_pydict()
+            for views in views_of(piece):
+                for mine, more in zip(total, lessons(model, views, how), strict=True):
+                    for sums, x in zip(mine, more, strict=True):
+                        sums += x
+        yield pa.RecordBatch.from_pylist([{"student": s, "label": c, "sums": x} for s, mine in enumerate(total) for c, x in enumerate(mine)], schema=schema)
+
+    rows = map_batches(docs.select("text", "doc_id", "lang", "source"), run, "student int, label int, sums array<double>")
+    sums = rows.select("student", "label", F.posexplode("sums").alias("at", "x")).groupBy("student", "label", "at").agg(F.sum("x").alias("x"))
+    out = [[np.zeros(len(v.weights) + 2) for _ in (0, 1)] for v in model.views]
+    for r in sums.collect():  # two rows for each input of each view, whatever the corpus
+        out[r["student"]][r["label"]][r["at"]] = r["x"]
+    shared.destroy()
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
-    """Fit on the sample. Without labels of both classes the model knows the prior alone."""
-    views, y = sample(docs, labels, how)
-    return cotrain(views, y, how) if len(y) else Model()
+    """Fit on the sample, then rounds over all documents. Without labels of both classes the model knows the prior alone."""
+    views, y, own = sample(docs, labels, how)
+    return cotrain(views, y, lambda model: taught(docs, model, own, how), how) if len(y) else Model()
 
 
 def judged(model: Model, piece: dict[str, list], how: Training) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Probabilities of quality: by content, by page, by both; and whether it is kept."""
     parts: list[list[np.ndarray]] = [[], []]
-    for i in range(0, len(piece["text"]), 256):
-        texts, langs, sources = (piece[c][i : i + 256] for c in ("text", "lang", "source"))
-        for part, odds in zip(parts, model.log_odds([content(texts), page(texts, langs, sources)]), strict=True):
+    for views in views_of(piece):
+        for part, odds in zip(parts, model.log_odds(views), strict=True):
             part.append(odds)
     a, b = (np.concatenate([np.zeros(0), *p]) for p in parts)
     both = sigmoid(a + b - model.prior)
