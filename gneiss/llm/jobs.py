@@ -35,9 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or the one set where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.getCheckpointDir():
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, the session's own checkpoint folder; a session in local
+    mode without one gets a temporary folder, on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gneiss-"))
     return root or spark.sparkContext.getCheckpointDir()
 

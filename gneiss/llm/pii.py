@@ -127,26 +127,33 @@ def mentions(text: str, spans: list[tuple[int, int, int]], how: Disclosure) -> t
 
 
 def scan(docs: DataFrame, how: Disclosure) -> DataFrame:
-    """doc_id, base: the patterns' spans, held: entities, terms: those of documents that hold entities."""
+    """doc_id, text_key (a hash of the text), base: the patterns' spans, held: entities, terms: those of documents that hold entities."""
 
     def work(piece: dict[str, list]) -> dict[str, list]:
         spans = [base_spans(t) for t in piece["text"]]
         found = [mentions(t, x, how) if x else ([], []) for t, x in zip(piece["text"], spans, strict=True)]
         return {
             "doc_id": piece["doc_id"],
+            "text_key": piece["text_key"],
             "base": [[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in spans],
             "held": [x for x, _ in found],
             "terms": [x for _, x in found],
         }
 
-    ddl = "doc_id long, base array<struct<start:int,kind:int,end:int>>, held array<struct<entity:string,context:long>>, terms array<struct<term:string,places:array<struct<start:int,end:int>>>>"
-    return map_rows(docs.select("doc_id", "text"), work, ddl)
+    ddl = "doc_id long, text_key long, base array<struct<start:int,kind:int,end:int>>, held array<struct<entity:string,context:long>>, terms array<struct<term:string,places:array<struct<start:int,end:int>>>>"
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), work, ddl)
 
 
 def together(found: DataFrame, entities: DataFrame) -> DataFrame:
-    """doc_id, entity, context, term, places: the entities with each term of the documents that hold them."""
-    rows = found.select("doc_id", F.explode("held").alias("h"), "terms").select("doc_id", "h.entity", "h.context", "terms")
-    return rows.join(counted(entities), "entity", "left_semi").select("doc_id", "entity", "context", F.explode("terms").alias("t")).select("doc_id", "entity", "context", "t.term", "t.places")
+    """doc_id, text_key, entity, context, term, places: the entities with each term of the documents that hold them."""
+    rows = found.select("doc_id", "text_key", F.explode("held").alias("h"), "terms").select("doc_id", "text_key", "h.entity", "h.context", "terms")
+    rows = rows.join(counted(entities), "entity", "left_semi").select("doc_id", "text_key", "entity", "context", F.explode("terms").alias("t"))
+    return rows.select("doc_id", "text_key", "entity", "context", "t.term", "t.places")
+
+
+def same_text(left: DataFrame, doc_id: str, text_key: str):  # noqa: ANN201
+    """Rows of the same document and text; a null doc_id equals another."""
+    return left["doc_id"].eqNullSafe(F.col(doc_id)) & (F.col("text_key") == F.col(text_key))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, how: Disclosure) -> DataFrame:
@@ -181,22 +188,24 @@ def disclosing(docs: DataFrame, found: DataFrame, how: Disclosure) -> DataFrame:
 
 
 def find(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
-    """A row for each document: ``base`` spans, and the spans ``added`` by disclosure.
+    """A row for each document: doc_id, ``text_key``, ``base`` spans, and the spans ``added`` by disclosure.
 
     Spans are (start, kind, end) in code points, end exclusive, kinds numbered
     as in :data:`KINDS`. Null and empty texts have none. Repeated rows count as
-    documents each. Rows with a null doc_id get their base spans. Other columns
-    are not looked at.
+    documents each. Added spans belong to a doc_id (null too) and a text, so that
+    rows which repeat an id with other texts have their own. Other columns are
+    not looked at.
     """
     found = written(scan(docs, how))
     pairs = written(disclosing(docs, found, how))
     spot = F.col("p")
     near = together(found, cut(pairs.select("entity").distinct()))
-    spans = near.join(pairs.drop("share"), ["entity", "term"]).select("doc_id", "kind", F.explode("places").alias("p"))
-    added = spans.groupBy("doc_id", spot["start"].alias("start"), spot["end"].alias("end")).agg(F.min("kind").alias("kind"))
-    added = added.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
+    spans = near.join(pairs.drop("share"), ["entity", "term"]).select("doc_id", "text_key", "kind", F.explode("places").alias("p"))
+    added = spans.groupBy("doc_id", "text_key", spot["start"].alias("start"), spot["end"].alias("end")).agg(F.min("kind").alias("kind"))
+    added = added.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return found.select("doc_id", "base").join(written(added), "doc_id", "left").withColumn("added", F.coalesce("added", none))
+    found = found.select("doc_id", "text_key", "base")
+    return found.join(written(added), same_text(found, "_id", "_key"), "left").select("doc_id", "text_key", "base", F.coalesce("added", none).alias("added"))
 
 
 def rewrite(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
@@ -223,8 +232,10 @@ def sanitise(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     Base spans are found again where the text is, so only added spans are
     joined to it; those are few unless a corpus discloses a lot.
     """
-    spans = find(docs, how).where(F.size("added") > 0).select("doc_id", F.col("added").alias(ADDED)).dropDuplicates(["doc_id"])
-    with_spans = docs.join(written(spans), "doc_id", "left").select(*docs.columns, ADDED)
+    spans = find(docs, how).where(F.size("added") > 0).select(F.col("doc_id").alias(f"{ADDED}_id"), F.col("text_key").alias(f"{ADDED}_key"), F.col("added").alias(ADDED))
+    spans = written(spans.dropDuplicates([f"{ADDED}_id", f"{ADDED}_key"]))
+    own = docs["doc_id"].eqNullSafe(spans[f"{ADDED}_id"]) & (F.xxhash64(docs["text"]) == spans[f"{ADDED}_key"])
+    with_spans = docs.join(spans, own, "left").select(*[docs[c] for c in docs.columns], ADDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):

@@ -15,6 +15,11 @@ no window.
 
 Greedy factors are then laid over these matches; the words they cover are the
 duplicate spans. All keys are two independent 64-bit hashes.
+
+What settles a match is thus the equality of blocks and of windows, by hash, and
+not a comparison of words with each reference block that shares an anchor: a
+phrase that thousands of different blocks hold would make a pair of each two of
+them. The result is the same, that of every window against every reference.
 """
 
 from __future__ import annotations

@@ -106,6 +106,66 @@ def test_terms_are_counted_and_marked_anywhere_in_the_documents_of_an_entity(spa
     assert not any(w in clean[d].lower() for d, *_ in rows[300:] for w in ("rocinante", "quixotia", "dulcinea"))
 
 
+def brute_added(texts, how=pii.Disclosure()):
+    """Spans by disclosure of each text, counted from the definitions with sets."""
+    term = re.compile("[A-Za-z\u0080-\U0010ffff]{%d,}" % how.least_letters)
+    run = re.compile("[A-Za-z\u0080-\U0010ffff]+")
+    fold = {c: c + 32 for c in range(65, 91)}
+    facts, contexts, both = [], {}, {}
+    for text in texts:
+        spans = brute(text)
+        words = [(m.start(), m.end(), m[0].translate(fold)) for m in run.finditer(text or "") if term.fullmatch(m[0])]
+        free = [w for w in words if not any(s < w[1] and w[0] < e for s, _, e in spans)]
+        held = {}
+        for s, k, e in spans:
+            value = (k, text[s:e].lower() if k < 2 else re.sub("[^0-9]", "", text[s:e]))
+            near = tuple(t for a, b, t in free if s - how.reach <= a < e + how.reach and b <= e + how.reach)
+            held.setdefault(value, near or text)
+        facts.append((held, free, {t for *_, t in words}))
+        for value, context in held.items():
+            contexts.setdefault(value, set()).add(context)
+            for t in {t for *_, t in free}:
+                docs, seen = both.setdefault((value, t), [[], set()])
+                docs.append(text)
+                seen.add(context)
+    n_term = {}
+    for *_, words in facts:
+        for t in words:
+            n_term[t] = n_term.get(t, 0) + 1
+    kind = {}
+    for (value, t), (docs, seen) in both.items():
+        rate = len(contexts[value]) / len(texts)
+        if len(contexts[value]) > 1 and len(seen) > 1 and rate < 1:
+            share = math.log((len(seen) - 1 + rate) / (n_term[t] - len(docs) + len(seen)) / rate) / -math.log(rate)
+            if share >= how.generalise:
+                kind[value, t] = 4 if share >= how.remove else 5
+    return [sorted({(s, e, min(kind[v, t] for v in held if (v, t) in kind)) for s, e, t in free if any((v, t) in kind for v in held)}) for held, free, _ in facts]
+
+
+def test_disclosure_equals_a_count_by_definition(spark, prose):
+    r = random.Random(4)
+    names = ["Quixotia", "Dulcinea", "Rocinante", "Ümlaut", "Sancho", "Panza", "Toboso"]
+    values = ["hero@example.com", "10.1.2.3", "+1 (555) 010-9999", "4111 1111 1111 1111"]
+    rows = [(i, re.sub("w[0-9a-f]", lambda m: r.choice("abcdefgh") * 3, prose(i, 40)), "en", "s") for i in range(150)]
+    for i in range(60):
+        near = " ".join(r.sample(names, 3))
+        rows.append((1_000 + i % 50, f"{rows[i][1]} {near} {r.choice(values)} {'x ' * r.randrange(90)} {r.choice(names)} {r.choice(values)}", "en", "s"))
+    rows += [(None, rows[160][1] + " Sancho", "en", "s"), (None, rows[161][1] + " Panza Toboso", "en", "s"), (5_000, None, "en", "s"), *rows[170:180]]
+    rows += [(6_000 + i, f"{rows[i][1]} Barataria solo@example.com {rows[i + 9][1]}", "en", "s") for i in range(8)]
+    want = {}
+    for (i, text, *_), spans in zip(rows, brute_added([t for _, t, *_ in rows]), strict=True):
+        want[i, text or ""] = spans
+    text_of = {r.text_key: r.text for r in frame(spark, rows).selectExpr("xxhash64(text) as text_key", "coalesce(text, '') as text").collect()}
+    got = pii.find(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and sum(map(len, want.values())) > 60
+    for x in got:
+        assert [(s.start, s.end, s.kind) for s in x.added] == want[x.doc_id, text_of[x.text_key]]
+    kinds = {k for spans in want.values() for *_, k in spans}
+    assert kinds == {4, 5}
+    clean = [x.text for x in pii.sanitise(frame(spark, rows)).collect()]
+    assert sorted(t or "" for t in clean) == sorted(pii.rewrite(t, pii.base_spans(t) + [(s, k, e) for s, e, k in want[i, t or ""]]) or "" for i, t, *_ in rows)
+
+
 def test_sanitise_keeps_columns_and_rows(spark, corpus):
     docs = frame(spark, corpus, extra=True)
     out = pii.sanitise(docs)
