@@ -43,31 +43,34 @@ RECORD = (
 _CRLF = "\r\n"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """SHA-1 of a binary or string column in upper-case base 32 without padding."""
-    digits = F.sha1(payload)
+def base32(digits: Column) -> Column:
+    """A SHA-1 given as hexadecimal digits, in upper-case base 32 without padding."""
     parts = [F.lpad(F.conv(F.substring(digits, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def mark_revisits(pages: DataFrame, min_bytes: int = 0, parts: int = 1) -> DataFrame:
-    """Adds ``digest``, ``size``, ``id`` and ``first`` to pages of k (key), u (URL, not null) and b (payload, not null).
+def mark_revisits(pages: DataFrame, min_bytes: int = 0, part_bytes: int = FILE_BYTES) -> DataFrame:
+    """Adds ``sha1``, ``size``, ``id`` and ``first`` to pages of k (key), u (URL, not null) and b (payload, not null).
 
     ``id`` names the capture by its key, URL and digest; ``first`` is the id of
     the capture that has the payload first, null where that is the row itself:
     the least key of a digest, a null key being larger than any other. Rows that
     share that key, rows whose payload has no key at all and payloads below
-    ``min_bytes`` have no ``first``. Only digests and names are shuffled for
-    this; minima are combined before the shuffle and join back in a join whose
-    large partitions Spark can split, so one payload may hold any share of the rows.
-    Payloads are shuffled once, into ``parts`` partitions by ``id``.
+    ``min_bytes`` have no ``first``. Digests, sizes and names are written once,
+    and only these are shuffled for this; minima are combined before the shuffle
+    and join back in a join whose large partitions Spark can split, so one
+    payload may hold any share of the rows. Payloads are shuffled once, by
+    ``id`` into partitions of about ``part_bytes``.
     """
-    rows = pages.withColumns({"digest": base32_sha1(F.col("b")), "size": F.octet_length("b").cast("long")})
+    rows = pages.withColumns({"sha1": F.sha1("b"), "size": F.octet_length("b").cast("long")})
     named = F.coalesce(F.concat(F.lit("="), F.col("k").cast("string")), F.lit(""))
-    rows = rows.withColumn("id", F.md5(F.concat_ws("/", named, "digest", "u")))
+    rows = rows.withColumn("id", F.md5(F.concat_ws("/", named, "sha1", "u")))
+    narrow = written(rows.select("k", "id", "sha1", "size"))
+    total = narrow.agg(F.sum(F.col("size") + HEAD_BYTES)).first()[0] or 0
+    parts = max(1, -(-total // part_bytes))
     keyed = F.when(F.col("k").isNotNull(), F.struct("k", "id"))
-    first = rows.groupBy("digest").agg(F.min(keyed).alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and least is not null").select("digest", "least")
-    again = rows.select("k", "id", "digest").where(F.col("size") >= min_bytes).join(first, "digest").where(~F.col("k").eqNullSafe(F.col("least.k")))
+    first = narrow.groupBy("sha1").agg(F.min(keyed).alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and least is not null").select("sha1", "least")
+    again = narrow.where(F.col("size") >= min_bytes).join(first, "sha1").where(~F.col("k").eqNullSafe(F.col("least.k")))
     again = again.groupBy("id").agg(F.first("least.id").alias("first"))
     return rows.repartition(parts, "id").join(again.repartition(parts, "id"), "id", "left")
 
@@ -98,8 +101,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     """
     clean = F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("about:blank")), r"[\x00-\x20\x7f]", "%20")
     pages = pages.select(F.col(key).alias("k"), clean.alias("u"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("b"))
-    total = pages.agg(F.sum(F.octet_length("b").cast("long") + HEAD_BYTES)).first()[0] or 0
-    rows = mark_revisits(pages, min_bytes, max(1, -(-total // file_bytes)))
+    rows = mark_revisits(pages, min_bytes, file_bytes)
     again = F.col("first").isNotNull()
     response, request, meta = (record_id(kind, F.col("id")) for kind in ("response", "request", "metadata"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(_CRLF * 2))
@@ -107,7 +109,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     records = F.array(
         _record([("WARC-Type", "request"), ("WARC-Record-ID", request), *common, ("WARC-Concurrent-To", response), ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.col("u"), F.lit(f" HTTP/1.1{_CRLF * 2}"))),
         _record(
-            [("WARC-Type", F.when(again, "revisit").otherwise("response")), ("WARC-Record-ID", response), *common, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+            [("WARC-Type", F.when(again, "revisit").otherwise("response")), ("WARC-Record-ID", response), *common, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
              ("WARC-Profile", F.when(again, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", F.when(again, record_id("response", F.col("first")))), ("Content-Type", "application/http; msgtype=response")],
             F.when(again, http).otherwise(F.concat(http, F.col("b"))),
         ),
