@@ -312,10 +312,10 @@ def lit_escape(spark: SparkSession, d: str) -> DataFrame:
 
 def value_profile(spark: SparkSession, d: str) -> DataFrame:
     """Distinct values, nulls and extremes of the columns of customer in one pass."""
-    c = read(spark, d, "customer")
+    c = read(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
     names = c.columns
-    made = [x for n in names for x in (F.count_distinct(n).alias(f"d_{n}"), F.sum(F.col(n).isNull().cast("int")).cast("long").alias(f"n_{n}"), F.min(F.col(n).cast("string")).alias(f"l_{n}"), F.max(F.col(n).cast("string")).alias(f"h_{n}")) if n != "c_acctbal"]
-    row = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(f"d_{n}").alias("distinct_values"), F.col(f"n_{n}").alias("nulls"), F.col(f"l_{n}").alias("least"), F.col(f"h_{n}").alias("greatest")) for n in names if n != "c_acctbal"])
+    made = [x for n in names for x in (F.count_distinct(n).alias(f"d_{n}"), F.sum(F.col(n).isNull().cast("int")).cast("long").alias(f"n_{n}"), F.min(F.col(n).cast("string")).alias(f"l_{n}"), F.max(F.col(n).cast("string")).alias(f"h_{n}"))]
+    row = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(f"d_{n}").alias("distinct_values"), F.col(f"n_{n}").alias("nulls"), F.col(f"l_{n}").alias("least"), F.col(f"h_{n}").alias("greatest")) for n in names])
     return c.agg(*made).select(F.explode(row).alias("r")).select("r.*")
 
 
@@ -344,7 +344,7 @@ SQL |= {
     "survey_name_tails": "select tail, count(*)::BIGINT as columns from (select unnest(split('" + " ".join(f.name.split("_")[-1] for t in SHOP.values() for f in t.fields) + "', ' ')) as tail) group by 1 order by 2 desc, 1 limit 10",
     "survey_coverage": _values([("testdata", 14, True, False, True, True, False, False), ("shop", 14, True, True, True, True, False, False), ("rings", 9, False, False, False, False, True, True)], "catalog VARCHAR, tables BIGINT, composite_key BOOLEAN, sequence BOOLEAN, check_ BOOLEAN, unique_ BOOLEAN, self_reference BOOLEAN, deferrable_ BOOLEAN"),
     "lit_escape": "select 'INSERT INTO part VALUES (' || p_partkey || ', ''' || replace(p_name || ' o''clock', '''', '''''') || ''');' as statement from part",
-    "value_profile": " union all ".join(f"select '{c}' as column_name, count(distinct {c})::BIGINT as distinct_values, count(*) filter ({c} is null)::BIGINT as nulls, min({c}::VARCHAR) as least, max({c}::VARCHAR) as greatest from customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")),
+    "value_profile": " union all ".join(f"select '{c}' as column_name, count(distinct {c})::BIGINT as distinct_values, count(*) filter ({c} is null)::BIGINT as nulls, min({c}::VARCHAR) as least, max({c}::VARCHAR) as greatest from (select * replace (c_acctbal::DECIMAL(18,2) as c_acctbal) from customer)" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
     "top_parents": "select c_nationkey, place, c_custkey, orders from (select c_nationkey, c_custkey, n as orders, row_number() over (partition by c_nationkey order by n desc, c_custkey) as place from customer join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey) where place <= 3",
 }
 

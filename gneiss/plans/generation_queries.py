@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,7 +95,7 @@ SQL: dict[str, str] = {
     "gen_value_set": _sql(e=f"['F', 'O', 'P'][{_n('vs')} % 3 + 1]"),
     "gen_array": _sql(first=f"({_n('a')} % 100)::BIGINT", size="1::BIGINT"),
     "gen_moments": _sql(
-        created="(r % 3650 * 86400 + r * 37813 % 86400)::BIGINT", updated=f"(r % 3650 * 86400 + r * 37813 % 86400 + 30 * 86400 + {_n('m2')} % (30 * 86400))::BIGINT", closed=f"(r % 3650 * 86400 + r * 37813 % 86400 + 90 * 86400 + {_n('m3')} % (30 * 86400))::BIGINT"
+        created=f"(r * {nouns.LIFETIME_STEP} % {nouns.LIFETIMES})::BIGINT", updated=f"(r * {nouns.LIFETIME_STEP} % {nouns.LIFETIMES} + 86400 + {_n('m2')} % (21 * 86400))::BIGINT", closed=f"(r * {nouns.LIFETIME_STEP} % {nouns.LIFETIMES} + 28 * 86400 + {_n('m3')} % (42 * 86400))::BIGINT"
     ),
 }
 
@@ -141,11 +142,13 @@ def _noun_sql(names: tuple[str, ...]) -> str:
             columns.append("lpad(lower(to_base(r, 26 - 10)), 26, '0') as ident")
             continue
         wheels, form = lists[name]
-        rest, shift, digits = "r", "0", []
-        for place, wheel in enumerate(wheels):
-            raw = f"(({rest}) % {len(wheel)})"
-            digits.append(f"(({raw} + {shift}) % {len(wheel)})")
-            rest, shift = f"(({rest}) // {len(wheel)})", f"({shift} * 7 + {raw} * {place + 3} + 1)"
+        size, digits = math.prod(map(len, wheels)), []
+        factor, offset = nouns.mixer(size)
+        rest = f"((r % {size}) * {factor} + {offset}) % {size}"
+        for wheel in wheels:
+            digits.append(f"(({rest}) % {len(wheel)})")
+            rest = f"(({rest}) // {len(wheel)})"
+        rest = f"(r // {size})"
         value = [f"[{', '.join(repr(w) for w in wheel)}][{digit} + 1]" for wheel, digit in zip(wheels, digits, strict=True)]
         parts, closed, lower = [], form.startswith("?"), form.startswith("_")
         text = form.lstrip("?_")

@@ -55,9 +55,9 @@ def scalar_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unnested(spark: SparkSession, d: str) -> DataFrame:
-    """The entries of the first embeddings with their places."""
-    e = read(spark, d, "embeddings").where("vec_id < 20").select("vec_id", F.posexplode("embedding").alias("at", "value"))
-    return e.where("at < 4").select("vec_id", (F.col("at") + 1).cast("long").alias("place"), F.round(F.col("value").cast("double"), 4).alias("value"))
+    """The entries of all embeddings with their places."""
+    e = read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "value"))
+    return e.select("vec_id", (F.col("at") + 1).cast("long").alias("place"), F.col("value").cast("double").alias("value"))
 
 
 def predicates(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +134,7 @@ SQL = {
     "rel_not_in": "select id, name from (values (1::BIGINT, 'FRANCE'), (2, 'ATLANTIS'), (3, null)) t(id, name) where name not in (select n_name from nation)",
     "rel_ordered_list": "select n_regionkey::BIGINT as n_regionkey, string_agg(n_name, ',' order by n_nationkey) as nations, array_to_string(list(n_name order by n_nationkey)[1:2], ',') as first_two, count(*)::BIGINT as number from nation group by n_regionkey",
     "rel_scalar_count": "select n_nationkey::BIGINT as n_nationkey, (select count(*) from supplier where s_nationkey = n_nationkey)::BIGINT as suppliers from nation",
-    "rel_unnested": "select vec_id, i::BIGINT as place, round(embedding[i]::DOUBLE, 4) as value from embeddings, range(1, 5) t(i) where vec_id < 20",
+    "rel_unnested": "select vec_id, unnest(range(1, len(embedding) + 1))::BIGINT as place, unnest(embedding)::DOUBLE as value from embeddings",
     "rel_predicates": "select o_orderstatus, count(*)::BIGINT as orders, max(o_custkey) as last_customer from orders where o_orderstatus in ('F', 'O') and o_orderpriority not like '5%' and (o_orderkey & 4) <> 0 and o_orderdate is not null and (o_custkey % 2 = 0 or o_totalprice > 1000) group by 1",
     "rel_top_five": "select hour(ts)::BIGINT as hour, count(*)::BIGINT as events from events group by 1 order by 2 desc, 1 limit 5",
     "rel_nth_row": "select r_regionkey::BIGINT as row, (select c_custkey from (select c_custkey, row_number() over (order by c_custkey) - 1 as i from customer) where i = r_regionkey % (select greatest(count(*), 1) from customer)) as custkey from region",

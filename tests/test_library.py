@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,12 +14,14 @@ from gneiss.sources.catalog import SHOP, Reference, frames, from_struct, table
 from gneiss.streaming import incremental
 
 
-def test_odometer_has_the_known_digits(spark):
-    steps = [0, 1, 2, 3, 4, 5, 6, 7, 47, 48, 2303, 2304]
-    df = spark.createDataFrame([(s,) for s in steps], "n long")
-    (a, b), carry = nouns.odometer(F.col("n"), [48, 48])
-    got = [(r.a, r.b, r.c) for r in df.select(a.alias("a"), b.alias("b"), carry.alias("c")).collect()]
-    assert got == [(0, 1, 0), (1, 4, 0), (2, 7, 0), (3, 10, 0), (4, 13, 0), (5, 16, 0), (6, 19, 0), (7, 22, 0), (47, 46, 0), (0, 2, 0), (47, 45, 0), (0, 1, 1)]
+@pytest.mark.parametrize("wheels", [[40, 36], [7], [6, 12, 20], [1, 2]])
+def test_odometer_takes_every_combination_once_and_neighbours_apart(spark, wheels):
+    size = math.prod(wheels)
+    digits, carry = nouns.odometer(F.col("id"), wheels)
+    got = [(tuple(r[:-1]), r[-1]) for r in spark.range(2 * size).select(*digits, carry).collect()]
+    assert len(set(got)) == 2 * size and {c for _, c in got} == {0, 1} and all(0 <= d < w for x, _ in got for d, w in zip(x, wheels, strict=True))
+    if wheels == [40, 36]:
+        assert all(sum(a != b for a, b in zip(x, y, strict=True)) == 2 for (x, _), (y, _) in zip(got, got[1:], strict=False))
 
 
 @pytest.mark.parametrize("noun", ["person", "email", "username", "city", "street", "company", "label", "slug", "host", "domain", "path", "file", "url", "version", "ident", "html", "title", "sentence", "state", "word"])
@@ -26,7 +29,7 @@ def test_nouns_stay_distinct_past_their_wheels(spark, noun):
     assert spark.range(9_000).select(nouns.noun(noun, F.col("id")).alias("v")).agg(F.count_distinct("v")).first()[0] == 9_000
 
 
-@pytest.mark.parametrize(("noun", "size"), [("country_code", 16), ("extension", 12), ("phone", 100), ("ip", 762), ("color", 12)])
+@pytest.mark.parametrize(("noun", "size"), [("country_code", 20), ("extension", 12), ("phone", 100), ("ip", 762), ("color", 12)])
 def test_closed_nouns_decline(spark, noun, size):
     assert spark.range(1_000).select(nouns.noun(noun, F.col("id")).alias("v")).agg(F.count("v"), F.count_distinct("v")).first()[:] == (size, size)
 
@@ -34,7 +37,7 @@ def test_closed_nouns_decline(spark, noun, size):
 def test_vocabularies_are_ascii_distinct_and_sized():
     for words in (nouns.GIVEN, nouns.FAMILY, nouns.COMPANY, nouns.SUFFIX, nouns.CITY, nouns.COUNTRY, nouns.STREET, nouns.WORD, nouns.TITLE, nouns.SENTENCE, nouns.STATE):
         assert all(w.isascii() and not w.rsplit("-")[-1].isdigit() for w in words) and len({w.lower() for w in words}) == len(words)
-    assert (len(nouns.GIVEN), len(nouns.FAMILY), len(nouns.COMPANY), len(nouns.CITY), len(nouns.COUNTRY), len(nouns.STREET), len(nouns.TITLE), len(nouns.SENTENCE)) == (48, 48, 24, 32, 16, 24, 24, 24)
+    assert (len(nouns.GIVEN), len(nouns.FAMILY), len(nouns.COMPANY), len(nouns.CITY), len(nouns.COUNTRY), len(nouns.STREET), len(nouns.TITLE), len(nouns.SENTENCE)) == (40, 36, 24, 32, 20, 24, 24, 24)
 
 
 def test_cell_hash_and_base36(spark):
@@ -45,7 +48,7 @@ def test_cell_hash_and_base36(spark):
 def test_moments_keep_their_order(spark):
     at = [nouns.moment(F.col("id"), cells.cell(1, "t", b, F.col("id")), b).alias(b) for b in ("opened", "touched", "closed")]
     assert spark.range(5_000).select(*at).where("not (opened < touched and touched < closed)").isEmpty()
-    assert [r[0] for r in spark.range(2).select(nouns.moment(F.col("id"), F.lit(0), "opened")).collect()] == [0, 86_400 + 37_813]
+    assert spark.range(5_000).select(at[0]).distinct().count() == 5_000
 
 
 def test_values_do_not_depend_on_partitioning(spark):
