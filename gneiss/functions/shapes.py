@@ -128,8 +128,10 @@ def trigger(body: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(body, r"(?s)--[^\n]*|/\*.*?\*/", " "), r"'(?:[^']|'')*'", "''")
     raises = text.rlike(r"(?i)\bASSERT\b") | text.rlike(r"(?i)\bRAISE\b(?!\s+(NOTICE|WARNING|INFO|LOG|DEBUG)\b)")
     set_ = r'(?i)(?:\bNEW\.("?\w+"?)\s*:=)(?!\s*nextval\([^;]*\)\s*;)'
+    # An equals sign assigns where a statement begins and compares elsewhere.
+    equals = r'(?i)(?:^|;|\b(?:BEGIN|THEN|ELSE|LOOP)\b)\s*NEW\.("?\w+"?)\s*=(?!\s*nextval\([^;]*\)\s*;)'
     into = r'(?i)\bINTO\s+(?:STRICT\s+)?NEW\.("?\w+"?)'
-    assigns = F.array_sort(F.array_distinct(F.transform(F.concat(F.regexp_extract_all(text, F.lit(set_), F.lit(1)), F.regexp_extract_all(text, F.lit(into), F.lit(1))), lambda c: F.lower(F.translate(c, '"', "")))))
+    assigns = F.array_sort(F.array_distinct(F.transform(F.concat(*[F.regexp_extract_all(text, F.lit(way), F.lit(1)) for way in (set_, equals, into)]), lambda c: F.lower(F.translate(c, '"', "")))))
     targets = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r'(?i)(?:^|[;\s])(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|MERGE\s+INTO)\s+("?\w+"?)'), F.lit(1)), lambda c: F.lower(F.translate(c, '"', "")))))
     return F.struct(raises.alias("raises"), F.array_join(assigns, ",").alias("assigns"), F.array_join(targets, ",").alias("targets"))
 

@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from ..sources.catalog import Catalog, Reference, Table
 
 REPORT = "table_name string, constraint_name string, kind string, violations long"
-#: Columns that are grouped by digest.
-LONG = ("text", "html")
 
 
 def _rows(df: DataFrame, table: str, kind: str, counts: dict[str, Column]) -> DataFrame:
@@ -45,19 +43,19 @@ def scanned(df: DataFrame, table: Table) -> DataFrame:
     return _rows(df, table.name, "", counts)
 
 
-def _key(columns: tuple[str, ...], fold: bool = False) -> list[Column]:
-    """Key columns; long texts stand for themselves as digests, folded ones in lower case."""
-    out = []
+def _key(df: DataFrame, columns: tuple[str, ...], fold: bool = False) -> list[Column]:
+    """Key columns, in lower case if folded; texts of more than 64 bytes stand as their digests."""
+    kinds, out = dict(df.dtypes), []
     for c in columns:
         value = F.lower(F.col(c)) if fold else F.col(c)
-        out.append((F.sha2(value, 256) if c in LONG else value).alias(c))
+        out.append((F.when(F.octet_length(value) > 64, F.sha2(value, 256)).otherwise(value) if kinds[c] == "string" else value).alias(c))
     return out
 
 
 def duplicates(df: DataFrame, columns: tuple[str, ...], fold: bool = False) -> DataFrame:
     """Keys that occur more than once: the columns and ``copies``."""
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    return df.where(whole).groupBy(*_key(columns, fold)).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return df.where(whole).groupBy(*_key(df, columns, fold)).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
 def orphans(child: DataFrame, ref: Reference, parent: DataFrame) -> DataFrame:

@@ -305,9 +305,12 @@ def survey_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lit_escape(spark: SparkSession, d: str) -> DataFrame:
-    """Rows as text of INSERT statements."""
-    p = read(spark, d, "part").select(F.concat(F.lit("INSERT INTO part VALUES ("), F.col("p_partkey").cast("string"), F.lit(", "), shapes.quoted(F.concat(F.col("p_name"), F.lit(" o'clock"))), F.lit(");")).alias("statement"))
-    return p
+    """Rows as text of INSERT statements: names of parts and regions as literals."""
+    parts = []
+    for table_name, key, name in (("part", "p_partkey", "p_name"), ("region", "r_regionkey", "r_name")):
+        literal = shapes.quoted(F.concat(F.col(name), F.lit(" o'clock")))
+        parts.append(read(spark, d, table_name).select(F.concat(F.lit(f"INSERT INTO {table_name} VALUES ("), F.col(key).cast("string"), F.lit(", "), literal, F.lit(");")).alias("statement")))
+    return parts[0].unionByName(parts[1])
 
 
 def value_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -343,7 +346,7 @@ SQL |= {
     ], "table_name VARCHAR, column_name VARCHAR, noun VARCHAR"),
     "survey_name_tails": "select tail, count(*)::BIGINT as columns from (select unnest(split('" + " ".join(f.name.split("_")[-1] for t in SHOP.values() for f in t.fields) + "', ' ')) as tail) group by 1 order by 2 desc, 1 limit 10",
     "survey_coverage": _values([("testdata", 14, True, False, True, True, False, False), ("shop", 14, True, True, True, True, False, False), ("rings", 9, False, False, False, False, True, True)], "catalog VARCHAR, tables BIGINT, composite_key BOOLEAN, sequence BOOLEAN, check_ BOOLEAN, unique_ BOOLEAN, self_reference BOOLEAN, deferrable_ BOOLEAN"),
-    "lit_escape": "select 'INSERT INTO part VALUES (' || p_partkey || ', ''' || replace(p_name || ' o''clock', '''', '''''') || ''');' as statement from part",
+    "lit_escape": " union all ".join(f"select 'INSERT INTO {t} VALUES (' || {k} || ', ''' || replace({n} || ' o''clock', '''', '''''') || ''');' as statement from {t}" for t, k, n in (("part", "p_partkey", "p_name"), ("region", "r_regionkey", "r_name"))),
     "value_profile": " union all ".join(f"select '{c}' as column_name, count(distinct {c})::BIGINT as distinct_values, count(*) filter ({c} is null)::BIGINT as nulls, min({c}::VARCHAR) as least, max({c}::VARCHAR) as greatest from (select * replace (c_acctbal::DECIMAL(18,2) as c_acctbal) from customer)" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
     "top_parents": "select c_nationkey, place, c_custkey, orders from (select c_nationkey, c_custkey, n as orders, row_number() over (partition by c_nationkey order by n desc, c_custkey) as place from customer join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey) where place <= 3",
 }

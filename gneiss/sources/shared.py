@@ -14,9 +14,11 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in ``spark.checkpoint.dir``; where that is unset, in a temporary folder."""
+    """A checkpoint in ``spark.checkpoint.dir``; only a session in local mode that has none takes a temporary folder."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gneiss-"))
     return df.checkpoint()
 
@@ -42,8 +44,9 @@ def is_filled(spark: SparkSession, path: str) -> bool:
 def publish(tables: dict[str, DataFrame], path: str, *, overwrite: bool = False, remote: bool = False) -> dict[str, int]:
     """Write all tables beside the target, then move them there: all of them or none.
 
-    Refuses targets on other machines unless ``remote``, and filled ones unless
-    ``overwrite``. Returns the rows of each table.
+    Tables that are there already are moved aside first and come back if any
+    move fails. Refuses targets on other machines unless ``remote``, and filled
+    ones unless ``overwrite``. Returns the rows of each table.
     """
     spark = next(iter(tables.values())).sparkSession
     if not remote and not is_local(path):
@@ -52,15 +55,31 @@ def publish(tables: dict[str, DataFrame], path: str, *, overwrite: bool = False,
         raise ValueError(f"these tables have rows: {', '.join(sorted(filled))}")
     staging = f"{path}/_staging-{uuid.uuid4().hex}"
     fs, at = files(spark, staging)
+    done: list[tuple[str, str]] = []
     try:
         for name, df in tables.items():
             df.write.parquet(f"{staging}/{name}.parquet")
         counts = {n: spark.read.parquet(f"{staging}/{n}.parquet").count() for n in tables}
-        for name in tables:
-            _, target = files(spark, f"{path}/{name}.parquet")
-            fs.delete(target, True)
-            if not fs.rename(files(spark, f"{staging}/{name}.parquet")[1], target):
-                raise OSError(f"could not move {name} to {path}")
+        fs.mkdirs(files(spark, f"{staging}/_old")[1])
+        try:
+            for name in tables:
+                target, old = f"{path}/{name}.parquet", f"{staging}/_old/{name}.parquet"
+                if fs.exists(files(spark, target)[1]):
+                    moved(spark, target, old)
+                    done.append((target, old))
+                moved(spark, f"{staging}/{name}.parquet", target)
+                done.append((f"{staging}/{name}.parquet", target))
+        except Exception:
+            for source, target in reversed(done):
+                moved(spark, target, source)
+            raise
     finally:
         fs.delete(at, True)
     return counts
+
+
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; raises where the file system does not."""
+    fs, at = files(spark, source)
+    if not fs.rename(at, files(spark, target)[1]):
+        raise OSError(f"could not move {source} to {target}")

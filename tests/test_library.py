@@ -115,7 +115,13 @@ def test_conjuncts_split_and_only_and(spark):
     assert [r[0] for r in df.select(F.size(shapes.conjuncts(F.col("c")))).collect()] == [2, 1]
 
 
-def test_publish_is_all_or_nothing(spark, tmp_path):
+def test_triggers_that_assign_with_an_equals_sign(spark):
+    bodies = ["BEGIN NEW.a = 1; IF NEW.b = 2 THEN NEW.c = 3; ELSE NEW.d := 4; END IF; x = NEW.e; RETURN NEW; END", "BEGIN IF NEW.b = 2 THEN RETURN NEW; END IF; NEW.id = nextval('s'); RETURN NEW; END"]
+    got = [r[0].assigns for r in spark.createDataFrame([(b,) for b in bodies], "b string").select(shapes.trigger(F.col("b"))).collect()]
+    assert got == ["a,c,d", ""]
+
+
+def test_publish_is_all_or_nothing(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "out")
     assert shared.publish({"a": spark.range(3), "b": spark.range(2)}, path) == {"a": 3, "b": 2}
     with pytest.raises(ValueError, match="have rows"):
@@ -124,6 +130,21 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     with pytest.raises(Exception):
         shared.publish({"a": spark.range(9), "b": bad}, path, overwrite=True)
     assert shared.read(spark, path, "a").count() == 3
+    real, calls = shared.moved, []
+
+    def failing(spark, source, target):
+        calls.append(target)
+        if target.endswith("out/b.parquet") and len(calls) <= 4:
+            raise OSError("no")
+        real(spark, source, target)
+
+    monkeypatch.setattr(shared, "moved", failing)
+    with pytest.raises(OSError, match="no"):
+        shared.publish({"a": spark.range(9), "b": spark.range(9), "c": spark.range(1)}, path, overwrite=True)
+    monkeypatch.undo()
+    assert [shared.read(spark, path, n).count() for n in ("a", "b")] == [3, 2] and not (tmp_path / "out" / "c.parquet").exists()
+    assert shared.publish({"a": spark.range(9), "b": spark.range(8)}, path, overwrite=True) == {"a": 9, "b": 8}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.parquet", "b.parquet"]
     with pytest.raises(ValueError, match="not on this machine"):
         shared.publish({"a": spark.range(1)}, "s3://bucket/x")
 
