@@ -15,7 +15,7 @@ _COLUMN = r'"?([A-Za-z_][A-Za-z0-9_]*)"?'
 _CAST = r"(?:::[a-z ]+(?:\([0-9, ]+\))?)?"
 _NAMED = rf"\(?\(?{_COLUMN}\)?{_CAST}\)?"
 _NUMBER = r"\(?'?(-?[0-9]+)'?\)?" + _CAST
-_LITERAL = rf"(?:'[^']*'{_CAST}|-?[0-9]+|true|false)"
+_LITERAL = rf"(?:'(?:[^']|'')*'{_CAST}|-?[0-9]+|true|false)"
 
 
 def _nested(depth: int) -> str:
@@ -42,6 +42,7 @@ def _shape(pattern: str) -> str:
 #: Shapes of checks in order of precedence: meaning, pattern, group of the column, group of the bound.
 CHECKS: list[tuple[str, str, int, int]] = [
     ("value_set", rf"{_NAMED} = ANY \(+ARRAY\[{_LITERAL}(?:, ?{_LITERAL})*\]\)?(?:::[a-z \[\]]+)?\)+", 1, 0),
+    ("value_set", rf"{_NAMED} IN \({_LITERAL}(?:, ?{_LITERAL})*\)", 1, 0),
     ("value_set", rf"{_NAMED} = {_LITERAL}", 1, 0),
     ("exactly_one", rf"num_nonnulls\((?:{_COLUMN}, ?)+{_COLUMN}\) = 1", 0, 0),
     ("exactly_one", rf"\({_COLUMN} IS NULL\) <> \({_COLUMN} IS NULL\)", 1, 0),
@@ -95,10 +96,33 @@ def check(text: Column) -> Column:
 
 
 def conjuncts(text: Column) -> Column:
-    """The parts of a top-level AND of bracketed parts; a text that is no such AND is its only part."""
+    """The parts of a top-level AND of bracketed or of plain parts; a text that is no such AND is its only part.
+
+    Plain parts have no quotes and brackets, so an AND in them is none of a literal.
+    """
     body = bare(text)
     whole = rf"(?is)^{_PART}(?: AND {_PART})+$"
-    return F.when(body.rlike(whole), F.regexp_extract_all(body, F.lit(_PART), F.lit(0))).otherwise(F.array(body))
+    plain = body.rlike(r"(?is)^[^'()]+?( AND [^'()]+)+$") & ~body.rlike(r"(?i) (OR|BETWEEN) ")
+    return F.when(body.rlike(whole), F.regexp_extract_all(body, F.lit(_PART), F.lit(0))).when(plain, F.split(body, "(?i) AND ")).otherwise(F.array(body))
+
+
+def obligation(part: Column) -> Column:
+    """:func:`check` of one conjunct, with ``names`` of the columns that it counts nulls of, ``literals`` of a value set and ``kind`` of a JSON type."""
+    body = bare(part)
+    found = check(part)
+    meaning = found["meaning"]
+    listed = F.split(F.regexp_extract(body, r"(?i)^num_nonnulls\(([^()]*)\)", 1), r"\s*,\s*")
+    nulls = F.regexp_extract_all(body, F.lit(rf"(?i){_COLUMN}\)? IS (?:NOT )?NULL"), F.lit(1))
+    names = F.when(body.rlike("(?i)^num_nonnulls"), F.transform(listed, lambda n: F.translate(n, '"', ""))).otherwise(nulls)
+    right = F.regexp_replace(F.regexp_extract(body, r"(?is)(?:=| IN )(.*)$", 1), r"::[a-z ]+(?:\([0-9, ]+\))?(?:\[\])?", "")
+    literals = F.regexp_extract_all(right, F.lit(r"(?i)'((?:[^']|'')*)'|(-?[0-9]+|\btrue\b|\bfalse\b)"), F.lit(0))
+    literals = F.transform(literals, lambda v: F.when(v.startswith("'"), F.replace(F.substring(v, F.lit(2), F.char_length(v) - 2), F.lit("''"), F.lit("'"))).otherwise(v))
+    return F.struct(
+        *[found[n].alias(n) for n in ("meaning", "column_name", "bound")],
+        F.when(meaning.isin("exactly_one", "at_least_one", "all_non_null"), names).alias("names"),
+        F.when(meaning == "value_set", literals).alias("literals"),
+        F.when(meaning == "json_type", F.regexp_extract(body, r"= '(\w+)'", 1)).alias("kind"),
+    )
 
 
 def index(text: Column) -> Column:

@@ -192,7 +192,7 @@ TIGHT: Catalog = {
     t.name: t
     for t in (
         table("flags", "on boolean, note text null", "", ("on",)), table("moods", "mood enum(sad|ok|happy)", "", ("mood",)), table("codes", "code varchar(1)", "code"), table("narrow", "on boolean, mood enum(sad|ok|happy)", "on,mood"),
-        table("users", "id int, email text", "id", ("email",)), table("roles", "role varchar(1)", "role", (), (), (("role", "role IN ('admin','guest')"),)), table("grants", "user_id int, role varchar(1)", "user_id,role", (), (("user_id", "users", "id"), ("role", "roles", "role"))),
+        table("users", "id int, email text", "id", ("email",)), table("roles", "role varchar(8)", "role", (), (), (("role", "role IN ('admin','guest')"),)), table("grants", "user_id int, role varchar(8)", "user_id,role", (), (("user_id", "users", "id"), ("role", "roles", "role"))),
         table("levels", "level int", "level", (), (), (("level", "level >= 1 AND level <= 12"),)), table("opaque", "slug text", "slug", (), (), (("slug", "slug ~ '^[a-z]+$'"),)),
     )
 }
@@ -407,3 +407,58 @@ SQL |= {
     "rep_outcome": _values([("codes", "filled", 36, True), ("flags", "filled", 2, True), ("grants", "filled", 40, True), ("levels", "filled", 12, True), ("moods", "filled", 3, True), ("narrow", "filled", 6, True), ("opaque", "refused", 0, False), ("roles", "filled", 2, True), ("users", "filled", 20, False)], "table_name VARCHAR, outcome VARCHAR, rows BIGINT, capped BOOLEAN"),
     "lit_insert": """select 'INSERT INTO "nation" ("n_nationkey", "n_name", "n_regionkey") VALUES (' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ');' as statement from nation""",
 }
+
+
+# Obligations and refusals -------------------------------------------------------------
+#: A table for each meaning of a check, and what its rows have to satisfy in Spark's SQL.
+OBLIGED: Catalog = {
+    t.name: t
+    for t in (
+        table("between", "id int, n int, m int", "id", (), (), (("n", "CHECK (((n >= 3) AND (n <= 9)))"), ("m", "CHECK ((m > 100))"))),
+        table("bytes", "id int, code text", "id", (), (), (("code", "CHECK ((octet_length(code) = 20))"),)),
+        table("worded", "id int, word text", "id", (), (), (("filled", "CHECK ((word <> ''::text))"), ("low", "CHECK ((word = lower(word)))"), ("short", "CHECK ((char_length(word) <= 30))"), ("long", "CHECK ((length(word) > 9))"))),
+        table("listed", "id int, state text, level int", "id", (), (), (("state", "CHECK (((state)::text = ANY ((ARRAY['it''s'::character varying, 'b'::character varying])::text[])))"), ("level", "level IN (1, 2, 30)"))),
+        table("single", "id int, a int null, b int null, c int null", "id", (), (), (("one", "CHECK ((num_nonnulls(a, b, c) = 1))"),)),
+        table("counted", "id int, a int null, b int null", "id", (), (), (("some", "CHECK ((num_nonnulls(a, b) > 0))"), ("both", "CHECK ((num_nonnulls(a, b) = 2))"))),
+        table("typed", "id int, doc jsonb", "id", (), (), (("doc", "CHECK ((jsonb_typeof(doc) = 'array'::text))"),)),
+        table("tagged", "id int, tags text[]", "id", (), (), (("few", "CHECK ((cardinality(tags) <= 3))"),)),
+        table("gone", "id int, until int null", "id", (), (), (("until", "CHECK (((until IS NULL) OR (until > 5)))"),)),
+    )
+}
+HOLDS = {
+    "between": "n between 3 and 9 and m > 100", "bytes": "octet_length(code) = 20", "worded": "word <> '' and word = lower(word) and char_length(word) between 10 and 30", "listed": "state in ('it\\'s', 'b') and level in (1, 2, 30)",
+    "single": "int(a is not null) + int(b is not null) + int(c is not null) = 1", "counted": "a is not null and b is not null", "typed": "doc like '[%'", "tagged": "size(tags) <= 3", "gone": "until is null or until > 5",
+}
+REFUSED: Catalog = {
+    t.name: t
+    for t in (
+        table("apart", "id int, a int", "id", (), (), (("low", "a >= 5 AND a <= 3"),)), table("narrow", "id int, a varchar(3)", "id", (), (), (("long", "char_length(a) >= 9"),)), table("unread", "id int, a text", "id", (), (), (("shape", "a ~ '^[a-z]+$'"),)),
+        table("unfit", "id int, a varchar(2)", "id", (), (), (("set", "a IN ('abc', 'def')"),)), table("never", "id int, a int", "id", (), (), (("null", "CHECK (((a IS NULL) OR (a > 5)))"),)), table("child", "id int, p int", "id", (), (("p", "unread", "id"),)),
+        table("lost", "id int, p int", "id", (), (("p", "elsewhere", "id"),)), table("egg", "id int, p int", "id", (), (("p", "hen", "id"),)), table("hen", "id int, p int", "id", (), (("p", "egg", "id"),)), table("plain", "id int, p int null", "id", (), (("p", "unread", "id"),)),
+    )
+}
+
+
+def gen_obligations(spark: SparkSession, d: str) -> DataFrame:
+    """Generated rows of a table for each meaning of a check, and how many of them break it."""
+    made = synthesis.generate(spark, OBLIGED, {}, 5)
+    out = None
+    for n, df in sorted(made.items()):
+        one = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.expr(HOLDS[n]), 0).otherwise(1)).cast("long").alias("violations")).select(F.lit(n).alias("table_name"), "rows", "violations")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def class_refusals(spark: SparkSession, d: str) -> DataFrame:
+    """The tables that are refused, each with its reason."""
+    return spark.createDataFrame(sorted(synthesis.refusals(REFUSED).items()), "table_name string, reason string")
+
+
+QUERIES |= {"gen_obligations": gen_obligations, "class_refusals": class_refusals}
+SQL |= {
+    "gen_obligations": _values([(n, 50, 0) for n in sorted(OBLIGED)], "table_name VARCHAR, rows BIGINT, violations BIGINT"),
+    "class_refusals": _values([
+        ("apart", "checks on a leave no value"), ("narrow", "checks on a leave no value"), ("unread", "check shape is not read"), ("unfit", "checks on a leave no value"), ("never", "a must be null and must not"), ("child", "needs unread, which is refused"),
+        ("lost", "needs elsewhere, which is not in the catalog"), ("egg", "in or above a cycle of required references"), ("hen", "in or above a cycle of required references"),
+    ], "table_name VARCHAR, reason VARCHAR"),
+}

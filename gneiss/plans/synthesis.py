@@ -9,45 +9,119 @@ expressions; what cannot be satisfied is refused by name.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cells, nouns
+from ..functions import cells, nouns, shapes
 from ..functions.cells import Bounds
-from ..operators.foreign_keys import parent_row, strides
+from ..operators.foreign_keys import parent_row
 from ..operators.validate import duplicates, failed, orphans
 from ..sources.catalog import Catalog, Field, Reference, Table
 
-_BOUND = re.compile(r"^\(?(\w+) (>=|<=|>|<) (-?\d+)\)?$")
-_VALUES = re.compile(r"^(\w+) IN \((.*)\)$")
-_LENGTH = re.compile(r"^char_length\((\w+)\) (<=|>=) (\d+)$")
+#: Readings of check texts and of column names, kept for the next plan; catalogs are small and repeat their texts.
+_CHECKS: dict[str, list[Row]] = {}
+_NAMES: dict[tuple[str, str], Row] = {}
+#: Sizes of the nouns whose lists are closed.
+_CLOSED = {"country_code": len(nouns.COUNTRY_CODE), "extension": len(nouns.EXTENSION), "mime": len(nouns.MIME), "method": len(nouns.METHOD), "currency": len(nouns.CURRENCY), "locale": len(nouns.LOCALE), "timezone": len(nouns.TIMEZONE), "color": len(nouns.COLOR), "phone": 100, "ip": 762}
 
 
-def bounds_of(table: Table) -> dict[str, Bounds] | None:
-    """The obligations of each column from all checks; None if a check is none of the shapes known."""
+class Refused(ValueError):
+    """Why a table's rows cannot be shown to satisfy its constraints."""
+
+
+def readings(texts: Iterable[str]) -> None:
+    """Read check texts that are not known yet: one job for all of them."""
+    if new := sorted(set(texts) - _CHECKS.keys()):
+        df = SparkSession.active().createDataFrame([(t,) for t in new], "text string")
+        parts = df.select("text", F.posexplode(shapes.conjuncts(F.col("text"))).alias("at", "part")).select("text", "at", shapes.obligation(F.col("part")).alias("r"))
+        for r in parts.orderBy("text", "at").collect():  # a row a conjunct
+            _CHECKS.setdefault(r["text"], []).append(r["r"])
+
+
+def meanings(catalog: Catalog) -> None:
+    """Read the names of columns that are not known yet: noun, range and time band."""
+    if new := sorted({(t.name, f.name) for t in catalog.values() for f in t.fields} - _NAMES.keys()):
+        df = SparkSession.active().createDataFrame(new, "t string, c string")
+        for r in df.select("t", "c", nouns.noun_of(F.col("t"), F.col("c")).alias("noun"), nouns.range_of(F.col("c")).alias("range"), nouns.moment_of(F.col("c")).alias("band")).collect():
+            _NAMES[r["t"], r["c"]] = r
+
+
+def obliged(table: Table) -> dict[str, Bounds]:
+    """The obligations of each column from its type and all checks; raises :class:`Refused` where one is not read or they conflict."""
     out: dict[str, Bounds] = {f.name: Bounds() for f in table.fields}
     for f in table.fields:
         if m := re.fullmatch(r"(?:var)?char\((\d+)\)", f.type):
             out[f.name] = out[f.name].tightened(max_length=int(m[1]))
-    for _, text in table.checks:
-        for part in text.split(" AND "):
-            if m := _BOUND.match(part):
-                n = int(m[3]) + {">": 1, "<": -1}.get(m[2], 0)
-                out[m[1]] = out[m[1]].tightened(**{"floor" if m[2][0] == ">" else "ceiling": n})
-            elif m := _VALUES.match(part):
-                out[m[1]] = out[m[1]].tightened(values=tuple(re.findall(r"'([^']*)'", m[2])))
-            elif m := _LENGTH.match(part):
-                out[m[1]] = out[m[1]].tightened(**{"max_length" if m[2] == "<=" else "min_length": int(m[3])})
-            elif m := re.fullmatch(r"(\w+) = lower\(\1\)", part):
-                out[m[1]] = out[m[1]].tightened(lower=True)
-            elif not re.fullmatch(r"\w+ IS NOT NULL", part):
-                return None
+    readings(text for _, text in table.checks)
+    for name, text in table.checks:
+        for r in _CHECKS[text]:
+            column, n = r["column_name"], r["bound"]
+            touched = set(r["names"] or ()) | ({column} if column else set())
+            if r["meaning"] == "unknown" or not touched <= out.keys():
+                raise Refused(f"check {name} is not read")
+            more = {
+                "value_set": lambda: {"values": tuple(r["literals"])}, "lowercase": lambda: {"lower": True}, "byte_length": lambda: {"exact_bytes": n}, "byte_limit": lambda: {"max_length": n}, "length_limit": lambda: {"max_length": n},
+                "min_length": lambda: {"min_length": n}, "non_empty": lambda: {"min_length": 1}, "lower_bound": lambda: {"floor": n}, "upper_bound": lambda: {"ceiling": n}, "json_type": lambda: {"json_kind": r["kind"]}, "must_be_null": lambda: {"must_be_null": True},
+            }.get(r["meaning"])
+            if more:
+                out[column] = out[column].tightened(**more())
+            elif r["meaning"] == "exactly_one":  # the first column has the value, all others are null
+                for other in r["names"][1:]:
+                    out[other] = out[other].tightened(must_be_null=True)
+            # Columns that are not to be null never are: only optional references and the ones above have nulls.
+            elif any(f.name in touched for ref in table.references for f in table.fields if f.name in ref.columns and f.nullable):
+                raise Refused(f"check {name} asks for a reference that may be null")
+    for f in table.fields:
+        out[f.name] = fitted(f, out[f.name])
     return out
 
 
+def fitted(f: Field, b: Bounds) -> Bounds:
+    """Bounds whose values fit their lengths and limits; raises where nothing is left."""
+    if b.values is not None:
+        fit = tuple(v for v in b.values if (b.max_length is None or len(v) <= b.max_length) and (b.min_length is None or len(v) >= b.min_length) and (not b.lower or v == v.lower()) and (b.exact_bytes in (None, len(v.encode()))))
+        if f.type in ("smallint", "int", "bigint"):
+            fit = tuple(v for v in fit if (b.floor is None or int(v) >= b.floor) and (b.ceiling is None or int(v) <= b.ceiling))
+        b = replace(b, values=fit)
+    lengths = (b.min_length or 0) > (b.max_length if b.max_length is not None else 1 << 30) or (b.exact_bytes is not None and not (b.min_length or 0) <= b.exact_bytes <= (b.max_length if b.max_length is not None else 1 << 30))
+    if b.values == () or lengths or (b.floor is not None and b.ceiling is not None and b.floor > b.ceiling):
+        raise Refused(f"checks on {f.name} leave no value")
+    if b.must_be_null and not f.nullable:
+        raise Refused(f"{f.name} must be null and must not")
+    return b
+
+
+def bounds_of(table: Table) -> dict[str, Bounds] | None:
+    """:func:`obliged`, or None for a table that is refused."""
+    try:
+        return obliged(table)
+    except Refused:
+        return None
+
+
+def refusals(catalog: Catalog) -> dict[str, str]:
+    """The tables that cannot be filled, and why."""
+    readings(text for t in catalog.values() for _, text in t.checks)
+    out: dict[str, str] = {}
+    for name, t in sorted(catalog.items()):
+        try:
+            obliged(t)
+        except Refused as why:
+            out[name] = str(why)
+    waiting = {n: [r.table for r in t.references if r.table != n and not t.optional(r)] for n, t in sorted(catalog.items())}
+    for name, parents in waiting.items():
+        if name not in out and (unread := [p for p in parents if p not in catalog]):
+            out[name] = f"needs {unread[0]}, which is not in the catalog"
+    ordered = order(catalog)
+    for name in ordered:
+        if name not in out and (lost := [p for p in waiting[name] if p in out]):
+            out[name] = f"needs {lost[0]}, which is refused"
+    return out | {n: "in or above a cycle of required references" for n in sorted(catalog) if n not in ordered and n not in out}
+
+
 def domain(f: Field, bounds: Bounds) -> int | None:
     """How many different values a column can take; None if there are enough for any table."""
     sizes = []
@@ -93,13 +167,15 @@ def key_capacity(table: Table, key: tuple[str, ...], rows: Mapping[str, int], bo
 def sizes(catalog: Catalog, asked: Mapping[str, int], default: int = 50) -> dict[str, int]:
     """Rows of each table: what is asked for, less if a unique key has fewer values; caps travel to children."""
     rows: dict[str, int] = {}
+    refused = refusals(catalog)
     for name in order(catalog):
         t = catalog[name]
-        bounds = bounds_of(t)
-        if bounds is None:
+        if name in refused:
             continue
+        bounds = obliged(t)
         caps = [c for key in t.keys if (c := key_capacity(t, key, rows, bounds)) is not None]
-        rows[name] = min([asked.get(name, default), *caps])
+        proved = [c for c in strided(t, rows, bounds)[1].values() if c is not None]
+        rows[name] = min([asked.get(name, default), *caps, *proved])
     return rows
 
 
@@ -119,13 +195,36 @@ class Plan:
 def _value(table: Table, f: Field, bounds: Bounds, seed: int, stride: int, unique: bool) -> Callable[[Column], Column]:
     """The expression of a column that is no reference."""
     head = f.name.split("_")[0]
+    named = _NAMES.get((table.name, f.name))
+    if f.type.endswith("[]"):
+        one = _value(table, replace(f, type=f.type[:-2]), bounds, seed, stride, unique)
+        return lambda row: F.array(one(row))
+    free = not unique and bounds.values is None and bounds.floor is None and bounds.ceiling is None
+    if named and named["range"] and free and f.type.split("(")[0] in ("smallint", "int", "bigint", "numeric", "real", "double"):
+        bounds = replace(bounds, floor=named["range"]["low"], ceiling=named["range"]["high"])
+
+    def realistic(row: Column) -> Column | None:
+        """What the column's name asks for, where its constraints leave room for that."""
+        if not named or bounds.values is not None or bounds.lower or bounds.min_length or bounds.exact_bytes:
+            return None
+        noun = "country_code" if named["noun"] == "country" and bounds.max_length == 2 else named["noun"]
+        if noun is None or (bounds.max_length is not None and bounds.max_length < 64 and noun not in ("country_code", "currency")) or (unique and noun in _CLOSED):
+            return None
+        if noun in _CLOSED:
+            width = {"country_code": 2, "currency": 3}.get(noun, 64)
+            return nouns.noun(noun, F.pmod(row, F.lit(_CLOSED[noun]))) if bounds.max_length is None or bounds.max_length >= width else None
+        return nouns.noun(noun, cells.step(row, stride) if unique else row)
 
     def make(row: Column) -> Column:
         number = cells.step(row, stride) if unique else cells.cell(seed, table.name, f.name, row)
         if bounds.must_be_null:
             return F.lit(None).cast("string")
         if bounds.values is not None:
-            return cells.chosen(number, list(bounds.values))
+            made = cells.chosen(number, list(bounds.values))
+            return made.cast(f.type) if f.type in ("smallint", "int", "bigint", "boolean", "double", "real") else made
+        if named and named["band"] and not unique and f.type in ("timestamptz", "timestamp", "date"):
+            at = cells.timestamp(nouns.moment(row, cells.cell(seed, table.name, f.name, row), named["band"]))
+            return at.cast("date") if f.type == "date" else at
         low, kind = bounds.floor, f.type.split("(")[0]
         if f.sequence:
             return (row + 1).cast("long")
@@ -149,11 +248,8 @@ def _value(table: Table, f: Field, bounds: Bounds, seed: int, stride: int, uniqu
             return makers[kind]()
         if kind == "enum":
             return cells.chosen(number, f.type[5:-1].split("|"))
-        person = nouns.person(row)
-        if f.name == "email":
-            return person["email"]
-        if f.name == "name" and table.name.rstrip("s") in nouns.PERSON_TABLES:
-            return person["person"]
+        if (made := realistic(row)) is not None:
+            return made
         return cells.text(head, number if unique else F.pmod(number, F.lit(46_656)), bounds, unique)
 
     return make
@@ -162,8 +258,9 @@ def _value(table: Table, f: Field, bounds: Bounds, seed: int, stride: int, uniqu
 def plans(catalog: Catalog, rows: Mapping[str, int], seed: int = 1) -> dict[str, Plan]:
     """A plan for each table that has rows, parents first."""
     out: dict[str, Plan] = {}
+    meanings(catalog)
     for name in [n for n in order(catalog) if n in rows]:
-        t, bounds = catalog[name], bounds_of(catalog[name]) or {}
+        t, bounds = catalog[name], obliged(catalog[name])
         columns: dict[str, Callable[[Column], Column]] = {}
         steps = key_strides(t, rows, bounds)
         for f in t.fields:
@@ -181,23 +278,44 @@ def plans(catalog: Catalog, rows: Mapping[str, int], seed: int = 1) -> dict[str,
     return out
 
 
-def key_strides(table: Table, rows: Mapping[str, int], bounds: Mapping[str, Bounds]) -> dict[str, int]:
-    """The stride of each column of a composite key, so that its columns together do not repeat."""
-    out: dict[str, int] = {}
-    for key in table.keys:
-        if len(key) < 2 or any(c in out for c in key):
-            continue
+def strided(table: Table, rows: Mapping[str, int], bounds: Mapping[str, Bounds]) -> tuple[dict[str, int], dict[tuple[str, ...], int | None]]:
+    """The stride of each keyed column, and for how many rows each composite key is proved not to repeat (None: any).
+
+    Wheels whose strides are the product of the sizes before them are an
+    odometer. Columns that are a key by themselves count by one and make every
+    key with them distinct. Keys that share columns keep the strides given
+    already, and only the wheels that go on from there count as proof.
+    """
+    out: dict[str, int] = {k[0]: 1 for k in table.keys if len(k) == 1}
+    proved: dict[tuple[str, ...], int | None] = {}
+    for key in sorted((k for k in table.keys if len(k) > 1), key=lambda k: table.keys.index(k)):
         wheels: list[tuple[tuple[str, ...], int | None]] = []
         for c in key:
             ref = next((r for r in table.references if c in r.columns and r.table in rows), None)
             if ref is not None and any(c in w for w, _ in wheels):
                 continue
             wheels.append((ref.columns, rows[ref.table]) if ref else ((c,), domain(table.field_of(c), bounds[c])))
-        # A column without a bound tells all rows apart by itself and comes last.
-        wheels.sort(key=lambda w: w[1] is None)
-        for (columns, _), stride in zip(wheels, strides([n if n is not None else 1 for _, n in wheels]), strict=True):
-            out |= dict.fromkeys(columns, stride if wheels[-1][1] is not None else 1)
-    return out
+        single = any((c,) in table.keys for c in key)
+        # A column without a bound tells all rows apart by itself where it counts by one.
+        if single or any(n is None and out.get(w[0], 1) == 1 for w, n in wheels):
+            proved[key] = None
+            for w, _ in wheels:
+                for c in w:
+                    out.setdefault(c, 1)
+            continue
+        cover = 1
+        for w, n in sorted((x for x in wheels if x[0][0] in out), key=lambda x: out[x[0][0]]):
+            cover *= n if out[w[0]] == cover and n is not None else 1
+        for w, n in (x for x in wheels if x[0][0] not in out):
+            out |= dict.fromkeys(w, cover)
+            cover *= max(1, n or 1)
+        proved[key] = cover
+    return out, proved
+
+
+def key_strides(table: Table, rows: Mapping[str, int], bounds: Mapping[str, Bounds]) -> dict[str, int]:
+    """The stride of each keyed column, so that the columns of each key together do not repeat."""
+    return strided(table, rows, bounds)[0]
 
 
 def _drawn(parent: Plan, ref: Reference, column: str, stride: int) -> Callable[[Column], Column]:
