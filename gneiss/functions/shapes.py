@@ -161,7 +161,7 @@ def trigger(body: Column) -> Column:
 
 
 def partition(key: Column, bounds: Column) -> Column:
-    """struct<reading, values> of a partitioned table: anything, one_of or unknown.
+    """struct<reading, values, column_name, items> of a partitioned table: anything, one_of or unknown.
 
     Hash partitions take anything if one modulus has all its remainders; lists
     take the values listed, or anything with a default; ranges, expressions and
@@ -175,7 +175,7 @@ def partition(key: Column, bounds: Column) -> Column:
     listed = F.forall(bounds, lambda b: b.rlike(r"(?i)^FOR VALUES IN \('[^']*'(?:, '[^']*')*\)$|^DEFAULT$")) & (F.size(bounds) > 0) & key.rlike(r"(?i)^LIST \(\w+\)$")
     values = F.array_sort(F.array_distinct(F.flatten(F.transform(bounds, lambda b: F.regexp_extract_all(b, F.lit("'([^']*)'"), F.lit(1))))))
     reading = F.when(key.rlike("(?i)^HASH") & one & covered, "anything").when(listed, F.when(F.array_contains(bounds, "DEFAULT"), "anything").otherwise("one_of")).otherwise("unknown")
-    return F.struct(reading.alias("reading"), F.when(reading == "one_of", F.array_join(values, ",")).alias("values"))
+    return F.struct(reading.alias("reading"), F.when(reading == "one_of", F.array_join(values, ",")).alias("values"), F.regexp_extract(key, r"\((\w+)\)", 1).alias("column_name"), values.alias("items"))
 
 
 def glob(pattern: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shapes import glob
 from ..sources.shared import cut
 
 
@@ -85,3 +86,21 @@ def contagion(tables: DataFrame, references: DataFrame, refused: DataFrame) -> D
             break
         bad = cut(bad.union(new))
     return tables.select("table_name").join(bad, "table_name", "left").select("table_name", F.when(F.col("reason").isNull(), "filled").otherwise("refused").alias("verdict"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def selection(tables: DataFrame, edges: DataFrame, include: DataFrame, exclude: DataFrame) -> DataFrame:
+    """table_name, how: ``asked`` for by a pattern, or ``needed`` above one that is.
+
+    ``include`` and ``exclude`` have a column pattern. No pattern at all asks for
+    every table; an excluded table is never taken, needed or not.
+    """
+    t = cut(tables.select("table_name"))
+
+    def matching(patterns: DataFrame) -> DataFrame:
+        return t.join(patterns, F.rlike(F.col("table_name"), glob(F.col("pattern"))), "left_semi")
+
+    hit, out = (t if include.isEmpty() else matching(include)), matching(exclude)
+    asked = cut(hit.join(out, "table_name", "left_anti").distinct())
+    above = closure(edges).join(asked.select(F.col("table_name").alias("child")), "child", "left_semi").select(F.col("ancestor").alias("table_name")).distinct()
+    needed = above.join(asked, "table_name", "left_anti").join(out, "table_name", "left_anti")
+    return asked.withColumn("how", F.lit("asked")).unionByName(needed.withColumn("how", F.lit("needed")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -429,7 +430,7 @@ HOLDS = {
     "between": "n between 3 and 9 and m > 100", "bytes": "octet_length(code) = 20", "worded": "word <> '' and word = lower(word) and char_length(word) between 10 and 30", "listed": "state in ('it\\'s', 'b') and level in (1, 2, 30)",
     "single": "int(a is not null) + int(b is not null) + int(c is not null) = 1", "counted": "a is not null and b is not null", "typed": "doc like '[%'", "tagged": "size(tags) <= 3", "gone": "until is null or until > 5",
 }
-REFUSED: Catalog = {
+UNFILLED: Catalog = {
     t.name: t
     for t in (
         table("apart", "id int, a int", "id", (), (), (("low", "a >= 5 AND a <= 3"),)), table("narrow", "id int, a varchar(3)", "id", (), (), (("long", "char_length(a) >= 9"),)), table("unread", "id int, a text", "id", (), (), (("shape", "a ~ '^[a-z]+$'"),)),
@@ -451,7 +452,7 @@ def gen_obligations(spark: SparkSession, d: str) -> DataFrame:
 
 def class_refusals(spark: SparkSession, d: str) -> DataFrame:
     """The tables that are refused, each with its reason."""
-    return spark.createDataFrame(sorted(synthesis.refusals(REFUSED).items()), "table_name string, reason string")
+    return spark.createDataFrame(sorted(synthesis.refusals(UNFILLED).items()), "table_name string, reason string")
 
 
 QUERIES |= {"gen_obligations": gen_obligations, "class_refusals": class_refusals}
@@ -462,3 +463,74 @@ SQL |= {
         ("lost", "needs elsewhere, which is not in the catalog"), ("egg", "in or above a cycle of required references"), ("hen", "in or above a cycle of required references"),
     ], "table_name VARCHAR, reason VARCHAR"),
 }
+
+
+# Cycles, bound catalogs, selection with parents ------------------------------------------
+def repair_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """Tables in cycles: rows, rows without a reference, and references that no parent has."""
+    made = synthesis.generate(spark, RINGS, {"b2": 20, "a3": 7}, 11)
+    out = None
+    for n, df in made.items():
+        (ref,) = RINGS[n].references
+        lost = validate.orphans(df, ref, made[ref.table]).agg(F.count(F.lit(1)).alias("orphans"))
+        one = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(ref.columns[0]).isNull()).alias("roots")).crossJoin(lost).select(F.lit(n).alias("table_name"), "rows", "roots", "orphans")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Tables with indexes, triggers and partitions that ask something of their rows.
+BOUND: Catalog = {
+    t.name: t
+    for t in (
+        replace(table("hosts", "id int, name text, note text", "id"), indexes=("CREATE UNIQUE INDEX hosts_name ON hosts USING btree (lower(name))", "CREATE INDEX hosts_note ON hosts USING btree (note)")),
+        replace(table("pairs", "id int, a boolean, b boolean", "id"), indexes=("CREATE UNIQUE INDEX pairs_ab ON pairs USING btree (a, b)",)),
+        replace(table("odd", "id int, a text", "id"), indexes=("CREATE UNIQUE INDEX odd_a ON odd USING btree (upper(a))",)),
+        replace(table("kinds", "id int, kind text", "id"), partition=("LIST (kind)", ("FOR VALUES IN ('a', 'b')", "FOR VALUES IN ('c')"))),
+        replace(table("ranges", "id int, at date", "id"), partition=("RANGE (at)", ("FOR VALUES FROM ('2020-01-01') TO ('2021-01-01')",))),
+        replace(table("strict", "id int, a int", "id"), triggers=(("look", "BEGIN IF NEW.a IS NULL THEN RAISE EXCEPTION 'no'; END IF; RETURN NEW; END"),)),
+        replace(table("slugs", "id int, slug text", "id"), triggers=(("slugify", "BEGIN NEW.slug = lower(NEW.slug); RETURN NEW; END"),)),
+        replace(table("quiet", "id bigint sequence, a int", "id"), triggers=(("count", "BEGIN NEW.id := nextval('s'); RETURN NEW; END"),)),
+        replace(table("told", "id int", "id"), triggers=(("tell", "BEGIN INSERT INTO Log(a) VALUES (1); RETURN NEW; END"),)),
+        replace(table("away", "id int", "id"), triggers=(("send", "BEGIN UPDATE elsewhere SET n = n + 1; RETURN NEW; END"),)),
+        table("log", "a int", "a"), table("uses", "id int, o int", "id", (), (("o", "odd", "id"),)),
+    )
+}
+
+
+def class_bound(spark: SparkSession, d: str) -> DataFrame:
+    """What indexes, triggers and partitions do to tables: rows made, or why there are none."""
+    rows, why = synthesis.sizes(BOUND, {}), synthesis.refusals(BOUND)
+    return spark.createDataFrame([(n, rows.get(n, 0), why.get(n)) for n in sorted(BOUND)], "table_name string, rows long, reason string")
+
+
+def gen_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Generated rows of tables with bound indexes and partitions, and how many break what these ask."""
+    made = synthesis.generate(spark, BOUND, {}, 3)
+    asks = {"hosts": ("name = lower(name)", ("name",)), "pairs": ("true", ("a", "b")), "kinds": ("kind in ('a', 'b', 'c')", ("id",))}
+    out = None
+    for n, (holds, key) in asks.items():
+        one = made[n].agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(*key).alias("distinct_keys"), F.count_if(~F.expr(holds)).alias("violations")).select(F.lit(n).alias("table_name"), "rows", "distinct_keys", "violations")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+INCLUDE, EXCLUDE = ["orders", "l*", "e*s"], ["embed*", "region"]
+
+
+def sel_pulled(spark: SparkSession, d: str) -> DataFrame:
+    """The tables that patterns ask for, and the parents that come along, but for those excluded."""
+    tables, edges, _ = _edges(spark, TESTDATA)
+    return graph.selection(tables, edges, spark.createDataFrame([(p,) for p in INCLUDE], "pattern string"), spark.createDataFrame([(p,) for p in EXCLUDE], "pattern string"))
+
+
+QUERIES |= {"repair_cycle": repair_cycle, "class_bound": class_bound, "gen_bound": gen_bound, "sel_pulled": sel_pulled}
+_INCLUDE, _EXCLUDE = (f"(select unnest([{', '.join(repr(p) for p in patterns)}]) as pattern)" for patterns in (INCLUDE, EXCLUDE))
+SQL |= {
+    "repair_cycle": _values([("a1", 50, 1, 0), ("a2", 50, 0, 0), ("a3", 7, 0, 0), ("alone", 50, 1, 0), ("b1", 50, 0, 0), ("b2", 20, 0, 0)], "table_name VARCHAR, rows BIGINT, roots BIGINT, orphans BIGINT"),
+    "class_bound": _values([
+        ("hosts", 50, None), ("pairs", 4, None), ("odd", 0, "index odd_a is not read"), ("kinds", 50, None), ("ranges", 0, "its partitions are not read"), ("strict", 0, "trigger look may raise"), ("slugs", 0, "trigger slugify sets slug"), ("quiet", 50, None),
+        ("told", 50, None), ("away", 0, "trigger send writes elsewhere"), ("log", 0, "trigger tell writes log"), ("uses", 0, "needs odd, which is refused"),
+    ], "table_name VARCHAR, rows BIGINT, reason VARCHAR"),
+    "gen_bound": _values([("hosts", 50, 50, 0), ("pairs", 4, 4, 0), ("kinds", 50, 50, 0)], "table_name VARCHAR, rows BIGINT, distinct_keys BIGINT, violations BIGINT"),
+    "sel_pulled": f"with {_EDGES}, x as (select table_name from t where exists (select 1 from {_EXCLUDE} where table_name glob pattern)), q as (select table_name from t where exists (select 1 from {_INCLUDE} where table_name glob pattern) and table_name not in (select table_name from x)) select table_name, 'asked' as how from q union all select distinct ancestor, 'needed' from w where child in (select table_name from q) and ancestor not in (select table_name from q) and ancestor not in (select table_name from x)",
+}

@@ -9,7 +9,7 @@ expressions; what cannot be satisfied is refused by name.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Collection, Iterable, Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, nouns, shapes
 from ..functions.cells import Bounds
+from ..operators import graph
 from ..operators.foreign_keys import parent_row
 from ..operators.validate import duplicates, failed, orphans
-from ..sources.catalog import Catalog, Field, Reference, Table
+from ..sources.catalog import Catalog, Field, Reference, Table, frames
 
 #: Readings of check texts and of column names, kept for the next plan; catalogs are small and repeat their texts.
 _CHECKS: dict[str, list[Row]] = {}
@@ -49,8 +50,51 @@ def meanings(catalog: Catalog) -> None:
             _NAMES[r["t"], r["c"]] = r
 
 
+def bound(catalog: Catalog) -> Catalog:
+    """The catalog with what indexes, triggers and partitions ask for as keys, checks and reasons to refuse.
+
+    A unique index is a key, one in lower case a key of lowered values; a list
+    partition without a default is a value set. A trigger that may raise, or sets
+    a column that rows give, refuses its table; one that writes elsewhere refuses
+    the tables written, or its own where these are partitioned or not in the
+    catalog. What is not read refuses as well.
+    """
+    if not any(t.indexes or t.triggers or t.partition for t in catalog.values()):
+        return catalog
+    facts = frames(SparkSession.active(), catalog)
+    out = {n: replace(t, indexes=(), triggers=(), partition=None) for n, t in catalog.items()}
+    plain = {n.lower(): n for n in catalog}
+
+    def add(name: str, **more: tuple) -> None:
+        out[name] = replace(out[name], **{k: getattr(out[name], k) + v for k, v in more.items()})
+
+    names = F.regexp_extract("definition", r"(?i)\bINDEX\s+(?:IF NOT EXISTS\s+)?\"?(\w+)", 1)
+    for r in facts["indexes"].select("table_name", names.alias("name"), shapes.index(F.col("definition")).alias("r")).orderBy("table_name", "name").collect():
+        key, have = tuple((r["r"]["columns"] or "").split(",")), {f.name for f in catalog[r["table_name"]].fields}
+        if r["r"]["reading"] == "unknown" or (r["r"]["reading"] != "harmless" and not set(key) <= have):
+            add(r["table_name"], opaque=(f"index {r['name']} is not read",))
+        elif r["r"]["reading"] != "harmless":
+            add(r["table_name"], unique=() if key in out[r["table_name"]].keys else (key,), checks=((r["name"], f"{key[0]} = lower({key[0]})"),) if r["r"]["reading"] == "lowered" else ())
+    for r in facts["partitions"].select("table_name", shapes.partition(F.col("partition_key"), F.col("bounds")).alias("r")).collect():
+        if r["r"]["reading"] == "one_of":
+            add(r["table_name"], checks=(("partition", f"{r['r']['column_name']} IN (" + ", ".join(f"'{v}'" for v in r["r"]["items"]) + ")"),))
+        elif r["r"]["reading"] == "unknown":
+            add(r["table_name"], opaque=("its partitions are not read",))
+    for r in facts["triggers"].select("table_name", "trigger_name", shapes.trigger(F.col("body")).alias("r")).orderBy("table_name", "trigger_name").collect():
+        name, found = r["table_name"], r["r"]
+        set_ = {c for c in found["assigns"].split(",") if c} & {f.name.lower() for f in catalog[name].written()}
+        if found["raises"] or set_:
+            add(name, opaque=(f"trigger {r['trigger_name']} may raise" if found["raises"] else f"trigger {r['trigger_name']} sets {min(set_)}",))
+        for target in (t for t in found["targets"].split(",") if t):
+            known = plain.get(target)
+            add(known if known and not catalog[known].partition else name, opaque=(f"trigger {r['trigger_name']} writes {target}",))
+    return out
+
+
 def obliged(table: Table) -> dict[str, Bounds]:
     """The obligations of each column from its type and all checks; raises :class:`Refused` where one is not read or they conflict."""
+    if table.opaque:
+        raise Refused(table.opaque[0])
     out: dict[str, Bounds] = {f.name: Bounds() for f in table.fields}
     for f in table.fields:
         if m := re.fullmatch(r"(?:var)?char\((\d+)\)", f.type):
@@ -104,6 +148,7 @@ def bounds_of(table: Table) -> dict[str, Bounds] | None:
 
 def refusals(catalog: Catalog) -> dict[str, str]:
     """The tables that cannot be filled, and why."""
+    catalog = bound(catalog)
     readings(text for t in catalog.values() for _, text in t.checks)
     out: dict[str, str] = {}
     for name, t in sorted(catalog.items()):
@@ -116,9 +161,14 @@ def refusals(catalog: Catalog) -> dict[str, str]:
         if name not in out and (unread := [p for p in parents if p not in catalog]):
             out[name] = f"needs {unread[0]}, which is not in the catalog"
     ordered = order(catalog)
+    place = {n: i for i, n in enumerate(ordered)}
     for name in ordered:
-        if name not in out and (lost := [p for p in waiting[name] if p in out]):
-            out[name] = f"needs {lost[0]}, which is refused"
+        t = catalog[name]
+        late = [r for r in t.references if place.get(r.table, -1) > place[name] and not t.optional(r) and any(set(r.columns) & set(k) for k in t.keys)]
+        if late and name not in out:
+            out[name] = f"has a key with its reference to {late[0].table}, which refers back"
+    while lost := {n: bad[0] for n in ordered if n not in out and (bad := [p for p in waiting[n] if p in out])}:
+        out |= {n: f"needs {p}, which is refused" for n, p in lost.items()}
     return out | {n: "in or above a cycle of required references" for n in sorted(catalog) if n not in ordered and n not in out}
 
 
@@ -140,13 +190,43 @@ def domain(f: Field, bounds: Bounds) -> int | None:
 
 
 def order(catalog: Catalog) -> list[str]:
-    """Parents before children, by name within a level; tables in a cycle of required references are left out."""
+    """Parents before children, by name within a level.
+
+    Where a cycle is left, optional references in it do not count (they are
+    filled in afterwards); where all required references of a cycle can be
+    checked at the end, its tables follow each other by name. Other cycles, and
+    what needs them, are left out. Tables outside the catalog are not waited for.
+    """
     done: list[str] = []
-    while True:
-        ready = sorted(n for n, t in catalog.items() if n not in done and all(r.table in done or r.table == n or (t.optional(r) and r.table in catalog) for r in t.references))
+    every = {n: {r.table for r in t.references} & catalog.keys() - {n} for n, t in catalog.items()}
+    needed = {n: {r.table for r in t.references if not t.optional(r)} & catalog.keys() - {n} for n, t in catalog.items()}
+    waits = {n: {r.table for r in t.references if not t.optional(r) and not r.deferrable} & catalog.keys() - {n} for n, t in catalog.items()}
+    while len(done) < len(catalog):
+        open_, have = sorted(catalog.keys() - set(done)), set(done)
+        ready = [n for n in open_ if every[n] <= have]
+        if not ready:
+            ways = _reached(every, open_)
+            ready = [n for n in open_ if needed[n] <= have and all(n in ways[p] for p in ways[n])]
         if not ready:
-            return done
+            ways = _reached(needed, open_)
+            ready = next((sorted(ways[n]) for n in open_ if n in ways[n] and all(ways[m] == ways[n] and not waits[m] & ways[n] for m in ways[n])), None) or [n for n in open_ if needed[n] <= have]
+        if not ready:
+            break
         done += ready
+    return done
+
+
+def _reached(edges: Mapping[str, Collection[str]], among: Collection[str]) -> dict[str, set[str]]:
+    """What each table comes to along the edges without leaving ``among``."""
+    out: dict[str, set[str]] = {}
+    for start in among:
+        seen: set[str] = set()
+        front = set(edges[start]) & set(among)
+        while front:
+            seen |= front
+            front = {p for n in front for p in edges[n] if p in among} - seen
+        out[start] = seen
+    return out
 
 
 def key_capacity(table: Table, key: tuple[str, ...], rows: Mapping[str, int], bounds: Mapping[str, Bounds]) -> int | None:
@@ -167,6 +247,7 @@ def key_capacity(table: Table, key: tuple[str, ...], rows: Mapping[str, int], bo
 def sizes(catalog: Catalog, asked: Mapping[str, int], default: int = 50) -> dict[str, int]:
     """Rows of each table: what is asked for, less if a unique key has fewer values; caps travel to children."""
     rows: dict[str, int] = {}
+    catalog = bound(catalog)
     refused = refusals(catalog)
     for name in order(catalog):
         t = catalog[name]
@@ -258,6 +339,7 @@ def _value(table: Table, f: Field, bounds: Bounds, seed: int, stride: int, uniqu
 def plans(catalog: Catalog, rows: Mapping[str, int], seed: int = 1) -> dict[str, Plan]:
     """A plan for each table that has rows, parents first."""
     out: dict[str, Plan] = {}
+    catalog = bound(catalog)
     meanings(catalog)
     for name in [n for n in order(catalog) if n in rows]:
         t, bounds = catalog[name], obliged(catalog[name])
@@ -269,11 +351,13 @@ def plans(catalog: Catalog, rows: Mapping[str, int], seed: int = 1) -> dict[str,
             if ref is None:
                 columns[f.name] = _value(t, f, bounds[f.name], seed, steps.get(f.name, 1), keyed)
             elif ref.table == name:
-                columns[f.name] = _rooted(columns, ref, f.name)
-            elif ref.table in out and rows[ref.table]:
-                columns[f.name] = _drawn(out[ref.table], ref, f.name, steps.get(f.name, 1))
-            else:
+                columns[f.name] = _rooted(lambda columns=columns: columns, ref, f.name, 0 if t.optional(ref) else -1)
+            elif not rows.get(ref.table) or (ref.table not in out and t.optional(ref) and any(set(ref.columns) & set(k) for k in t.keys)):
                 columns[f.name] = lambda row: F.lit(None).cast("long")
+            elif ref.table not in out and t.optional(ref):  # a cycle: one row without, all others refer to the first
+                columns[f.name] = _rooted(lambda ref=ref: out[ref.table].columns, ref, f.name)
+            else:
+                columns[f.name] = _drawn(lambda ref=ref: out[ref.table], ref, f.name, steps.get(f.name, 1))
         out[name] = Plan(t, rows[name], columns)
     return out
 
@@ -318,18 +402,34 @@ def key_strides(table: Table, rows: Mapping[str, int], bounds: Mapping[str, Boun
     return strided(table, rows, bounds)[0]
 
 
-def _drawn(parent: Plan, ref: Reference, column: str, stride: int) -> Callable[[Column], Column]:
+def _drawn(parent: Callable[[], Plan], ref: Reference, column: str, stride: int) -> Callable[[Column], Column]:
+    """The parent's key; its plan may be made later."""
     key = ref.keys[ref.columns.index(column)]
-    return lambda row: parent.columns[key](parent_row(row, parent.rows, stride))
+    return lambda row: parent().columns[key](parent_row(row, parent().rows, stride))
 
 
-def _rooted(columns: dict[str, Callable[[Column], Column]], ref: Reference, column: str) -> Callable[[Column], Column]:
+def _rooted(columns: Callable[[], dict[str, Callable[[Column], Column]]], ref: Reference, column: str, root: int = 0) -> Callable[[Column], Column]:
+    """The key of the first row, in all rows after the root; a reference that must not be null has no root (-1)."""
     key = ref.keys[ref.columns.index(column)]
-    return lambda row: F.when(row > 0, columns[key](F.lit(0).cast("long")))
+    return lambda row: F.when(row > root, columns()[key](F.lit(0).cast("long")))
+
+
+def selected(catalog: Catalog, include: Iterable[str] = (), exclude: Iterable[str] = ()) -> Catalog:
+    """The part of a catalog that patterns name, with the parents it needs; what is excluded stays out.
+
+    Indexes, triggers and partitions are read in the whole catalog before. A
+    child of an excluded parent is refused, or has no reference if it may.
+    """
+    spark, catalog = SparkSession.active(), bound(catalog)
+    facts = frames(spark, catalog)
+    how = graph.selection(facts["tables"], graph.edges(facts["references"], facts["tables"]), spark.createDataFrame([(p,) for p in include], "pattern string"), spark.createDataFrame([(p,) for p in exclude], "pattern string"))
+    kept = {r["table_name"] for r in how.collect()}  # names of a catalog
+    return {n: t for n, t in catalog.items() if n in kept}
 
 
 def generate(spark: SparkSession, catalog: Catalog, asked: Mapping[str, int], seed: int = 1) -> dict[str, DataFrame]:
     """The tables that can be filled, parents first."""
+    catalog = bound(catalog)
     made = plans(catalog, sizes(catalog, asked), seed)
     return {n: p.frame(spark) for n, p in made.items() if p.rows}
 

@@ -41,6 +41,12 @@ class Table:
     unique: tuple[tuple[str, ...], ...] = ()
     references: tuple[Reference, ...] = ()
     checks: tuple[tuple[str, str], ...] = field(default=())
+    #: Definitions of indexes that no key owns, (name, body) of triggers on insert, (key, bounds of its parts) where it is partitioned.
+    indexes: tuple[str, ...] = ()
+    triggers: tuple[tuple[str, str], ...] = ()
+    partition: tuple[str, tuple[str, ...]] | None = None
+    #: What is known to forbid rows, or cannot be read.
+    opaque: tuple[str, ...] = ()
 
     @property
     def keys(self) -> tuple[tuple[str, ...], ...]:
@@ -81,18 +87,24 @@ def from_struct(name: str, schema: StructType, primary: tuple[str, ...] = ()) ->
 
 
 def frames(spark: SparkSession, catalog: Catalog) -> dict[str, DataFrame]:
-    """columns, keys, references and checks, a row each (column lists as arrays, in order)."""
+    """Columns, keys, references, checks, indexes, triggers and partitioned tables, a row each (lists as arrays, in order)."""
     tables = sorted(catalog.values(), key=lambda t: t.name)
     columns = [(t.name, i + 1, f.name, f.type, f.nullable, f.default, f.sequence, f.generated) for t in tables for i, f in enumerate(t.fields)]
     keys = [(t.name, i, list(k), bool(t.primary) and i == 0) for t in tables for i, k in enumerate(t.keys)]
     refs = [(t.name, i, list(r.columns), r.table, list(r.keys), t.optional(r), r.deferrable) for t in tables for i, r in enumerate(t.references)]
     checks = [(t.name, n, d) for t in tables for n, d in t.checks]
+    indexes = [(t.name, d) for t in tables for d in t.indexes]
+    triggers = [(t.name, n, b) for t in tables for n, b in t.triggers]
+    parted = [(t.name, t.partition[0], list(t.partition[1])) for t in tables if t.partition]
     return {
         "tables": spark.createDataFrame([(t.name,) for t in tables], "table_name string"),
         "columns": spark.createDataFrame(columns, "table_name string, position int, column_name string, type string, nullable boolean, default_value string, sequence boolean, generated boolean"),
         "keys": spark.createDataFrame(keys, "table_name string, ordinal int, columns array<string>, is_primary boolean"),
         "references": spark.createDataFrame(refs, "table_name string, ordinal int, columns array<string>, parent string, parent_columns array<string>, optional boolean, deferrable boolean"),
         "checks": spark.createDataFrame(checks, "table_name string, check_name string, definition string"),
+        "indexes": spark.createDataFrame(indexes, "table_name string, definition string"),
+        "triggers": spark.createDataFrame(triggers, "table_name string, trigger_name string, body string"),
+        "partitions": spark.createDataFrame(parted, "table_name string, partition_key string, bounds array<string>"),
     }
 
 

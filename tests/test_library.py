@@ -167,3 +167,34 @@ def test_stream_finds_broken_rows_and_counts_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.kind, r.rows) for r in spark.table("counted").collect()} == {("a", 30), ("b", 30)}
+
+
+def test_cycles_have_one_root_each_and_no_closed_loop(spark):
+    rings = {t.name: t for t in (table("a", "id int, b int null", "id", (), (("b", "b", "id"),)), table("b", "id int, a int", "id", (), (("a", "a", "id"),)), table("own", "id int, up int", "id", (), (("up", "own", "id"),)), table("x", "id int, y int", "id", (), (("y", "y", "id deferrable"),)), table("y", "id int, x int", "id", (), (("x", "x", "id deferrable"),)), table("over", "id int, x int, gone int null", "id", (), (("x", "x", "id"), ("gone", "nowhere", "id"))))}
+    assert synthesis.order(rings) == ["own", "a", "b", "x", "y", "over"] or synthesis.order(rings)[-1] == "over"
+    made = synthesis.generate(spark, rings, {"y": 5})
+    assert made.keys() == rings.keys() and synthesis.refusals(rings) == {}
+    a, b = ({r[0]: r[1] for r in made[n].collect()} for n in "ab")
+    for start in a:
+        at, steps = start, 0
+        while at is not None and steps < 10:
+            at, steps = (b[a[at]] if a[at] is not None else None), steps + 1
+        assert at is None
+    assert sum(v is None for v in a.values()) == 1 and made["own"].where("up is null").isEmpty() and made["over"].where("gone is not null").isEmpty()
+    for n, df in made.items():
+        for ref in rings[n].references:
+            assert ref.table == "nowhere" or validate.orphans(df, ref, made[ref.table]).isEmpty()
+
+
+def test_a_cycle_through_a_key_is_refused(spark):
+    rings = {t.name: t for t in (table("x", "y int", "y", (), (("y", "y", "id deferrable"),)), table("y", "id int, x int", "id", (), (("x", "x", "y deferrable"),)))}
+    assert synthesis.refusals(rings) == {"x": "has a key with its reference to y, which refers back", "y": "needs x, which is refused"}
+    assert synthesis.generate(spark, rings, {}) == {}
+
+
+def test_selection_brings_parents_unless_they_are_excluded(spark):
+    assert set(synthesis.selected(SHOP, ["order_items"])) == {"order_items", "orders", "products", "users", "orgs"}
+    assert set(synthesis.selected(SHOP)) == set(SHOP)
+    left = synthesis.selected(SHOP, ["order_items"], ["products"])
+    assert "products" not in left and synthesis.refusals(left) == {"order_items": "needs products, which is not in the catalog"}
+    assert set(synthesis.generate(spark, left, {})) == {"orders", "users", "orgs"}
