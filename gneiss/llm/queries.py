@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, fingerprint, jaccard, licenses, mixing, packing, pii, quality_rules, substring, warc
+from . import collocations, cotraining, fingerprint, jaccard, licenses, mixing, packing, pii, quality_rules, simhash, substring, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,10 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_warc": warc.op10_warc,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 SQL: dict[str, str] = {
     "op5_substring_dedup": substring.OP5_SQL,
     "op9_jaccard_join": jaccard.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
