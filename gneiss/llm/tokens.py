@@ -15,9 +15,8 @@ import unicodedata
 
 import numpy as np
 
-from .words import mix, powers, inverse
+from .words import KEPT, hashed
 
-_BASE = np.uint64(0x8CB92BA72F3D8DD7)
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNSURE = 0, 1, 2, 3, 4
 _SURE = 0x530  # Latin, Greek and Cyrillic with their marks; what lies beyond is encoded text by text
 #: Words to remember at most; then a worker starts anew.
@@ -49,11 +48,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._slot: dict[int, int] = {}
+        self._slot: dict[str, int] = {}
         self._flat, self._used = np.zeros(1 << 16, np.uint32), 0
         self._at, self._len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         ids = np.array(self._t.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
         last = np.flatnonzero(self._ends[ids])
         if len(last) != len(words):
@@ -69,7 +68,7 @@ class Encoder:
         self._at[n : n + m] = self._used + last + 1 - length
         self._len[n : n + m] = length
         self._used += len(ids)
-        self._slot.update(zip(keys, range(n, n + m), strict=True))
+        self._slot.update(zip(words, range(n, n + m), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -96,17 +95,23 @@ class Encoder:
                 out[i] = ids
             return out
         start, end = self._words(codes, kinds)
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(codes) + 1)[: len(codes)], dtype=np.uint64, out=sums[1:])
-        hashed = mix((sums[end] - sums[start]) * powers(inverse(_BASE), len(codes) + 1)[start] + mix((end - start).astype(np.uint64)))
-        keys, first, which = np.unique(hashed, return_index=True, return_inverse=True)
+        # All codes left are below 2**16.
+        spelled = codes.astype("<u2").tobytes()
+        keys, first, which = np.unique(hashed(spelled, 2 * start, 2 * end), return_index=True, return_inverse=True)
+        if (odd := self._unequal(spelled, 2 * start, 2 * end, first[which])).any():  # words of one hash: texts by themselves
+            bad = {int(b) for b in np.searchsorted(at, start[odd], side="right") - 1}
+            for b in bad:
+                out[sure[b]] = self._alone(texts[sure[b]])
+            good = [i for b, i in enumerate(sure) if b not in bad]
+            for i, ids in zip(good, self([texts[i] for i in good]), strict=True):
+                out[i] = ids
+            return out
         if len(self._slot) + len(keys) > REMEMBERED:
             self._forget()
-        known = keys.tolist()
-        new = [j for j, k in enumerate(known) if k not in self._slot]
-        if new:
-            self._learn([known[j] for j in new], [joined[start[first[j]] : end[first[j]]] for j in new])
-        slot = np.array([self._slot[k] for k in known], np.int64)[which]
+        words = [joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        if new := [w for w in words if w not in self._slot]:
+            self._learn(new)
+        slot = np.array([self._slot[w] for w in words], np.int64)[which]
         length = self._len[slot]
         done = np.zeros(len(slot) + 1, np.int64)
         np.cumsum(length, out=done[1:])
@@ -119,6 +124,20 @@ class Encoder:
     def _alone(self, text: str) -> np.ndarray:
         return np.array(self._t.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    @staticmethod
+    def _unequal(data: bytes, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Which ranges of bytes differ from the range with the number beside them."""
+        left = end - start
+        odd = left != left[other]
+        fours = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+        which = np.flatnonzero(other != np.arange(len(other)))
+        at, to, left = start[which], start[other[which]], left[which]
+        while len(which):
+            odd[which] |= (fours[np.minimum(at, len(data))] ^ fours[np.minimum(to, len(data))]) & KEPT[np.minimum(left, 8)] != 0
+            more = np.flatnonzero(left > 8)
+            which, at, to, left = which[more], at[more] + 8, to[more] + 8, left[more] - 8
+        return odd
+
     @staticmethod
     def _words(codes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Runs of letters, single digits, runs of others; 's 't 're 've 'm 'll 'd are words of their own."""

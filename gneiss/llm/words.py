@@ -9,6 +9,7 @@ texts cost a few vector operations. Words are runs of bytes other than
 from __future__ import annotations
 
 from collections.abc import Iterable
+from hashlib import blake2b
 
 import numpy as np
 
@@ -33,57 +34,95 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Sums of words are taken modulo this prime, 2**61 - 1.
+PRIME = np.uint64((1 << 61) - 1)
+_LOW, _LOW29 = np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
+#: Longer words are hashed by a digest.
+LONGEST = 64
+#: Masks of the first bytes of eight.
+KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) or more, modulo 2**64; kept for the next batch."""
-    held = _powers.get(int(base))
+def fold(x: np.ndarray) -> np.ndarray:
+    """A number below 2**64 modulo the prime."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, by halves of 32 bits."""
+    up, low, over, under = a >> np.uint64(32), a & _LOW, b >> np.uint64(32), b & _LOW
+    cross, small = up * under + low * over, low * under
+    return fold((up * over << np.uint64(3)) + (cross >> np.uint64(29)) + ((cross & _LOW29) << np.uint64(32)) + (small & PRIME) + (small >> np.uint64(61)))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) or more, modulo the prime; kept for the next batch."""
+    held = _powers.get(base)
     if held is None or len(held) < n:
-        held = np.full(max(n, 1 << 16), base)
-        held[0] = 1
-        held = _powers[int(base)] = np.cumprod(held, dtype=np.uint64)
+        held = np.array([1], np.uint64)
+        while len(held) < max(n, 1 << 14):
+            held = np.concatenate([held, times(held, np.uint64(pow(base, len(held), int(PRIME))))])
+        _powers[base] = held
     return held
 
 
-def inverse(base: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(base), -1, 1 << 64))
+def hashed(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes, mixed eight bytes at a time; long ranges by a digest."""
+    left = end - start
+    out = mix(left.astype(np.uint64) + BASE)
+    eights = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # the eight bytes from each place on
+    at, which = start, None
+    for i in range(LONGEST // 8):
+        if i:
+            more = np.flatnonzero(left > 8)
+            if not len(more):
+                return out
+            which = more if which is None else which[more]
+            at, left = at[more] + 8, left[more] - 8
+        part = mix((eights[at] & KEPT[np.minimum(left, 8)]) + np.uint64(i * int(OTHER) & (1 << 64) - 1))
+        if which is None:
+            out = mix(out ^ part)
+        else:
+            out[which] = mix(out[which] * BASE ^ part)
+    for j in np.flatnonzero(end - start > LONGEST).tolist():
+        out[j] = int.from_bytes(blake2b(data[start[j] : end[j]], digest_size=8).digest(), "little")
+    return out
 
 
 def batch(texts: Iterable[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of all texts on end, and bounds (one more than texts).
 
-    No object is made for a word: words are ranges of the joined bytes, and
-    their hashes differences of one running sum.
+    No object is made for a word but for very long ones: words are ranges of the joined bytes.
     """
     parts = [encode(t, lower) for t in texts]
-    data = np.frombuffer(b"\n".join([*parts, b""]) or b"\n", np.uint8)
-    inside = np.concatenate([[False], ~_SPACE[data]])
+    data = b"\n".join([*parts, b""]) or b"\n"
+    inside = np.concatenate([[False], ~_SPACE[np.frombuffer(data, np.uint8)]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[0::2], edges[1::2]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BYTES, len(data) + 1)[: len(data)], dtype=np.uint64, out=sums[1:])
-    back = powers(inverse(_BYTES), len(data) + 1)
-    words = mix((sums[end] - sums[start]) * back[start] + mix((end - start).astype(np.uint64)))
     at = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=at[1:])
-    return words, np.searchsorted(start, at).astype(np.int64)
+    return hashed(data, start, end), np.searchsorted(start, at).astype(np.int64)
 
 
 class Ranges:
-    """Hashes of any range of a word array in constant time each."""
+    """Hashes of any range of a word array in constant time each: a polynomial modulo the prime."""
 
     def __init__(self, words: np.ndarray, base: np.uint64 = BASE):
         n = len(words)
-        self._back = powers(inverse(base), n + 1)
+        root = int(base) % int(PRIME)
+        self._back = powers(pow(root, -1, int(PRIME)), n + 1)
+        terms = times(fold(words), powers(root, n + 1)[:n])
+        # Sums of 29 upper and 32 lower bits stay below 2**64 for 2**32 words.
+        up, low = (np.cumsum(part, dtype=np.uint64) for part in (terms >> np.uint64(32), terms & _LOW))
         self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * powers(base, n + 1)[:n], dtype=np.uint64, out=self._sums[1:])
+        self._sums[1:] = fold(fold(up >> np.uint64(29)) + ((up & _LOW29) << np.uint64(32)) + fold(low))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self._sums[end] - self._sums[start]) * self._back[start]
+        raw = times(fold(self._sums[end] + (PRIME - self._sums[start])), self._back[start])
         return mix(raw + mix((end - start).astype(np.uint64)))
 
 
