@@ -231,7 +231,11 @@ def cotrain(views: list[np.ndarray], y: np.ndarray, teach: Callable[[Model], Les
 
 
 def sample(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[list[np.ndarray], np.ndarray, frozenset[int]]:
-    """Both views, labels and ids of the labelled sample, in the order of a hash of doc_id."""
+    """Both views, labels and ids of the labelled sample, in the order of a hash of doc_id.
+
+    Of the rows that share a labelled doc_id the one with the least hash of its
+    text is taken, so that the sample is the same under any partitioning.
+    """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     ids = docs.where("doc_id is not null").select("doc_id")
@@ -246,8 +250,10 @@ def sample(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[list[np.n
         at = [np.flatnonzero(r) for r in x]
         return {"doc_id": piece["doc_id"], "y": piece["y"], "at": at, "x": [r[i] for r, i in zip(x, at, strict=True)], "page": list(page(piece["text"], piece["lang"], piece["source"]))}
 
-    rows = map_rows(docs.select("text", "doc_id", "lang", "source").join(F.broadcast(few), "doc_id").select("text", "doc_id", "lang", "source", "y"), work, "doc_id long, y int, at array<int>, x array<float>, page array<float>")
-    got = rows.limit(len(wanted)).toArrow().combine_chunks()
+    of = docs.select("doc_id", F.struct(F.xxhash64("text").alias("h"), "text", "lang", "source").alias("d")).join(F.broadcast(few), "doc_id")
+    one = of.groupBy("doc_id", "y").agg(F.min("d").alias("d")).select("d.text", "doc_id", "d.lang", "d.source", "y")
+    rows = map_rows(one, work, "doc_id long, y int, at array<int>, x array<float>, page array<float>")
+    got = rows.toArrow().combine_chunks()  # a row for each labelled document of the sample
     if not got.num_rows:
         return [np.zeros((0, 1)), np.zeros((0, 1))], np.zeros(0), frozenset()
     at, values, shape = (got.column(c).chunk(0) for c in ("at", "x", "page"))

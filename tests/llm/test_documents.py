@@ -305,6 +305,17 @@ def test_rounds_read_every_document_that_is_not_in_the_sample(spark, prose):
         assert [r.p_content, r.p_page, r.p_quality] == pytest.approx(scored[r.doc_id], abs=1e-3) and r.kept == (r.p_quality >= 0.5)
 
 
+def test_the_sample_is_the_same_under_any_partitioning(spark, prose):
+    rows = [(i % 50, prose(i, 30), "en", f"s{i}") for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    taken = []
+    for parts in (1, 3, 11):
+        views, y, own = cotraining.sample(frame(spark, rows).repartition(parts), labels, cotraining.Training())
+        assert len(y) == 50 and len(own) == 50
+        taken.append([v.tobytes() for v in views] + [y.tobytes()])
+    assert taken[0] == taken[1] == taken[2]
+
+
 def test_names_are_read_whole():
     long = "n" * 60
     a, b = cotraining.page(["x", "x"], ["en", "en"], [f"{long}1", f"{long}2"])
