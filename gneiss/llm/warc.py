@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import arrow_schema, map_batches, shared_folder, table, written
+from .jobs import arrow_schema, counted, cut, map_batches, shared_folder, table, written
 
 #: Records in an archive file at most (three make a capture), and its bytes before it is packed, about.
 RECORDS_PER_FILE = 6_000
@@ -60,7 +60,8 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0, part_bytes: int = FILE_B
     and only these are shuffled for this; minima are combined before the shuffle
     and join back in a join whose large partitions Spark can split, so one
     payload may hold any share of the rows. Payloads are shuffled once, by
-    ``id`` into partitions of about ``part_bytes``.
+    ``id`` into partitions of about ``part_bytes``; an id whose rows are more than
+    one partition holds is dealt over as many as it needs.
     """
     rows = pages.withColumns({"sha1": F.sha1("b"), "size": F.octet_length("b").cast("long")})
     named = F.coalesce(F.concat(F.lit("="), F.col("k").cast("string")), F.lit(""))
@@ -72,7 +73,13 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0, part_bytes: int = FILE_B
     first = narrow.groupBy("sha1").agg(F.min(keyed).alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and least is not null").select("sha1", "least")
     again = narrow.where(F.col("size") >= min_bytes).join(first, "sha1").where(~F.col("k").eqNullSafe(F.col("least.k")))
     again = again.groupBy("id").agg(F.first("least.id").alias("first"))
-    return rows.repartition(parts, "id").join(again.repartition(parts, "id"), "id", "left")
+    # No more ids need several partitions than there are partitions.
+    wide = narrow.groupBy("id").agg(F.ceil(F.sum(F.col("size") + HEAD_BYTES) / part_bytes).alias("deals")).where("deals > 1")
+    wide = counted(cut(wide))
+    deals = F.coalesce("deals", F.lit(1))
+    dealt = rows.join(wide, "id", "left").withColumn("deal", F.pmod(F.monotonically_increasing_id(), deals)).drop("deals")
+    again = again.join(wide, "id", "left").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1))).drop("deals")
+    return dealt.repartition(parts, "id", "deal").join(again.repartition(parts, "id", "deal"), ["id", "deal"], "left").drop("deal")
 
 
 def record_id(kind: str, capture: Column) -> Column:

@@ -98,6 +98,15 @@ def test_files_are_cut_by_bytes(spark, tmp_path):
 
 
 # Running numbers ---------------------------------------------------------------------
+def test_rows_that_share_a_name_are_dealt_over_partitions(spark):
+    rows = [(None, "u", "x" * 2_000)] * 400 + [(i, f"u{i}", f"y{i}" * 300) for i in range(100)] + [(7, "u", "x" * 2_000)]
+    df = spark.createDataFrame(rows, "k long, u string, b string").repartition(3)
+    got = warc.mark_revisits(df, part_bytes=100_000)
+    sizes = [n for n in got.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n]
+    assert sum(sizes) == len(rows) and max(sizes) < 160
+    assert got.where("first is not null").count() == 400 and got.where("k is not null and first is not null").count() == 0
+
+
 def test_running_places_have_no_gaps(spark, monkeypatch):
     monkeypatch.setattr("gneiss.llm.ranks.SLICE_ROWS", 50)
     df = spark.range(2_000).select("id", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, "cold").alias("g"), (F.col("id") % 5).alias("w"))
