@@ -23,7 +23,7 @@ many fingerprints an anchor has.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from itertools import combinations, repeat
 
 import numpy as np
@@ -79,24 +79,24 @@ def repetition(length: int) -> Perfect:
     return Perfect(length, (1 << length) - 1, length // 2)
 
 
+#: 2**33 anchors, some 139 of them around a fingerprint at a margin of 2; and 2**26, some 71 around it.
+FINE = (GOLAY, GOLAY, HAMMING, HAMMING, repetition(3))
+COARSE = (GOLAY, GOLAY, repetition(9), repetition(9))
+
+
 @dataclass(frozen=True)
 class Nearness:
     """Words in a shingle, most differing bits of a link, and the codes over the bits; bits that no code takes are not looked at by anchors."""
 
     shingle: int = 4
     bits: int = 4
-    codes: tuple[Perfect, ...] = (GOLAY, GOLAY, repetition(9), repetition(9))
+    codes: tuple[Perfect, ...] = FINE
 
     @property
     def margin(self) -> int:
         return -(-self.bits // 2)
 
 
-#: 2**33 anchors instead of 2**26, with twice the rows: for more distinct fingerprints than ``MANY``.
-FINE = (GOLAY, GOLAY, HAMMING, HAMMING, repetition(3))
-MANY = 1 << 28
-
-
 def fingerprint(text: str | None, shingle: int, seed: int = SEED) -> int:
     """Bits set in over half the hashes of the shingles, repeats included; zero without words."""
     words = encode(text, lower=True).split()
@@ -173,10 +173,11 @@ def replicas(nodes: DataFrame, how: Nearness) -> DataFrame:
 def linked(nodes: DataFrame, how: Nearness) -> DataFrame:
     """id, component: of each fingerprint that is linked with another one, the least fingerprint it can reach."""
     every = written(replicas(nodes, how))
-    # Among equals the pivot is the least fingerprint; an anchor with one fingerprint has no pair.
-    pivots = every.groupBy("anchor").agg(F.max(F.struct("docs", -F.col("bits"), "bits")).alias("p"), F.count(F.lit(1)).alias("rows"))
-    pivots = written(pivots.where("rows > 1").select("anchor", F.col("p.bits").alias("pivot")))
-    lists = written(every.select("anchor", "bits").join(pivots, "anchor"))
+    # An anchor with one fingerprint has no pair; with 2**33 anchors few have several by chance.
+    shared = written(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("anchor"))
+    members = written(every.join(shared, "anchor"))
+    pivots = members.groupBy("anchor").agg(F.max(F.struct("docs", -F.col("bits"), "bits")).alias("p")).select("anchor", F.col("p.bits").alias("pivot"))
+    lists = written(members.select("anchor", "bits").join(pivots, "anchor"))
     near = F.bit_count(F.col("bits").bitwiseXOR(F.col("pivot"))) <= how.bits
     stars = cut(lists.where(near & (F.col("bits") != F.col("pivot"))).select(F.col("bits").alias("a"), F.col("pivot").alias("b")).distinct())
     found = components(stars)
@@ -208,7 +209,7 @@ def near(docs: DataFrame, how: Nearness = Nearness()) -> DataFrame:
     """
     rows = written(fingerprints(docs, how))
     nodes = written(rows.where("doc_id is not null").groupBy("bits").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("docs")))
-    found = linked(nodes, replace(how, codes=FINE) if how.codes == Nearness.codes and nodes.count() > MANY else how)
+    found = linked(nodes, how)
     led = nodes.join(found, nodes["bits"] == found["id"], "left").select("bits", "first", F.coalesce("component", "bits").alias("component"))
     least = led.groupBy("component").agg(F.min("first").alias("component_id"))
     final = written(led.join(least, "component").select("bits", "component_id"))

@@ -13,7 +13,7 @@ import xxhash
 
 from gneiss.llm import collocations, simhash, whitening
 from gneiss.llm.collocations import Mining
-from gneiss.llm.simhash import FINE, GOLAY, HAMMING, Anchors, Nearness, repetition
+from gneiss.llm.simhash import COARSE, GOLAY, HAMMING, Anchors, Nearness, repetition
 
 from .conftest import frame
 
@@ -116,7 +116,7 @@ def test_codes_are_perfect(code):
     assert not code.remainder(code.remainder(np.arange(1 << min(12, code.length), dtype=np.uint64)) ^ np.arange(1 << min(12, code.length), dtype=np.uint64)).any()
 
 
-@pytest.mark.parametrize("how", [Nearness(), Nearness(codes=FINE), Nearness(bits=3), Nearness(bits=1, codes=(GOLAY, HAMMING)), Nearness(codes=(repetition(21), repetition(21), repetition(21)))])
+@pytest.mark.parametrize("how", [Nearness(), Nearness(codes=COARSE), Nearness(bits=3), Nearness(bits=1, codes=(GOLAY, HAMMING)), Nearness(codes=(repetition(21), repetition(21), repetition(21)))])
 def test_near_strings_share_an_anchor(how):
     r = np.random.default_rng(how.bits)
     x = r.integers(0, 1 << 64, 300, dtype=np.uint64)
@@ -149,7 +149,7 @@ def test_near_equals_all_pairs(spark, corpus, prose):
     assert len(set(want.values())) < len(want) - 40
 
 
-@pytest.mark.parametrize("how", [Nearness(), Nearness(codes=FINE), Nearness(bits=7)])
+@pytest.mark.parametrize("how", [Nearness(), Nearness(codes=COARSE), Nearness(bits=7)])
 def test_linked_in_chains_and_clouds(spark, how):
     """Paths of small steps, and a cloud round one fingerprint in which most pairs are too far apart."""
     r = random.Random(how.bits)
