@@ -13,29 +13,27 @@ The tables of all levels then give the counts of both parts of each cut.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .jobs import arrow_schema, map_batches, pieces, table, written
-from .words import encode
+from .jobs import arrow_schema, map_batches, table, written
+from .words import hashed
 
 #: Bytes of the filter of frequent phrases that one row holds.
 CHUNK = 1 << 16
 #: Slices of a language in which first places are sought before all of it is ranked.
 SLICES = 64
-#: Characters counted at once: the more, the more counts are combined.
-CHARS = 4_000_000
-#: Ends of pieces become a full stop with spaces around it, a tab becomes a space.
-_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
-_PIECES = bytes.maketrans(_ENDS + b"\x09", b"." * len(_ENDS) + b" ")
+#: Bytes of text counted at once: the more, the more counts are combined.
+BYTES = 6_000_000
+#: A-Z in lower case, ends of pieces as full stops, tabs as spaces.
+_FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz.......... ")
 
 
 @dataclass(frozen=True)
@@ -52,44 +50,70 @@ class Mining:
     filter_bits: int = 26
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text, with ``b"."`` between pieces (no word is that)."""
-    return encode(text, lower=True).translate(_PIECES).replace(b".", b" . ").split()
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word of the texts on end, 0 between pieces and texts; and the words by number."""
+    data = b".".join([b"", *texts, b""]).translate(_FOLDED).replace(b".", b" . ")
+    inside = np.frombuffer(data, np.uint8) != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    at = np.zeros(len(edges) // 2 + 1, np.int32)
+    np.cumsum(edges[1::2] - edges[0::2], out=at[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data.translate(None, b" "))]).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), words.dictionary
 
 
-def places(phrases: Iterable[bytes], lang: str, size: int) -> np.ndarray:
+def places(phrases: pa.Array, lang: str, size: int) -> np.ndarray:
     """Places of a language's phrases in a filter of ``size`` bytes."""
-    seed = xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
-    return (np.array(list(map(xxh3_64_intdigest, phrases, repeat(seed))), np.uint64) & np.uint64(8 * size - 1)).astype(np.int64)
+    at = np.frombuffer(phrases.buffers()[1], np.int32)[phrases.offset : phrases.offset + len(phrases) + 1].astype(np.int64)
+    data = phrases.buffers()[2]
+    seed = np.uint64(xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+    return ((hashed(data.to_pybytes() if data else b"", at[:-1], at[1:]) ^ seed) & np.uint64(8 * size - 1)).astype(np.int64)
 
 
-def passing(phrases: list[bytes], lang: str, held: np.ndarray) -> np.ndarray:
+def passing(phrases: pa.Array, lang: str, held: np.ndarray) -> np.ndarray:
     at = places(phrases, lang, len(held))
     return (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def counts(texts: list[str | None], lang: str, k: int, filters: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, int]:
-    """Phrases of k words in texts of one language that filters of levels 1 to k-1 let pass, their counts, and all words."""
-    numbers: dict[bytes, int] = defaultdict(count().__next__)
-    numbers[b"."]  # between pieces and texts: number 0
-    words = np.array([i for t in texts for i in (*map(numbers.__getitem__, tokens(t)), 0)], np.int64)
+def counts(texts: list[bytes], lang: str, k: int, filters: list[np.ndarray]) -> tuple[pa.Array, np.ndarray, int]:
+    """Phrases of k words in texts of one language that filters of levels 1 to k-1 let pass, their counts, and all words.
+
+    Phrases are numbered by pairs of the shorter phrase's number and the last
+    word's, so what is counted are the words themselves.
+    """
+    words, names = numbered(texts)
     total = int(np.count_nonzero(words))
-    names = list(numbers)
     if k == 1:
-        return names[1:], np.bincount(words, minlength=len(names))[1:], total
+        return names.slice(1), np.bincount(words, minlength=len(names))[1:], total
     # From each place on, ``gram`` numbers the phrase of ``level`` words; ``ok`` tells whether it may be frequent.
-    gram, phrases = words, names
-    ok = np.concatenate([[False], passing(names[1:], lang, filters[0])])[words]
+    gram, phrases, which = words, names, words
+    ok = np.concatenate([[False], passing(names.slice(1), lang, filters[0])])[words]
     for level in range(2, k + 1):
         n = max(0, len(words) - level + 1)
         at = np.flatnonzero(ok[:n] & ok[1 : n + 1])
-        pairs, which = np.unique((gram[at] << 32) | words[at + level - 1], return_inverse=True)
-        first, last = (pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()
-        phrases = list(map(b"%b %b".__mod__, zip(map(phrases.__getitem__, first), map(names.__getitem__, last), strict=True)))
+        pairs = pa.array((gram[at] << 32) | words[at + level - 1]).dictionary_encode()
+        which, pairs = pairs.indices.to_numpy(), pairs.dictionary.to_numpy()
+        phrases = pc.binary_join_element_wise(phrases.take(pa.array(pairs >> 32)), names.take(pa.array(pairs & 0xFFFFFFFF)), b" ")
         if level < k:
             gram, ok = np.zeros(n, np.int64), np.zeros(n, bool)
             gram[at], ok[at] = which, passing(phrases, lang, filters[level - 1])[which]
-    return phrases, np.bincount(which, minlength=len(pairs)), total
+    return phrases, np.bincount(which, minlength=len(phrases)), total
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together until they have enough bytes to be counted at once."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def by_lang(table: pa.Table) -> Iterator[tuple[str, pa.Table]]:
+    for lang in pc.unique(table.column("lang")).to_pylist():
+        yield lang, table.filter(pc.equal(table.column("lang"), lang))
 
 
 def counted_level(docs: DataFrame, k: int, filters: list, how: Mining) -> DataFrame:  # noqa: ANN001
@@ -99,16 +123,14 @@ def counted_level(docs: DataFrame, k: int, filters: list, how: Mining) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [f.value for f in filters]
-        for piece in pieces(batches, "text", CHARS):
-            by: dict[str, list] = {}
-            for lang, text in zip(piece["lang"], piece["text"], strict=True):
-                by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                phrases, f, total = counts(texts, lang, k, held)
-                names = [p.decode("utf-8", "replace") for p in phrases]
+        for table in gathered(batches):
+            for lang, rows in by_lang(table):
+                phrases, f, total = counts(rows.column("text").drop_null().cast(pa.binary()).to_pylist(), lang, k, held)
+                names = phrases.cast(pa.string())
                 if k == 1:
-                    names, f = [*names, None], np.append(f, total)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(f, pa.int64())], schema=schema)
+                    names, f = pa.concat_arrays([names, pa.nulls(1, pa.string())]), np.append(f, total)
+                yield from pa.table([pa.array([lang] * len(names), pa.string()), names, pa.array(f, pa.int64())], schema=schema).to_batches(max_chunksize=50_000)
+            pa.default_memory_pool().release_unused()
 
     every = map_batches(docs, run, ddl).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return written(every.where((F.col("f") >= how.least) | F.col("phrase").isNull()))
@@ -129,10 +151,8 @@ def filter_of(level: DataFrame, how: Mining):  # noqa: ANN201
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=schema)
 
     def marked(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        by: dict[str, list[bytes]] = {}
-        for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            by.setdefault(lang, []).append(phrase.encode("utf-8"))
-        at = np.concatenate([places(phrases, lang, size) for lang, phrases in by.items()])
+        rows = by_lang(pa.Table.from_batches([b]))
+        at = np.concatenate([np.zeros(0, np.int64), *(places(part.column("phrase").combine_chunks().cast(pa.binary()), lang, size) for lang, part in rows)])
         for chunk in np.unique(at // (CHUNK * 8)).tolist():
             bits = np.zeros(CHUNK * 8, np.uint8)
             bits[at[at // (CHUNK * 8) == chunk] % (CHUNK * 8)] = 1
@@ -197,8 +217,7 @@ def mine(docs: DataFrame, how: Mining = Mining()) -> DataFrame:
     A null language is ``und``; null and empty texts have no words. Repeated
     rows count as often as they stand there. Ties are settled by count, then by
     the bytes of the phrase. Without candidates the result is empty. Other
-    columns are not looked at. A lone surrogate in a text counts as ``?`` once
-    it is part of a phrase.
+    columns are not looked at.
     """
     tables = levels(docs, how)
     best = scored(tables, how)
