@@ -14,13 +14,14 @@ import os
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 
-from .words import KEPT, hashed
 
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNSURE = 0, 1, 2, 3, 4
 _SURE = 0x530  # Latin, Greek and Cyrillic with their marks; what lies beyond is encoded text by text
+_BLANK = " ".encode("utf-16-le")
 #: Words to remember at most; then a worker starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 500_000
 
 
 def _classes() -> np.ndarray:
@@ -48,12 +49,12 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._slot: dict[str, int] = {}
+        self._slot: dict[bytes, int] = {}
         self._flat, self._used = np.zeros(1 << 16, np.uint32), 0
         self._at, self._len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        ids = np.array(self._t.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+    def _learn(self, words: list[bytes]) -> None:
+        ids = np.array(self._t.encode(_BLANK.join(words).decode("utf-16-le"), add_special_tokens=False).ids, np.uint32)
         last = np.flatnonzero(self._ends[ids])
         if len(last) != len(words):
             raise ValueError("the tokenizer does not end words as expected")
@@ -95,20 +96,14 @@ class Encoder:
                 out[i] = ids
             return out
         start, end = self._words(codes, kinds)
-        # All codes left are below 2**16.
-        spelled = codes.astype("<u2").tobytes()
-        keys, first, which = np.unique(hashed(spelled, 2 * start, 2 * end), return_index=True, return_inverse=True)
-        if (odd := self._unequal(spelled, 2 * start, 2 * end, first[which])).any():  # words of one hash: texts by themselves
-            bad = {int(b) for b in np.searchsorted(at, start[odd], side="right") - 1}
-            for b in bad:
-                out[sure[b]] = self._alone(texts[sure[b]])
-            good = [i for b, i in enumerate(sure) if b not in bad]
-            for i, ids in zip(good, self([texts[i] for i in good]), strict=True):
-                out[i] = ids
-            return out
-        if len(self._slot) + len(keys) > REMEMBERED:
+        # All codes left are below 2**16. Every one that is no space is in a word.
+        spelled = codes[kinds != _SPACE].astype("<u2").tobytes()
+        bounds = np.zeros(len(start) + 1, np.int32)
+        np.cumsum(2 * (end - start), out=bounds[1:])
+        coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(spelled)]).dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self._slot) + len(words) > REMEMBERED:
             self._forget()
-        words = [joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         if new := [w for w in words if w not in self._slot]:
             self._learn(new)
         slot = np.array([self._slot[w] for w in words], np.int64)[which]
@@ -124,20 +119,6 @@ class Encoder:
     def _alone(self, text: str) -> np.ndarray:
         return np.array(self._t.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    @staticmethod
-    def _unequal(data: bytes, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
-        """Which ranges of bytes differ from the range with the number beside them."""
-        left = end - start
-        odd = left != left[other]
-        fours = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
-        which = np.flatnonzero(other != np.arange(len(other)))
-        at, to, left = start[which], start[other[which]], left[which]
-        while len(which):
-            odd[which] |= (fours[np.minimum(at, len(data))] ^ fours[np.minimum(to, len(data))]) & KEPT[np.minimum(left, 8)] != 0
-            more = np.flatnonzero(left > 8)
-            which, at, to, left = which[more], at[more] + 8, to[more] + 8, left[more] - 8
-        return odd
-
     @staticmethod
     def _words(codes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Runs of letters, single digits, runs of others; 's 't 're 've 'm 'll 'd are words of their own."""
