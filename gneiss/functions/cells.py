@@ -67,6 +67,11 @@ def scaled(number: Column, floor: int, ceiling: int, scale: int) -> Column:
     return (whole.cast("decimal(20,0)") / F.lit(unit)).cast(f"decimal(18,{scale})")
 
 
+def between(number: Column, low: int, high: int) -> Column:
+    """A whole number from ``low`` to ``high``, both ends included; distinct for as many numbers on end."""
+    return (F.lit(low).cast("long") + F.pmod(number.cast("long"), F.lit(high - low + 1).cast("long"))).cast("long")
+
+
 def double(number: Column, floor: int = 0, span: int = 1_000) -> Column:
     """Four decimals, from ``floor`` to below ``floor + span``."""
     return (F.lit(floor * 10_000) + F.pmod(number, F.lit(span * 10_000))) / F.lit(10_000.0)
@@ -165,6 +170,13 @@ def bytes_hex(number: Column, count: int) -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(o)), 2, "0") for o in reversed(octets(number, count))])
 
 
+def octet_text(number: Column, count: int) -> Column:
+    """``count`` bytes: the seven lowest bytes of the number, lowest first, then digests of it; distinct as far as the bytes go."""
+    first = bytes_hex(number, min(count, 7))
+    rest = [F.sha2(F.concat(number.cast("string"), F.lit(f"/{i}")), 512) for i in range(-(-max(0, count - 7) // 64))]
+    return F.unhex(F.substring(F.concat(first, *rest), 1, 2 * count))
+
+
 def chosen(number: Column, values: list[str]) -> Column:
     """One of the values, in turn with the number; null where there is none."""
     if not values:

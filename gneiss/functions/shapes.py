@@ -15,7 +15,7 @@ _COLUMN = r'"?([A-Za-z_][A-Za-z0-9_]*)"?'
 _CAST = r"(?:::[a-z ]+(?:\([0-9, ]+\))?)?"
 _NAMED = rf"\(?\(?{_COLUMN}\)?{_CAST}\)?"
 _NUMBER = r"\(?'?(-?[0-9]+)'?\)?" + _CAST
-_LITERAL = rf"(?:'(?:[^']|'')*'{_CAST}|-?[0-9]+|true|false)"
+_LITERAL = rf"(?:'(?:[^']|'')*'{_CAST}|-?[0-9]+(?:\.[0-9]+)?|true|false)"
 
 
 def _nested(depth: int) -> str:
@@ -115,7 +115,7 @@ def obligation(part: Column) -> Column:
     nulls = F.regexp_extract_all(body, F.lit(rf"(?i){_COLUMN}\)? IS (?:NOT )?NULL"), F.lit(1))
     names = F.when(body.rlike("(?i)^num_nonnulls"), F.transform(listed, lambda n: F.translate(n, '"', ""))).otherwise(nulls)
     right = F.regexp_replace(F.regexp_extract(body, r"(?is)(?:=| IN )(.*)$", 1), r"::[a-z ]+(?:\([0-9, ]+\))?(?:\[\])?", "")
-    literals = F.regexp_extract_all(right, F.lit(r"(?i)'((?:[^']|'')*)'|(-?[0-9]+|\btrue\b|\bfalse\b)"), F.lit(0))
+    literals = F.regexp_extract_all(right, F.lit(r"(?i)'((?:[^']|'')*)'|(-?[0-9]+(?:\.[0-9]+)?|\btrue\b|\bfalse\b)"), F.lit(0))
     literals = F.transform(literals, lambda v: F.when(v.startswith("'"), F.replace(F.substring(v, F.lit(2), F.char_length(v) - 2), F.lit("''"), F.lit("'"))).otherwise(v))
     return F.struct(
         *[found[n].alias(n) for n in ("meaning", "column_name", "bound")],
@@ -131,11 +131,11 @@ def index(text: Column) -> Column:
     A unique partial index is read as a full one, which is the stricter rule.
     Included columns and ordering do not matter to uniqueness.
     """
-    keys = F.regexp_extract(text, r"(?is)\bUSING\s+\w+\s*\(((?:[^()]|\([^()]*\))*)\)", 1)
+    keys = F.regexp_extract(text, rf"(?is)\bUSING\s+\w+\s*\(({_nested(4)})\)", 1)
     unique = text.rlike(r"(?i)^CREATE UNIQUE INDEX")
-    parts = F.transform(F.split(keys, r",\s*(?![^()]*\))"), lambda p: F.regexp_replace(F.trim(p), r"(?i)\s+(ASC|DESC|NULLS (FIRST|LAST)|\w+_ops)\b", ""))
+    parts = F.transform(F.regexp_extract_all(keys, F.lit(rf"((?:[^(),]|\({_nested(3)}\))+)"), F.lit(1)), lambda p: F.regexp_replace(F.trim(p), r"(?i)\s+(ASC|DESC|NULLS (FIRST|LAST)|\w+_ops)\b", ""))
     plain = rf"^\(?{_COLUMN}\)?(?:::(?:text|varchar|character varying|citext))?$"
-    lowered = rf"(?i)^lower\(\(?{_COLUMN}\)?(?:::text)?\)$"
+    lowered = rf"(?i)^lower\(\(*{_COLUMN}\)*(?:::(?:text|varchar|character varying))?\)*$"
     total = r"(?i)^(?:lower|upper|length|coalesce|md5|btrim|abs|char_length)\([^()]*\)$"
     reading = (
         F.when(F.forall(parts, lambda p: p.rlike(plain)) & (F.size(parts) > 0) & (keys != ""), F.when(unique, "columns").otherwise("harmless"))

@@ -54,3 +54,57 @@ def rooted(df: DataFrame, key: str, reference: str) -> DataFrame:
     """A hierarchy with one root: the least key refers to none, all others to it."""
     least = df.agg(F.min(key).alias("_least"))
     return df.crossJoin(F.broadcast(least)).withColumn(reference, F.when(F.col(key) != F.col("_least"), F.col("_least"))).drop("_least")  # one row
+
+
+def within(df: DataFrame, shared: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``_local``, their number from 0 within each value of ``shared``; and (shared, ``_rows``), how many each value has.
+
+    Rows are numbered over all of the table in the order of shared and own
+    columns; a table of offsets, one row a value, takes that to numbers within
+    the value. So no value, however many rows it has, is numbered in one task.
+    """
+    known = df.where(" and ".join(f"`{c}` is not null" for c in shared))
+    rows = cut(numbered(known, [*shared, *order], "_number"))
+    sizes = cut(rows.groupBy(*shared).agg(F.min("_number").alias("_from"), F.count(F.lit(1)).alias("_rows")))
+    return rows.join(sizes, shared).withColumn("_local", F.col("_number") - F.col("_from")).drop("_number", "_from", "_rows"), sizes.drop("_from")
+
+
+def drawn_shared(child: DataFrame, first: DataFrame, second: DataFrame, shared: list[str], keys: tuple[list[str], list[str]], row: str = "row") -> DataFrame:
+    """The child with a row of each of two parents that agree on the ``shared`` columns.
+
+    Two references that have columns in common can't be drawn each for itself:
+    the pair need not exist. Here a child row takes in turn a value of the shared
+    columns that both parents have, and within it the pairs of parent rows in
+    turn (an odometer), so each child row's references both hold. ``keys`` are
+    the parents' own key columns. Parent rows with a null in a shared column are
+    not drawn; without a common value all references of the child are null. Joins
+    are equi-joins on value and number, which Spark can split.
+    """
+    (a, a_sizes), (b, b_sizes) = within(first, shared, keys[0]), within(second, shared, keys[1])
+    common = cut(numbered(a_sizes.withColumnRenamed("_rows", "_a").join(b_sizes.withColumnRenamed("_rows", "_b"), shared), shared, "_group"))
+    groups = common.count()
+    if not groups:
+        empty = [F.lit(None).cast(df.schema[c].dataType).alias(c) for df, cs in ((first, [*shared, *keys[0]]), (second, keys[1])) for c in cs]
+        return child.select("*", *empty)
+    turn = F.floor(F.col(row) / groups).cast("long")
+    taken = child.withColumn("_group", F.pmod(F.col(row), F.lit(groups))).join(common, "_group")
+    taken = taken.withColumn("_first", F.pmod(turn, F.col("_a"))).withColumn("_second", F.pmod(F.floor(turn / F.col("_a")).cast("long"), F.col("_b")))
+    taken = taken.join(a.select(*shared, F.col("_local").alias("_first"), *keys[0]), [*shared, "_first"])
+    taken = taken.join(b.select(*shared, F.col("_local").alias("_second"), *keys[1]), [*shared, "_second"])
+    return taken.select(*child.columns, *shared, *keys[0], *keys[1])
+
+
+def least_two(df: DataFrame, key: str) -> DataFrame:
+    """One row: the least and the second least key (null where there is none), of the two that each task finds."""
+    return df.select(F.col(key).alias("_k")).where("_k is not null").distinct().orderBy("_k").limit(2).agg(F.min("_k").alias("_least"), F.when(F.count("_k") > 1, F.max("_k")).alias("_next"))
+
+
+def repaired(child: DataFrame, own: str, reference: str, parent: DataFrame, key: str) -> DataFrame:
+    """A reference inside a cycle: every row but the one with the least own key refers to the least parent key other than its own.
+
+    So no chain closes: the row without a reference is its end. A row whose own
+    key is the only key of the parent has none either.
+    """
+    ends = child.agg(F.min(own).alias("_root")).crossJoin(least_two(parent, key))  # one row
+    other = F.when(F.col("_least") != F.col(own), F.col("_least")).otherwise(F.col("_next"))
+    return child.drop(reference).crossJoin(F.broadcast(ends)).withColumn(reference, F.when(F.col(own) != F.col("_root"), other)).drop("_root", "_least", "_next")

@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spelling
 from ..sources.catalog import Catalog, Reference, Table
 
 REPORT = "table_name string, constraint_name string, kind string, violations long"
@@ -31,9 +32,13 @@ def _rows(df: DataFrame, table: str, kind: str, counts: dict[str, Column]) -> Da
 
 
 def failed(predicate: str | Column) -> Column:
-    """True where a check is neither true nor null."""
-    p = F.expr(predicate) if isinstance(predicate, str) else predicate
-    return ~F.coalesce(p, F.lit(True))
+    """True where a check is neither true nor null. Texts are in a catalog's spelling, or in Spark's where that is not known."""
+    if isinstance(predicate, str):
+        try:
+            predicate = spelling.evaluated(predicate)
+        except spelling.Unread:
+            predicate = F.expr(predicate)
+    return ~F.coalesce(predicate, F.lit(True))
 
 
 def scanned(df: DataFrame, table: Table) -> DataFrame:

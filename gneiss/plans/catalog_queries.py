@@ -90,7 +90,7 @@ CHECKS = [
 ]
 INDEXES = [
     ("CREATE UNIQUE INDEX i ON t USING btree (a)", "columns", "a"), ("CREATE UNIQUE INDEX i ON t USING btree (a, b DESC)", "columns", "a,b"), ("CREATE UNIQUE INDEX i ON t USING btree (a) WHERE (b IS NULL)", "columns", "a"), ("CREATE UNIQUE INDEX i ON t USING btree (a) INCLUDE (b)", "columns", "a"),
-    ("CREATE UNIQUE INDEX i ON t USING btree (lower(a))", "lowered", "a"), ("CREATE UNIQUE INDEX i ON t USING btree (lower((a)::text))", "unknown", None), ("CREATE INDEX i ON t USING gin (a jsonb_path_ops)", "harmless", None), ("CREATE INDEX i ON t USING btree (upper(a))", "harmless", None),
+    ("CREATE UNIQUE INDEX i ON t USING btree (lower(a))", "lowered", "a"), ("CREATE UNIQUE INDEX i ON t USING btree (lower((a)::text))", "lowered", "a"), ("CREATE INDEX i ON t USING gin (a jsonb_path_ops)", "harmless", None), ("CREATE INDEX i ON t USING btree (upper(a))", "harmless", None),
     ("CREATE UNIQUE INDEX i ON t USING btree (upper(a))", "unknown", None), ("CREATE INDEX i ON t USING btree (my_function(a))", "unknown", None), ("CREATE UNIQUE INDEX i ON t USING btree (date_trunc('day', a))", "unknown", None),
 ]
 TRIGGERS = [
@@ -207,13 +207,13 @@ def vol_plan(spark: SparkSession, d: str) -> DataFrame:
 def vol_capacity(spark: SparkSession, d: str) -> DataFrame:
     """How many rows each key allows; -1: any number."""
     rows = synthesis.sizes(TIGHT, {"users": 20})
-    out = [(n, ",".join(k), -1 if (c := synthesis.key_capacity(t, k, rows, synthesis.bounds_of(t))) is None else c) for n, t in sorted(TIGHT.items()) if n in rows for k in t.keys]
+    out = [(n, ",".join(k), -1 if (c := synthesis.key_capacity(t, k, rows, synthesis.obliged(t))) is None else c) for n, t in sorted(TIGHT.items()) if n in rows for k in t.keys]
     return spark.createDataFrame(out, "table_name string, key_columns string, capacity long")
 
 
 def vol_strides(spark: SparkSession, d: str) -> DataFrame:
     rows = synthesis.sizes(TIGHT, {"users": 20})
-    out = [(n, c, s) for n in ("grants", "narrow") for c, s in sorted(synthesis.key_strides(TIGHT[n], rows, synthesis.bounds_of(TIGHT[n])).items())]
+    out = [(n, c, s) for n in ("grants", "narrow") for c, s in sorted(synthesis.key_strides(TIGHT[n], rows, synthesis.obliged(TIGHT[n])).items())]
     return spark.createDataFrame(out, "table_name string, column_name string, stride long")
 
 
@@ -232,7 +232,7 @@ QUERIES |= {"vol_plan": vol_plan, "vol_capacity": vol_capacity, "vol_strides": v
 _ROWS = [("codes", 36), ("flags", 2), ("grants", 40), ("levels", 12), ("moods", 3), ("narrow", 6), ("roles", 2), ("users", 20)]
 SQL |= {
     "vol_plan": _values(_ROWS, "table_name VARCHAR, rows BIGINT"),
-    "vol_capacity": _values([("codes", "code", 36), ("flags", "on", 2), ("grants", "user_id,role", 40), ("levels", "level", 12), ("moods", "mood", 3), ("narrow", "on,mood", 6), ("roles", "role", 2), ("users", "id", -1), ("users", "email", -1)], "table_name VARCHAR, key_columns VARCHAR, capacity BIGINT"),
+    "vol_capacity": _values([("codes", "code", 36), ("flags", "on", 2), ("grants", "user_id,role", 40), ("levels", "level", 12), ("moods", "mood", 3), ("narrow", "on,mood", 6), ("roles", "role", 2), ("users", "id", 2_000_000_000), ("users", "email", -1)], "table_name VARCHAR, key_columns VARCHAR, capacity BIGINT"),
     "vol_strides": _values([("grants", "role", 20), ("grants", "user_id", 1), ("narrow", "mood", 2), ("narrow", "on", 1)], "table_name VARCHAR, column_name VARCHAR, stride BIGINT"),
     "vol_generated": _values([(n, r, r) for n, r in _ROWS], "table_name VARCHAR, rows BIGINT, distinct_keys BIGINT"),
 }

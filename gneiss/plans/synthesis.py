@@ -8,14 +8,17 @@ expressions; what cannot be satisfied is refused by name.
 
 from __future__ import annotations
 
+import datetime
+import math
 import re
 from collections.abc import Callable, Collection, Iterable, Mapping
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cells, nouns, shapes
+from ..functions import cells, nouns, shapes, types
 from ..functions.cells import Bounds
 from ..operators import graph
 from ..operators.foreign_keys import parent_row
@@ -91,102 +94,293 @@ def bound(catalog: Catalog) -> Catalog:
     return out
 
 
-def obliged(table: Table) -> dict[str, Bounds]:
-    """The obligations of each column from its type and all checks; raises :class:`Refused` where one is not read or they conflict."""
+#: Which readings of a check suit which types.
+_SUITS = {
+    **dict.fromkeys(("lower_bound", "upper_bound"), (*types.LIMITS, "numeric", "real", "double")),
+    **dict.fromkeys(("length_limit", "min_length", "non_empty", "lowercase"), types.TEXTS),
+    **dict.fromkeys(("byte_length", "byte_limit"), (*types.TEXTS, "bytea")),
+    "json_type": ("json", "jsonb"),
+    "value_set": (*types.TEXTS, *types.LIMITS, "numeric", "real", "double", "boolean", "date", "timestamp", "timestamptz", "enum", "uuid"),
+}
+
+
+def obliged(table: Table, lost: Collection[str] = ()) -> dict[str, Bounds]:
+    """The obligations of each column from its type and all checks; raises :class:`Refused` where one is not read or they conflict.
+
+    ``lost`` names the tables that have no row to refer to when this one is
+    made. Of a group of which exactly one column has a value, the first one that
+    is sure to get it carries it.
+    """
     if table.opaque:
         raise Refused(table.opaque[0])
+    kinds = {f.name: table.kind(f.name) for f in table.fields}
     out: dict[str, Bounds] = {f.name: Bounds() for f in table.fields}
+    needed = {f.name for f in table.written()}
     for f in table.fields:
-        if m := re.fullmatch(r"(?:var)?char\((\d+)\)", f.type):
-            out[f.name] = out[f.name].tightened(max_length=int(m[1]))
-    readings(text for _, text in table.checks)
-    for name, text in table.checks:
+        if not kinds[f.name].known:
+            if not f.nullable and f.name in needed:
+                raise Refused(f"{f.name} has the type {f.type}, which is not known")
+            out[f.name] = Bounds(must_be_null=True)
+        elif kinds[f.name].element.length is not None:
+            out[f.name] = out[f.name].tightened(max_length=kinds[f.name].element.length)
+    inner = [(f"of the type of {f.name}", re.sub(r"\bVALUE\b", f.name, text), f.name) for f in table.fields for text in kinds[f.name].element.checks + kinds[f.name].checks]
+    texts = [*inner, *((name, text, None) for name, text in table.checks)]
+    readings(text for _, text, _ in texts)
+    unsure = {c for r in table.references for c in r.columns if r.table in lost or r.table == table.name}
+    groups: list[tuple[str, str, list[str]]] = []
+    for name, text, element in texts:
         for r in _CHECKS[text]:
-            column, n = r["column_name"], r["bound"]
+            column, n, meaning = r["column_name"], r["bound"], r["meaning"]
             touched = set(r["names"] or ()) | ({column} if column else set())
-            if r["meaning"] == "unknown" or not touched <= out.keys():
+            if meaning == "unknown" or not touched <= out.keys():
                 raise Refused(f"check {name} is not read")
+            if meaning in _SUITS and (kinds[column].element if element else kinds[column]).name not in _SUITS[meaning] or meaning == "cardinality_limit" and not kinds[column].of:
+                raise Refused(f"check {name} does not suit the type of {column}")
             more = {
                 "value_set": lambda: {"values": tuple(r["literals"])}, "lowercase": lambda: {"lower": True}, "byte_length": lambda: {"exact_bytes": n}, "byte_limit": lambda: {"max_length": n}, "length_limit": lambda: {"max_length": n},
                 "min_length": lambda: {"min_length": n}, "non_empty": lambda: {"min_length": 1}, "lower_bound": lambda: {"floor": n}, "upper_bound": lambda: {"ceiling": n}, "json_type": lambda: {"json_kind": r["kind"]}, "must_be_null": lambda: {"must_be_null": True},
-            }.get(r["meaning"])
+            }.get(meaning)
             if more:
+                clash = meaning in ("byte_length", "json_type") and {"byte_length": out[column].exact_bytes, "json_type": out[column].json_kind}[meaning] not in (None, *more().values())
+                if clash:
+                    raise Refused(f"checks on {column} leave no value")
                 out[column] = out[column].tightened(**more())
-            elif r["meaning"] == "exactly_one":  # the first column has the value, all others are null
-                for other in r["names"][1:]:
+            else:
+                groups.append((meaning, name, list(r["names"] or ()) or [column]))
+    for meaning, name, names in groups:
+        if meaning == "exactly_one":
+            sure = [c for c in names if c not in unsure and not out[c].must_be_null]
+            if not sure:
+                raise Refused(f"check {name} has no column that is sure to have a value")
+            for other in names:
+                if other != sure[0]:
                     out[other] = out[other].tightened(must_be_null=True)
-            # Columns that are not to be null never are: only optional references and the ones above have nulls.
-            elif any(f.name in touched for ref in table.references for f in table.fields if f.name in ref.columns and f.nullable):
-                raise Refused(f"check {name} asks for a reference that may be null")
+    for meaning, name, names in groups:
+        valued = [c for c in names if not out[c].must_be_null and c not in unsure]
+        enough = {"exactly_one": len(valued) == 1, "at_least_one": bool(valued), "cardinality_limit": True}.get(meaning, len(valued) == len(names))
+        if not enough:
+            raise Refused(f"check {name} asks for a value where there may be none")
     for f in table.fields:
-        out[f.name] = fitted(f, out[f.name])
+        out[f.name] = fitted(f, kinds[f.name].element, out[f.name])
     return out
 
 
-def fitted(f: Field, b: Bounds) -> Bounds:
-    """Bounds whose values fit their lengths and limits; raises where nothing is left."""
+def converted(kind: types.Kind, value: str) -> bool:
+    """Is the text a value of the type, with nothing lost?"""
+    try:
+        if kind.name in types.LIMITS:
+            low, high = types.LIMITS[kind.name]
+            return low <= int(value) <= high
+        if kind.name == "numeric":
+            scale, number = kind.scale if kind.scale is not None else 2, Decimal(value)
+            return number == round(number, scale) and abs(number) < Decimal(10) ** ((kind.precision or 18) - scale)
+        if kind.name in ("real", "double"):
+            return math.isfinite(float(value)) and (kind.name == "double" or float(value) == int(float(value)) and abs(float(value)) <= 1 << 24)
+        if kind.name == "boolean":
+            return value.lower() in ("true", "false")
+        if kind.name == "date":
+            return bool(datetime.date.fromisoformat(value))
+        if kind.name in ("timestamp", "timestamptz"):
+            return datetime.datetime.fromisoformat(value).tzinfo is None
+        return kind.name != "enum" or value in kind.labels
+    except (ValueError, ArithmeticError):
+        return False
+
+
+def fitted(f: Field, kind: types.Kind, b: Bounds) -> Bounds:
+    """Bounds whose values fit their type, lengths and limits; raises where nothing is left."""
+    if b.must_be_null:
+        if not f.nullable:
+            raise Refused(f"{f.name} must be null and must not")
+        return b
     if b.values is not None:
-        fit = tuple(v for v in b.values if (b.max_length is None or len(v) <= b.max_length) and (b.min_length is None or len(v) >= b.min_length) and (not b.lower or v == v.lower()) and (b.exact_bytes in (None, len(v.encode()))))
-        if f.type in ("smallint", "int", "bigint"):
-            fit = tuple(v for v in fit if (b.floor is None or int(v) >= b.floor) and (b.ceiling is None or int(v) <= b.ceiling))
+        fit = tuple(v for v in dict.fromkeys(b.values) if converted(kind, v))
+        if kind.name in types.TEXTS:
+            fit = tuple(v for v in fit if (b.max_length is None or len(v.encode()) <= b.max_length) and (b.min_length is None or len(v) >= b.min_length) and (not b.lower or v == v.lower()) and (b.exact_bytes in (None, len(v.encode()))))
+        if b.floor is not None or b.ceiling is not None:
+            fit = tuple(v for v in fit if (b.floor is None or Decimal(v) >= b.floor) and (b.ceiling is None or Decimal(v) <= b.ceiling))
         b = replace(b, values=fit)
-    lengths = (b.min_length or 0) > (b.max_length if b.max_length is not None else 1 << 30) or (b.exact_bytes is not None and not (b.min_length or 0) <= b.exact_bytes <= (b.max_length if b.max_length is not None else 1 << 30))
+    most = b.max_length if b.max_length is not None else 4_096
+    lengths = (b.min_length or 0) > most or (b.exact_bytes is not None and not (b.min_length or 0) <= b.exact_bytes <= most)
     if b.values == () or lengths or (b.floor is not None and b.ceiling is not None and b.floor > b.ceiling):
         raise Refused(f"checks on {f.name} leave no value")
-    if b.must_be_null and not f.nullable:
-        raise Refused(f"{f.name} must be null and must not")
+    if b.values is None and kind.name in _NUMBERS and numbers(kind, b) is None:
+        raise Refused(f"checks on {f.name} leave no value of its type")
     return b
 
 
-def bounds_of(table: Table) -> dict[str, Bounds] | None:
-    """:func:`obliged`, or None for a table that is refused."""
-    try:
-        return obliged(table)
-    except Refused:
-        return None
+_NUMBERS = (*types.LIMITS, "numeric", "real", "double")
 
 
-def refusals(catalog: Catalog) -> dict[str, str]:
-    """The tables that cannot be filled, and why."""
-    catalog = bound(catalog)
+def numbers(kind: types.Kind, b: Bounds, unique: bool = False) -> tuple[int, int, int] | None:
+    """(unit, low, high): the values low / unit to high / unit that a column of numbers takes; None if there is none.
+
+    What the type holds exactly limits them; without a floor, values go down from
+    a ceiling that is too low for the usual ones.
+    """
+    asked = [abs(x) for x in (b.floor, b.ceiling) if x is not None]
+    if kind.name in types.LIMITS:
+        unit, (least, most) = 1, types.LIMITS[kind.name]
+        span = cells.INTEGER_CAPS[{"smallint": 2, "int": 4, "bigint": 8}[kind.name]]
+        span = span if unique else min(span, 1_000_000)
+    elif kind.name == "numeric":
+        unit = 10 ** (kind.scale if kind.scale is not None else 2)
+        most = 10 ** min(kind.precision or 18, 18) - 1
+        least, span = -most, 10_000 * unit + 1
+    else:
+        bits = 24 if kind.name == "real" else 53
+        unit = 10_000 if (max(asked, default=0) + 1_000) * 10_000 <= 1 << bits else 1
+        most = 1 << bits
+        least, span = -most, 1_000 * unit
+    low = None if b.floor is None else b.floor * unit
+    high = None if b.ceiling is None else b.ceiling * unit
+    usual = 1 if unique and unit == 1 else 0
+    if low is None:
+        low = usual if high is None or high >= usual else high - span + 1
+    low = max(low, least)
+    high = min(most, low + span - 1 if high is None else min(high, low + (1 << 62)))
+    return (unit, low, high) if low <= high else None
+
+
+def supplied(narrow: Reference, wide: Reference, catalog: Catalog) -> bool:
+    """Does the row that ``wide`` refers to satisfy ``narrow`` as well? Its table must refer on with the very columns."""
+    if wide.table not in catalog or not set(narrow.columns) <= set(wide.columns):
+        return False
+    there = tuple(wide.keys[wide.columns.index(c)] for c in narrow.columns)
+    return any(r.table == narrow.table and r.columns == there and r.keys == narrow.keys for r in catalog[wide.table].references)
+
+
+def leading(table: Table, catalog: Catalog) -> tuple[Reference, ...]:
+    """The references that rows are drawn by; the others are repeated or supplied by these.
+
+    Raises :class:`Refused` where two references share a column and no row of
+    one parent is sure to satisfy both.
+    """
+    kept: list[Reference] = []
+    for r in table.references:
+        if not any(r == k or supplied(r, k, catalog) for k in kept):
+            kept = [k for k in kept if not supplied(k, r, catalog)] + [r]
+    for i, a in enumerate(kept):
+        for b in kept[i + 1 :]:
+            if both := [c for c in a.columns if c in b.columns]:
+                raise Refused(f"its references to {a.table} and {b.table} share {both[0]}")
+    return tuple(kept)
+
+
+def source(catalog: Catalog, table: str, column: str) -> tuple[str, str] | None:
+    """The table and column whose expression a column's values come from; None round a cycle."""
+    seen = set()
+    while (table, column) not in seen:
+        seen.add((table, column))
+        ref = next((r for r in catalog[table].references if column in r.columns and r.table in catalog), None)
+        if ref is None:
+            return table, column
+        table, column = ref.table, ref.keys[ref.columns.index(column)]
+    return None
+
+
+def implied(catalog: Catalog, table: Table, column: str, child: Bounds, parents: Mapping[str, dict[str, Bounds]]) -> bool:
+    """Do the values that a reference's column takes satisfy what is asked of the column itself?"""
+    if child.must_be_null:
+        return True
+    at = source(catalog, table.name, column)
+    plain = child == Bounds()
+    if at is None or at[0] not in parents:
+        return plain
+    kind, own, b = catalog[at[0]].kind(at[1]), table.kind(column), parents[at[0]][at[1]]
+    if own.name in types.LIMITS and kind.name in types.LIMITS or child.floor is not None or child.ceiling is not None:
+        span = (1, 1, types.LIMITS[kind.name][1]) if catalog[at[0]].field_of(at[1]).sequence and kind.name in types.LIMITS else numbers(kind, b, True) if kind.name in _NUMBERS and b.values is None else None
+        if b.values is not None:
+            ends = [Decimal(v) for v in b.values] if kind.name in _NUMBERS else []
+        else:
+            ends = [Decimal(span[1]) / span[0], Decimal(span[2]) / span[0]] if span else []
+        low, high = types.LIMITS.get(own.name, (None, None))
+        low = max((x for x in (low, child.floor) if x is not None), default=None)
+        high = min((x for x in (high, child.ceiling) if x is not None), default=None)
+        if not ends or (low is not None and min(ends) < low) or (high is not None and max(ends) > high and not (child.ceiling is None and kind.name in types.LIMITS and b.ceiling is None)):
+            return False
+    most = b.max_length if b.max_length is not None else b.exact_bytes
+    return (
+        (child.max_length is None or (most is not None and most <= child.max_length) or (b.values is not None and all(len(v) <= child.max_length for v in b.values)))
+        and (child.min_length is None or (b.min_length or b.exact_bytes or 0) >= child.min_length)
+        and child.exact_bytes in (None, b.exact_bytes)
+        and (not child.lower or b.lower)
+        and (child.values is None or (b.values is not None and set(b.values) <= set(child.values)))
+        and child.json_kind in (None, b.json_kind)
+    )
+
+
+def judged(catalog: Catalog) -> tuple[dict[str, str], dict[str, dict[str, Bounds]], dict[str, frozenset[str]]]:
+    """Refused tables with reasons, the obligations of the others, and what each can't refer to when its rows are made."""
     readings(text for t in catalog.values() for _, text in t.checks)
-    out: dict[str, str] = {}
-    for name, t in sorted(catalog.items()):
-        try:
-            obliged(t)
-        except Refused as why:
-            out[name] = str(why)
-    waiting = {n: [r.table for r in t.references if r.table != n and not t.optional(r)] for n, t in sorted(catalog.items())}
-    for name, parents in waiting.items():
-        if name not in out and (unread := [p for p in parents if p not in catalog]):
-            out[name] = f"needs {unread[0]}, which is not in the catalog"
     ordered = order(catalog)
     place = {n: i for i, n in enumerate(ordered)}
-    for name in ordered:
-        t = catalog[name]
-        late = [r for r in t.references if place.get(r.table, -1) > place[name] and not t.optional(r) and any(set(r.columns) & set(k) for k in t.keys)]
-        if late and name not in out:
-            out[name] = f"has a key with its reference to {late[0].table}, which refers back"
-    while lost := {n: bad[0] for n in ordered if n not in out and (bad := [p for p in waiting[n] if p in out])}:
-        out |= {n: f"needs {p}, which is refused" for n, p in lost.items()}
-    return out | {n: "in or above a cycle of required references" for n in sorted(catalog) if n not in ordered and n not in out}
+    waiting = {n: [r.table for r in t.references if r.table != n and not t.optional(r)] for n, t in sorted(catalog.items())}
+    out: dict[str, str] = {}
+    while True:
+        lost = {n: frozenset(r.table for r in t.references if r.table in out or place.get(r.table, len(place)) >= place.get(n, -1)) for n, t in catalog.items()}
+        found: dict[str, dict[str, Bounds]] = {}
+        new: dict[str, str] = {}
+        for name, t in sorted(catalog.items()):
+            if name in out:
+                continue
+            try:
+                found[name] = obliged(t, lost[name])
+                leading(t, catalog)
+            except Refused as why:
+                new[name] = str(why)
+        for name in found:
+            t = catalog[name]
+            bad = [c for r in t.references for c in r.columns if r.table in catalog and r.table not in out and not implied(catalog, t, c, found[name][c], found)]
+            if name not in new and bad:
+                new[name] = f"checks or the type of {bad[0]} may not hold for what it refers to"
+            elif name not in new and (unread := [p for p in waiting[name] if p not in catalog]):
+                new[name] = f"needs {unread[0]}, which is not in the catalog"
+            elif name not in new and name in place:
+                late = [r for r in t.references if place.get(r.table, -1) > place[name] and not t.optional(r) and any(set(r.columns) & set(k) for k in t.keys)]
+                if late:
+                    new[name] = f"has a key with its reference to {late[0].table}, which refers back"
+        if not new:
+            new = {n: f"needs {bad[0]}, which is refused" for n in sorted(catalog) if n not in out and (bad := [p for p in waiting[n] if p in out])}
+        if not new:
+            break
+        out |= new
+    out |= {n: "in or above a cycle of required references" for n in sorted(catalog) if n not in ordered and n not in out}
+    return out, {n: b for n, b in found.items() if n not in out}, lost
+
+
+def refusals(catalog: Catalog) -> dict[str, str]:
+    """The tables that cannot be filled, and why."""
+    return judged(bound(catalog))[0]
 
 
-def domain(f: Field, bounds: Bounds) -> int | None:
-    """How many different values a column can take; None if there are enough for any table."""
-    sizes = []
+def domain(kind: types.Kind, bounds: Bounds, sequence: bool = False) -> int | None:
+    """How many different values the expression of a keyed column takes before one comes back; None if there are enough for any table."""
+    if bounds.must_be_null:
+        return None
+    if kind.of:
+        return domain(kind.of, bounds)
+    if sequence:
+        return types.LIMITS[kind.name][1] if kind.name in types.LIMITS else None
     if bounds.values is not None:
-        sizes.append(len(bounds.values))
-    if f.type == "boolean":
-        sizes.append(2)
-    if m := re.fullmatch(r"enum\((.*)\)", f.type):
-        sizes.append(len(m[1].split("|")))
-    if bounds.max_length is not None and bounds.max_length <= 6 and (f.type.startswith(("varchar", "char", "text"))):
-        sizes.append(36**bounds.max_length)
-    if bounds.floor is not None and bounds.ceiling is not None and f.type in ("smallint", "int", "bigint"):
-        sizes.append(max(0, bounds.ceiling - bounds.floor + 1))
-    sizes += {"time": [86_400], "cidr": [1 << 16], "macaddr": [1 << 24], "inet": [1 << 24]}.get(f.type, [])
-    return min(sizes, default=None)
+        return len(bounds.values)
+    if kind.name in _NUMBERS:
+        _, low, high = numbers(kind, bounds, True)
+        return high - low + 1
+    if kind.name in types.TEXTS:
+        limit = min(x for x in (bounds.max_length, bounds.exact_bytes, 4_096) if x is not None)
+        return 36**limit if limit <= 8 else 36 ** (limit - 1) if limit < 13 else None
+    if kind.name == "bytea":
+        return 256 ** min(7, octets(bounds))
+    if kind.name in ("json", "jsonb"):
+        return {"boolean": 2, "null": 1}.get(bounds.json_kind)
+    fixed = {"boolean": 2, "enum": len(set(kind.labels)), "date": cells.EPOCH_DAYS, "time": 86_400, "timestamp": cells.EPOCH_SECONDS, "timestamptz": cells.EPOCH_SECONDS, "interval": 90, "cidr": 1 << 16, "macaddr": 1 << 24, "inet": 1 << 24}
+    return fixed.get(kind.name)
+
+
+def octets(bounds: Bounds) -> int:
+    """How many bytes a binary column's values have."""
+    return bounds.exact_bytes if bounds.exact_bytes is not None else max(bounds.min_length or 0, min(7, bounds.max_length if bounds.max_length is not None else 7))
 
 
 def order(catalog: Catalog) -> list[str]:
@@ -236,8 +430,10 @@ def key_capacity(table: Table, key: tuple[str, ...], rows: Mapping[str, int], bo
         if set(ref.columns) <= left and ref.table in rows:
             left -= set(ref.columns)
             product *= rows[ref.table]
+    if any(r.table == table.name and set(r.columns) & left for r in table.references):
+        return product  # all rows refer to one
     for c in left:
-        size = None if table.field_of(c).sequence else domain(table.field_of(c), bounds[c])
+        size = domain(table.kind(c), bounds[c], table.field_of(c).sequence)
         if size is None:
             return None
         product *= size
@@ -248,15 +444,15 @@ def sizes(catalog: Catalog, asked: Mapping[str, int], default: int = 50) -> dict
     """Rows of each table: what is asked for, less if a unique key has fewer values; caps travel to children."""
     rows: dict[str, int] = {}
     catalog = bound(catalog)
-    refused = refusals(catalog)
+    refused, obligations, _ = judged(catalog)
     for name in order(catalog):
-        t = catalog[name]
         if name in refused:
             continue
-        bounds = obliged(t)
+        t, bounds = replace(catalog[name], references=leading(catalog[name], catalog)), obligations[name]
         caps = [c for key in t.keys if (c := key_capacity(t, key, rows, bounds)) is not None]
         proved = [c for c in strided(t, rows, bounds)[1].values() if c is not None]
-        rows[name] = min([asked.get(name, default), *caps, *proved])
+        widths = [types.LIMITS[t.kind(f.name).name][1] for f in t.fields if f.sequence and t.kind(f.name).name in types.LIMITS]
+        rows[name] = min([asked.get(name, default), *caps, *proved, *widths])
     return rows
 
 
@@ -267,101 +463,109 @@ class Plan:
     table: Table
     rows: int
     columns: dict[str, Callable[[Column], Column]]
+    #: The row of the table at the top of its chain of references that a row belongs to, and how far down the table is.
+    identity: Callable[[Column], Column] = lambda row: row
+    depth: int = 0
 
     def frame(self, spark: SparkSession, partitions: int | None = None) -> DataFrame:
         base = spark.range(0, self.rows, 1, partitions) if partitions else spark.range(self.rows)
         return base.select(*[make(F.col("id")).alias(name) for name, make in self.columns.items()])
 
 
-def _value(table: Table, f: Field, bounds: Bounds, seed: int, stride: int, unique: bool) -> Callable[[Column], Column]:
+def _value(table: Table, f: Field, kind: types.Kind, bounds: Bounds, seed: int, stride: int, unique: bool, identity: Callable[[Column], Column], depth: int) -> Callable[[Column], Column]:
     """The expression of a column that is no reference."""
-    head = f.name.split("_")[0]
+    head = f.name.split("_")[0] if f.name.isascii() else "v"
     named = _NAMES.get((table.name, f.name))
-    if f.type.endswith("[]"):
-        one = _value(table, replace(f, type=f.type[:-2]), bounds, seed, stride, unique)
+    if bounds.must_be_null:
+        return lambda row: F.lit(None).cast(kind.spark)
+    if kind.of:
+        one = _value(table, f, kind.of, bounds, seed, stride, unique, identity, depth)
         return lambda row: F.array(one(row))
     free = not unique and bounds.values is None and bounds.floor is None and bounds.ceiling is None
-    if named and named["range"] and free and f.type.split("(")[0] in ("smallint", "int", "bigint", "numeric", "real", "double"):
-        bounds = replace(bounds, floor=named["range"]["low"], ceiling=named["range"]["high"])
+    if named and named["range"] and free and kind.name in _NUMBERS:
+        ranged = replace(bounds, floor=named["range"]["low"], ceiling=named["range"]["high"])
+        bounds = ranged if numbers(kind, ranged) else bounds
 
     def realistic(row: Column) -> Column | None:
         """What the column's name asks for, where its constraints leave room for that."""
-        if not named or bounds.values is not None or bounds.lower or bounds.min_length or bounds.exact_bytes:
+        if not named or bounds.lower or bounds.min_length or bounds.exact_bytes:
             return None
         noun = "country_code" if named["noun"] == "country" and bounds.max_length == 2 else named["noun"]
-        if noun is None or (bounds.max_length is not None and bounds.max_length < 64 and noun not in ("country_code", "currency")) or (unique and noun in _CLOSED):
+        if noun is None or (unique and (noun in _CLOSED or (bounds.max_length or 128) < 128)):
             return None
-        if noun in _CLOSED:
-            width = {"country_code": 2, "currency": 3}.get(noun, 64)
-            return nouns.noun(noun, F.pmod(row, F.lit(_CLOSED[noun]))) if bounds.max_length is None or bounds.max_length >= width else None
-        return nouns.noun(noun, cells.step(row, stride) if unique else row)
+        whose = cells.step(row, stride) if unique else identity(row)
+        return nouns.noun(noun, F.pmod(whose, F.lit(_CLOSED[noun])) if noun in _CLOSED else whose)
 
     def make(row: Column) -> Column:
         number = cells.step(row, stride) if unique else cells.cell(seed, table.name, f.name, row)
-        if bounds.must_be_null:
-            return F.lit(None).cast("string")
         if bounds.values is not None:
-            made = cells.chosen(number, list(bounds.values))
-            return made.cast(f.type) if f.type in ("smallint", "int", "bigint", "boolean", "double", "real") else made
-        if named and named["band"] and not unique and f.type in ("timestamptz", "timestamp", "date"):
-            at = cells.timestamp(nouns.moment(row, cells.cell(seed, table.name, f.name, row), named["band"]))
-            return at.cast("date") if f.type == "date" else at
-        low, kind = bounds.floor, f.type.split("(")[0]
+            return cells.chosen(number, list(bounds.values)).cast(kind.spark)
+        if named and named["band"] and not unique and kind.name in ("timestamptz", "timestamp", "date"):
+            at = cells.timestamp(nouns.moment(identity(row), cells.cell(seed, table.name, f.name, row), named["band"], depth))
+            return at.cast("date") if kind.name == "date" else at
         if f.sequence:
-            return (row + 1).cast("long")
-        if kind in ("smallint", "int", "bigint"):
-            width = {"smallint": 2, "int": 4, "bigint": 8}[kind]
-            low = (1 if unique else 0) if low is None else low
-            span = cells.INTEGER_CAPS[width] if bounds.ceiling is None else bounds.ceiling - low + 1
-            return cells.integer(number, low, span if unique else min(span, 1_000_000)).cast({2: "smallint", 4: "int", 8: "bigint"}[width])
-        if kind == "numeric":
-            scale = int((re.search(r",(\d+)", f.type) or [0, 2])[1])
-            return cells.scaled(number, low or 0, bounds.ceiling if bounds.ceiling is not None else (low or 0) + 10_000, scale)
-        if kind in ("real", "double"):
-            return cells.double(number, low or 0, 1_000 if bounds.ceiling is None else bounds.ceiling - (low or 0))
+            return (row + 1).cast(kind.spark)
+        if kind.name in _NUMBERS:
+            unit, low, high = numbers(kind, bounds, unique)
+            whole = cells.between(number, low, high)
+            return whole.cast(kind.spark) if kind.name in types.LIMITS else (whole.cast("decimal(38,0)") / F.lit(unit)).cast(kind.spark) if kind.name == "numeric" else (whole / F.lit(float(unit))).cast(kind.spark)
         makers = {
             "boolean": lambda: cells.boolean(number), "uuid": lambda: cells.uuid(cells.cell(seed, table.name, f.name, row), row if unique else number), "date": lambda: cells.date(number), "time": lambda: cells.time(number),
             "timestamptz": lambda: cells.timestamp(F.pmod(number, F.lit(cells.EPOCH_SECONDS))), "timestamp": lambda: cells.timestamp(F.pmod(number, F.lit(cells.EPOCH_SECONDS))), "interval": lambda: cells.interval_days(number),
-            "jsonb": lambda: cells.json(number, bounds.json_kind or "object"), "json": lambda: cells.json(number, bounds.json_kind or "object"), "bytea": lambda: cells.bytes_hex(number, bounds.exact_bytes or 7),
-            "inet": lambda: cells.inet(number), "cidr": lambda: cells.cidr(number), "macaddr": lambda: cells.macaddr(number),
+            "jsonb": lambda: cells.json(number, bounds.json_kind or "object"), "json": lambda: cells.json(number, bounds.json_kind or "object"), "bytea": lambda: cells.octet_text(number, octets(bounds)),
+            "inet": lambda: cells.inet(number), "cidr": lambda: cells.cidr(number), "macaddr": lambda: cells.macaddr(number), "enum": lambda: cells.chosen(number, list(dict.fromkeys(kind.labels))),
         }
-        if kind in makers:
-            return makers[kind]()
-        if kind == "enum":
-            return cells.chosen(number, f.type[5:-1].split("|"))
-        if (made := realistic(row)) is not None:
-            return made
-        return cells.text(head, number if unique else F.pmod(number, F.lit(46_656)), bounds, unique)
+        if kind.name in makers:
+            return makers[kind.name]()
+        plain = cells.text(head, number if unique else F.pmod(number, F.lit(46_656)), bounds, unique)
+        if (made := realistic(row)) is None:
+            return plain
+        return made if unique or bounds.max_length is None else F.when(F.char_length(made) <= bounds.max_length, made).otherwise(plain)
 
     return make
 
 
 def plans(catalog: Catalog, rows: Mapping[str, int], seed: int = 1) -> dict[str, Plan]:
-    """A plan for each table that has rows, parents first."""
+    """A plan for each table that has rows, parents first.
+
+    A table with one reference belongs to what its parent belongs to: persons
+    and moments of its rows are those of the row at the top of the chain, which
+    the composed row numbers give without a join.
+    """
     out: dict[str, Plan] = {}
     catalog = bound(catalog)
     meanings(catalog)
-    for name in [n for n in order(catalog) if n in rows]:
-        t, bounds = catalog[name], obliged(catalog[name])
+    _, obligations, _ = judged(catalog)
+    for name in [n for n in order(catalog) if n in rows and n in obligations]:
+        t, bounds = replace(catalog[name], references=leading(catalog[name], catalog)), obligations[name]
         columns: dict[str, Callable[[Column], Column]] = {}
         steps = key_strides(t, rows, bounds)
+        identity, depth = (lambda row: row), 0
+        if len(catalog[name].references) == 1 and (ref := t.references[0]).table in out and out[ref.table].rows and not any(bounds[c].must_be_null for c in ref.columns):
+            identity, depth = _belongs(out[ref.table], steps.get(ref.columns[0], 1)), out[ref.table].depth + 1
         for f in t.fields:
-            ref = next((r for r in sorted(t.references, key=lambda r: -len(r.columns)) if f.name in r.columns), None)
+            ref = next((r for r in t.references if f.name in r.columns), None)
             keyed = any(f.name in k for k in t.keys)
             if ref is None:
-                columns[f.name] = _value(t, f, bounds[f.name], seed, steps.get(f.name, 1), keyed)
+                columns[f.name] = _value(t, f, t.kind(f.name), bounds[f.name], seed, steps.get(f.name, 1), keyed, identity, depth)
+            elif any(bounds[c].must_be_null for c in ref.columns):
+                columns[f.name] = lambda row, kind=t.kind(f.name): F.lit(None).cast(kind.spark)
             elif ref.table == name:
                 columns[f.name] = _rooted(lambda columns=columns: columns, ref, f.name, 0 if t.optional(ref) else -1)
             elif not rows.get(ref.table) or (ref.table not in out and t.optional(ref) and any(set(ref.columns) & set(k) for k in t.keys)):
-                columns[f.name] = lambda row: F.lit(None).cast("long")
+                columns[f.name] = lambda row, kind=t.kind(f.name): F.lit(None).cast(kind.spark)
             elif ref.table not in out and t.optional(ref):  # a cycle: one row without, all others refer to the first
                 columns[f.name] = _rooted(lambda ref=ref: out[ref.table].columns, ref, f.name)
             else:
                 columns[f.name] = _drawn(lambda ref=ref: out[ref.table], ref, f.name, steps.get(f.name, 1))
-        out[name] = Plan(t, rows[name], columns)
+        out[name] = Plan(t, rows[name], columns, identity, depth)
     return out
 
 
+def _belongs(parent: Plan, stride: int) -> Callable[[Column], Column]:
+    return lambda row: parent.identity(parent_row(row, parent.rows, stride))
+
+
 def strided(table: Table, rows: Mapping[str, int], bounds: Mapping[str, Bounds]) -> tuple[dict[str, int], dict[tuple[str, ...], int | None]]:
     """The stride of each keyed column, and for how many rows each composite key is proved not to repeat (None: any).
 
@@ -376,9 +580,10 @@ def strided(table: Table, rows: Mapping[str, int], bounds: Mapping[str, Bounds])
         wheels: list[tuple[tuple[str, ...], int | None]] = []
         for c in key:
             ref = next((r for r in table.references if c in r.columns and r.table in rows), None)
+            own = any(c in r.columns and r.table == table.name for r in table.references)
             if ref is not None and any(c in w for w, _ in wheels):
                 continue
-            wheels.append((ref.columns, rows[ref.table]) if ref else ((c,), domain(table.field_of(c), bounds[c])))
+            wheels.append((ref.columns, rows[ref.table]) if ref else ((c,), 1) if own else ((c,), domain(table.kind(c), bounds[c], table.field_of(c).sequence)))
         single = any((c,) in table.keys for c in key)
         # A column without a bound tells all rows apart by itself where it counts by one.
         if single or any(n is None and out.get(w[0], 1) == 1 for w, n in wheels):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import catalog_queries, generation_queries, relational_queries, validation_queries
+from .plans import catalog_queries, generation_queries, integrity_queries, relational_queries, validation_queries
 
-QUERIES = validation_queries.QUERIES | relational_queries.QUERIES | catalog_queries.QUERIES | generation_queries.QUERIES
-SQL = validation_queries.SQL | relational_queries.SQL | catalog_queries.SQL | generation_queries.SQL
+_MODULES = (validation_queries, integrity_queries, relational_queries, catalog_queries, generation_queries)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..functions.types import Kind, read
+
 
 @dataclass(frozen=True)
 class Field:
@@ -47,6 +49,8 @@ class Table:
     partition: tuple[str, tuple[str, ...]] | None = None
     #: What is known to forbid rows, or cannot be read.
     opaque: tuple[str, ...] = ()
+    #: (name, base type, checks on VALUE) of the domains that its columns use.
+    domains: tuple[tuple[str, str, tuple[str, ...]], ...] = ()
 
     @property
     def keys(self) -> tuple[tuple[str, ...], ...]:
@@ -55,6 +59,9 @@ class Table:
     def field_of(self, name: str) -> Field:
         return next(f for f in self.fields if f.name == name)
 
+    def kind(self, column: str) -> Kind:
+        return read(self.field_of(column).type, {n: (base, checks) for n, base, checks in self.domains})
+
     def written(self) -> list[Field]:
         """Columns that rows must give: not generated, and no default unless that would repeat in a key."""
         keyed = {c for key in self.keys for c in key}
