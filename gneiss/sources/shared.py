@@ -64,7 +64,7 @@ def in_order(tables: Mapping[str, DataFrame], path: str, *, tag: str | None = No
     tag = tag or f"write-{uuid.uuid4().hex}"
     for name, df in tables.items():
         spark, seen = df.sparkSession, Observation(f"{name}-{uuid.uuid4().hex}")
-        spark.addTag(tag)
+        spark.sparkContext.addJobTag(tag)
         try:
             df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/{name}.parquet")
         except BaseException as why:
@@ -74,13 +74,13 @@ def in_order(tables: Mapping[str, DataFrame], path: str, *, tag: str | None = No
                 raise Stopped(f"{name} was being written") from why
             raise
         finally:
-            spark.removeTag(tag)
+            spark.sparkContext.removeJobTag(tag)
         yield name, seen.get["rows"]
 
 
 def stop(spark: SparkSession, tag: str) -> None:
     """Cancel the jobs that carry the tag."""
-    spark.interruptTag(tag)
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def emptied(spark: SparkSession, path: str, targets: Iterable[str], children: Mapping[str, Collection[str]], order: Sequence[str]) -> list[str]:
