@@ -14,7 +14,9 @@ import re
 from collections.abc import Callable, Collection, Iterable, Mapping
 from dataclasses import dataclass, replace
 from decimal import Decimal
+from multiprocessing.pool import ThreadPool
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,20 +38,23 @@ class Refused(ValueError):
     """Why a table's rows cannot be shown to satisfy its constraints."""
 
 
+def _local(rows: list[tuple], *names: str) -> DataFrame:
+    """A few texts as a local relation: projections of it need no job."""
+    return SparkSession.active().createDataFrame(pa.table({n: pa.array([r[i] for r in rows], pa.string()) for i, n in enumerate(names)}))
+
+
 def readings(texts: Iterable[str]) -> None:
-    """Read check texts that are not known yet: one job for all of them."""
+    """Read check texts that are not known yet: one projection of all of them."""
     if new := sorted(set(texts) - _CHECKS.keys()):
-        df = SparkSession.active().createDataFrame([(t,) for t in new], "text string")
-        parts = df.select("text", F.posexplode(shapes.conjuncts(F.col("text"))).alias("at", "part")).select("text", "at", shapes.obligation(F.col("part")).alias("r"))
-        for r in parts.orderBy("text", "at").collect():  # a row a conjunct
-            _CHECKS.setdefault(r["text"], []).append(r["r"])
+        read = F.transform(shapes.conjuncts(F.col("text")), lambda part: shapes.obligation(part))
+        for r in _local([(t,) for t in new], "text").select("text", read.alias("r")).collect():  # a row a text
+            _CHECKS[r["text"]] = r["r"]
 
 
 def meanings(catalog: Catalog) -> None:
     """Read the names of columns that are not known yet: noun, range and time band."""
     if new := sorted({(t.name, f.name) for t in catalog.values() for f in t.fields} - _NAMES.keys()):
-        df = SparkSession.active().createDataFrame(new, "t string, c string")
-        for r in df.select("t", "c", nouns.noun_of(F.col("t"), F.col("c")).alias("noun"), nouns.range_of(F.col("c")).alias("range"), nouns.moment_of(F.col("c")).alias("band")).collect():
+        for r in _local(new, "t", "c").select("t", "c", nouns.noun_of(F.col("t"), F.col("c")).alias("noun"), nouns.range_of(F.col("c")).alias("range"), nouns.moment_of(F.col("c")).alias("band")).collect():
             _NAMES[r["t"], r["c"]] = r
 
 
@@ -635,8 +640,9 @@ def selected(catalog: Catalog, include: Iterable[str] = (), exclude: Iterable[st
 def generate(spark: SparkSession, catalog: Catalog, asked: Mapping[str, int], seed: int = 1) -> dict[str, DataFrame]:
     """The tables that can be filled, parents first."""
     catalog = bound(catalog)
-    made = plans(catalog, sizes(catalog, asked), seed)
-    return {n: p.frame(spark) for n, p in made.items() if p.rows}
+    made = [(n, p) for n, p in plans(catalog, sizes(catalog, asked), seed).items() if p.rows]
+    with ThreadPool(8) as pool:  # expressions are put together by many small calls to the JVM
+        return dict(zip((n for n, _ in made), pool.map(lambda x: x[1].frame(spark), made), strict=True))
 
 
 def probe(tables: Mapping[str, DataFrame], catalog: Catalog) -> dict[str, dict[str, int]]:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Collection, Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Collection, Iterable, Iterator, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 from urllib.parse import urlparse
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,15 @@ def in_order(tables: Mapping[str, DataFrame], path: str, *, tag: str | None = No
         yield name, seen.get["rows"]
 
 
+def at_once(tables: Mapping[str, DataFrame], write: Callable[[str, DataFrame], None], workers: int = 8) -> None:
+    """Write tables that do not wait for each other, some at a time: small jobs share the cluster.
+
+    The first failure is raised once the jobs that run have ended.
+    """
+    with ThreadPool(min(workers, max(1, len(tables)))) as pool:
+        pool.starmap(inheritable_thread_target(write), tables.items(), 1)
+
+
 def stop(spark: SparkSession, tag: str) -> None:
     """Cancel the jobs that carry the tag."""
     spark.sparkContext.cancelJobsWithTag(tag)
