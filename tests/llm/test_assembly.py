@@ -346,3 +346,41 @@ def test_stages_run_and_keep_the_columns(spark, tmp_path, corpus):
                 assert "@" not in texts[900].text and texts[900].n_chars == len(texts[900].text)
     last = corpus_pipeline.run(spark, str(tmp_path))
     assert last.count() > 0 and {r.doc_id for r in last.collect()} <= {r.doc_id for r in now.collect()} | {None}
+
+
+def chained(spark, docs, folder):
+    """The frames that the stages give, each written and read again."""
+    out = []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(folder)).write.parquet(f"{folder}/stage{i}")
+        docs = spark.read.parquet(f"{folder}/stage{i}")
+        out.append(docs)
+    return out
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    docs = frame(spark, [])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = chained(spark, docs, tmp_path)
+    assert [df.count() for df in got] == [0] * 5 and all(df.columns == docs.columns for df in got[:4])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_with_clashing_columns_equals_the_chain_in_plain_python(spark, tmp_path, prose):
+    """Without labels all documents are kept; copies, personal data, order and tokens are worked out document by document."""
+    texts = [f"{prose(i, 50)} mail user{i}@example.com now" for i in range(12)]
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(texts)] + [(20 + i, texts[i], "en", "s1") for i in range(4)] + [(30, None, "en", "s0"), (31, "", None, None)]
+    docs = frame(spark, rows, extra=True)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept, single, clean, ordered, packed = chained(spark, docs, tmp_path)
+    assert all(df.columns == docs.columns for df in (kept, single, clean, ordered))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_ in rows)
+    left = {i: t for i, t, *_ in rows if i < 20 or i >= 30}  # of equal texts the least doc_id
+    assert {r.doc_id: r.text for r in single.collect()} == left
+    want = {i: None if t is None else t.replace(f"user{i}@example.com", "<EMAIL>") for i, t in left.items()}
+    assert {r.doc_id: (r.text, r.n_chars, r.block) for r in clean.collect()} == {i: (t, None if t is None else len(t), "x") for i, t in want.items()}
+    assert {r.doc_id: r.text for r in ordered.collect()} == want
+    e = Encoder(packing.vocabulary())
+    pieces = packed.collect()
+    assert {i: sum(r.length for r in pieces if r.doc_id == i) for i in want} == {i: len(e([t])[0]) + 1 for i, t in want.items()}
