@@ -39,8 +39,9 @@ from .words import encode
 SEED = 42
 #: Hashes whose bits are added up at once.
 HASHES = 65_536
-#: Fingerprints that are sent to their anchors at once.
+#: Fingerprints that are sent to their anchors at once, and about as many as a partition of them has.
 ROWS = 512
+PART_ROWS, PARTS = 5_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -172,10 +173,11 @@ def replicas(nodes: DataFrame, how: Nearness) -> DataFrame:
 
 def linked(nodes: DataFrame, how: Nearness) -> DataFrame:
     """id, component: of each fingerprint that is linked with another one, the least fingerprint it can reach."""
-    every = written(replicas(nodes, how))
+    parts = min(PARTS, -(-nodes.count() // PART_ROWS))
+    every = written(replicas(nodes.repartition(max(1, parts), "bits"), how))
     # An anchor with one fingerprint has no pair; with 2**33 anchors few have several by chance.
     shared = written(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("anchor"))
-    members = written(every.join(shared, "anchor"))
+    members = written(every.join(shared.hint("merge"), "anchor"))  # the same join at every size
     pivots = members.groupBy("anchor").agg(F.max(F.struct("docs", -F.col("bits"), "bits")).alias("p")).select("anchor", F.col("p.bits").alias("pivot"))
     lists = written(members.select("anchor", "bits").join(pivots, "anchor"))
     near = F.bit_count(F.col("bits").bitwiseXOR(F.col("pivot"))) <= how.bits
