@@ -12,6 +12,7 @@ from ..operators import foreign_keys, probing, validate
 from ..operators.routing import Parted, routed
 from ..sources.catalog import TESTDATA, Field, Table, table
 from ..sources.shared import read
+from ..sources.statements import inserts
 from . import synthesis
 
 SEED = 7
@@ -167,7 +168,13 @@ def gen_nested(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row", c["id"].alias("id"), F.size(c["grid"]).alias("outer"), F.size(c["grid"][0]).alias("inner"), c["grid"][0][0].alias("cell"), c["codes"][0].alias("code"), c["share"].alias("share"), c["states"][0].alias("state"), c["shape"].isNull().alias("no_shape"))
 
 
+def lit_events(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as an INSERT statement of one row."""
+    return inserts(read(spark, d, "events").select("event_id", "event_type", "props"), "events", rows=1)
+
+
 QUERIES = {
+    "lit_events": lit_events,
     "v_partition_routing": partition_routing, "v_check_spelled": check_spelled, "v_type_fit": type_fit, "probe_tables": probe_tables, "fk_draw_shared": fk_draw_shared, "gen_lifecycle": gen_lifecycle, "repair_lowest_other": repair_lowest_other, "gen_sound": gen_sound, "gen_nested": gen_nested,
 }
 
@@ -211,6 +218,7 @@ _ANCHOR = f"(r * {nouns.LIFETIME_STEP} % {nouns.LIFETIMES})"
 _CELL = "('0x' || substr(md5('7/nested/{0}/' || r::VARCHAR), 1, 15))::BIGINT"
 
 SQL = {
+    "lit_events": """select 'INSERT INTO "events" ("event_id", "event_type", "props") VALUES' || chr(10) || '(' || event_id || ', ' || coalesce('''' || replace(event_type, '''', '''''') || '''', 'NULL') || ', ' || coalesce('''' || replace(props, '''', '''''') || '''', 'NULL') || ');' as statement from events""",
     "v_partition_routing": f"""
         select 'lineitem' as table_name, {_YEARS} as part, count(*)::BIGINT as rows, sum(l_partkey)::BIGINT as keys from lineitem group by 2
         union all select 'orders', case when o_orderstatus = 'F' then 'done' when o_orderstatus = 'O' or o_orderstatus is null then 'open' else 'no part' end, count(*)::BIGINT, sum(o_orderkey)::BIGINT from orders group by 2
