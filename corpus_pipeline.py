@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, folder of tables), works on all that the stage
 before it kept and returns a DataFrame with the columns of documents; the last
 one returns the pieces of the packed sequences. Stages are written as Parquet
-and read again in between.
+and read again in between; the order of the files' rows is that of the mix, which
+the packed sequences follow.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All texts in sequences of 4,096 tokens."""
-    return packing.pack(docs)
+    """All texts in sequences of 4,096 tokens that follow the order of the mix."""
+    return packing.pack_in_order(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

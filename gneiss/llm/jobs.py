@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,18 @@ def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds ``_file`` and ``_row``: rows stand in the order of their file's name, shorter ones first, and of their number in it.
+
+    That is the order in which a sorted table was written. Rows that are not
+    read from Parquet files stand in the order of the frame's partitions.
+    """
+    try:
+        return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return df.select("*", F.spark_partition_id().cast("string").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -9,6 +9,11 @@ it ends early where those are good already. Whole parts of the solution become
 sequences, what is left of the fractions is packed greedily, and slots are dealt
 to the documents by their rank within their length. The plan's size depends on
 the sequence length alone; the documents are numbered and joined by Spark.
+
+Where the rows' order matters (a mix of sources), it is cut into spans of some
+thousand sequences, and each span is planned and packed by itself, in tasks. No
+sequence holds documents of two spans, and sequences are numbered in the order
+of the first documents that they hold.
 """
 
 from __future__ import annotations
@@ -17,20 +22,27 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .jobs import map_rows, table, written
+from .jobs import counted, cut, map_rows, numbered, table, written
 from .ranks import running
 from .tokens import encoder
 
 
+#: Rows of a file whose tokens are added up at once, and spans' plans are dealt over at most so many partitions.
+SLICE_ROWS, PARTS = 100_000, 20_000
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+
+
 @dataclass(frozen=True)
 class Pack:
     """Tokens in a sequence and the step of lengths.
 
     The program stops within ``gap`` of its bound, or after ``rounds`` columns;
-    :class:`Plan` tells the bound it has proved by then.
+    :class:`Plan` tells the bound it has proved by then. ``span`` is about how
+    many sequences are planned together where rows are packed in their order.
     """
 
     length: int = 4_096
@@ -38,6 +50,7 @@ class Pack:
     gap: float = 1e-3
     rounds: int = 10_000
     end_id: int = 2
+    span: int = 2_048
 
     @property
     def classes(self) -> int:
@@ -50,20 +63,21 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def cut_up(docs: DataFrame, how: Pack, path: str | None) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: the pieces of each document."""
+def cut_up(docs: DataFrame, how: Pack, path: str | None, kept: str = "") -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens: the pieces of each document; and the document's own columns ``kept`` (names with types)."""
+    own = [c.split()[0] for c in kept.split(", ")] if kept else []
 
     def work(piece: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-        for doc, ids in zip(piece["doc_id"], encoder(path or vocabulary())(piece["text"]), strict=True):
+        out: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", *own)}
+        for doc, ids, *more in zip(piece["doc_id"], encoder(path or vocabulary())(piece["text"]), *(piece[c] for c in own), strict=True):
             ids = np.append(ids, np.uint32(how.end_id)).astype("<u4")
             for start in range(0, len(ids), how.length):
                 part = ids[start : start + how.length]
-                for c, v in zip(out, (doc, start, len(part), zlib.crc32(part.tobytes()), len(ids)), strict=True):
+                for c, v in zip(out, (doc, start, len(part), zlib.crc32(part.tobytes()), len(ids), *more), strict=True):
                     out[c].append(v)
         return out
 
-    return map_rows(docs.select("text", "doc_id"), work, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return map_rows(docs.select("text", "doc_id", *own), work, f"{PIECE}, {kept}" if kept else PIECE)
 
 
 def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -249,6 +263,56 @@ def pack(docs: DataFrame, how: Pack = Pack(), path: str | None = None) -> DataFr
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"))
 
 
+def spanned(pieces: DataFrame, how: Pack) -> tuple[DataFrame, int]:
+    """Adds ``at``, how many tokens stand before a piece, and ``span``; and the number of spans, which have about the same tokens each."""
+    sliced = pieces.withColumn("_slice", F.floor(F.col("_row") / SLICE_ROWS))
+    sums = cut(sliced.groupBy("_file", "_slice").agg(F.sum("length").alias("_sum")))
+    total = sums.agg(F.sum("_sum")).first()[0] or 0
+    spans = max(1, round(total / (how.span * how.length)))
+    before = lambda amount, w: F.coalesce(F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One task adds up a row for each file and each hundred thousand rows of it.
+    bases = sums.withColumn("_base", before("_sum", Window.orderBy(F.length("_file"), "_file", "_slice"))).select(F.col("_file").alias("_f"), F.col("_slice").alias("_s"), "_base")
+    inside = sliced.withColumn("_inside", before("length", Window.partitionBy("_file", "_slice").orderBy("_row", "start")))
+    placed = inside.join(bases, (F.col("_file") == F.col("_f")) & (F.col("_slice") == F.col("_s"))).withColumn("at", F.col("_base") + F.col("_inside"))
+    width = max(1, -(-total // spans))
+    return placed.withColumn("span", F.floor(F.col("at") / width)).drop("_file", "_row", "_slice", "_inside", "_f", "_s", "_base"), spans
+
+
+def pack_in_order(docs: DataFrame, how: Pack = Pack(), path: str | None = None) -> DataFrame:
+    """As :func:`pack`, but sequences follow the order of the rows (see :func:`jobs.numbered`), span by span.
+
+    Within a span the rows of each length are dealt in their order, sequences
+    are numbered by the first row that they hold, and their pieces stand in order.
+    """
+    pieces = cut_up(numbered(docs.select("text", "doc_id")), how, path, "_file string, _row long")
+    placed, spans = spanned(written(pieces), how)
+    placed = written(placed.withColumn("class", F.ceil(F.col("length") / how.quantum).cast("int")))
+
+    def planned(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        demand = np.zeros(how.classes, np.int64)
+        demand[rows["class"].to_numpy() - 1] = rows["n"]
+        made, uses = plan(demand, how.gap, how.rounds), {}
+        for size, first, last, per, base in slots(made.patterns):
+            uses.setdefault(size, []).append({"first": first, "last": last, "per": per, "base": base})
+        return pd.DataFrame({"in_span": key[0], "of": list(uses), "sequences": made.sequences, "uses": list(uses.values())})
+
+    use = "in_span long, of int, sequences long, uses array<struct<first: long, last: long, per: long, base: long>>"
+    demands = placed.groupBy("span", "class").agg(F.count(F.lit(1)).alias("n"))
+    deal = written(demands.repartition(min(PARTS, 2 * spans), "span").groupBy("span").applyInPandas(planned, use))
+    rank = F.row_number().over(Window.partitionBy("span", "class").orderBy("at")) - 1
+    dealt = placed.withColumn("place", rank).join(deal, (F.col("span") == F.col("in_span")) & (F.col("class") == F.col("of")))
+    used = F.filter("uses", lambda u: (F.col("place") >= u["first"]) & (F.col("place") < u["last"]))[0]
+    dealt = dealt.withColumn("use", used).withColumn("local", (F.col("use.base") + F.floor((F.col("place") - F.col("use.first")) / F.col("use.per"))).cast("long")).drop("uses", "use")
+    same = Window.partitionBy("span", "local")
+    offset = F.coalesce(F.sum("length").over(same.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    held = dealt.select("*", offset.alias("offset"), F.min("at").over(same).alias("head"))
+    held = held.withColumn("nth", F.dense_rank().over(Window.partitionBy("span").orderBy("head")) - 1)
+    bases = deal.groupBy("in_span").agg(F.max("sequences").alias("n"))  # a row a span
+    bases = cut(bases.select(F.col("in_span").alias("_span"), F.coalesce(F.sum("n").over(Window.orderBy("in_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base")))
+    joined = held.join(counted(bases), F.col("span") == F.col("_span"))
+    return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_base") + F.col("nth")).cast("long").alias("sequence_id"), "offset")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4,096 tokens."""
     return pack(table(spark, sf_dir, "documents"))

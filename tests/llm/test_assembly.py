@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -286,6 +287,35 @@ def test_pack_of_nothing_and_of_one(spark):
     assert (r.start, r.length, r.doc_tokens, r.sequence_id, r.offset) == (0, 1, 1, 0, 0)
 
 
+def test_packs_in_order_follow_the_rows(spark, corpus, tmp_path):
+    """No sequence crosses the spans of the order, sequences follow the first rows that they hold, and every id is held once."""
+    how = packing.Pack(64, 1, span=20)
+    rows = random.Random(4).sample([r for r in corpus if r[0] is not None and r[0] != 59], 60)
+    frame(spark, rows, extra=True).coalesce(1).sortWithinPartitions(F.rand(5)).write.option("maxRecordsPerFile", 11).parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    order = [r.doc_id for f in sorted((tmp_path / "docs").glob("part-*")) for r in spark.read.parquet(str(f)).collect()]
+    got = packing.pack_in_order(docs, how).collect()
+    assert check_packed(rows, got, how) < 0.1
+    at, total = {}, 0
+    tokens = {r.doc_id: r.doc_tokens for r in got}
+    for i in order:
+        at[i], total = total, total + tokens[i]
+    spans = round(total / (20 * 64))
+    assert spans > 3
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append((at[r.doc_id] + r.start, r.offset))
+    assert sorted(held) == list(range(len(held)))
+    assert all(len({p // -(-total // spans) for p, _ in x}) == 1 and sorted(x) == sorted(x, key=lambda p: p[1]) for x in held.values())
+    assert [min(held[i]) for i in sorted(held)] == sorted(min(x) for x in held.values())
+
+
+def test_packs_in_order_of_nothing_and_of_frames(spark):
+    assert packing.pack_in_order(frame(spark, [])).count() == 0
+    docs = frame(spark, [(i, "a b c", "en", "s") for i in (5, None, 3)]).coalesce(1)
+    assert [(r.doc_id, r.sequence_id) for r in sorted(packing.pack_in_order(docs).collect(), key=lambda r: r.offset)] == [(5, 0), (None, 0), (3, 0)]
+
+
 def brute_knapsack(prices, capacity):
     best = [0.0] * (capacity + 1)
     for c in range(1, capacity + 1):
@@ -367,6 +397,20 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_the_mix_orders_the_sequences(spark, tmp_path, prose):
+    """The sequences begin with the mix's first document; packed without the mix, with the table's."""
+    rows = [(i, prose(i, 1_000), "en", "ab"[i >= 60]) for i in range(120)]
+    docs = frame(spark, rows)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/plain")
+    corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/mixed")
+    plain, mixed = ([r for r in corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/{x}"), str(tmp_path)).collect()] for x in ("plain", "mixed"))
+    assert sum(r.length for r in plain) == sum(r.length for r in mixed)
+    first = lambda got, n: sorted({r.doc_id for r in got if r.start == 0}, key=lambda i: min((r.sequence_id, r.offset) for r in got if r.doc_id == i))[:n]
+    slot = {r.doc_id: r.slot for r in mixing.schedule(docs).collect()}
+    assert first(plain, 1) == [0] and first(mixed, 1) == [min(slot, key=lambda i: (slot[i], i))]
+    assert {r.doc_id: r.sequence_id for r in plain} != {r.doc_id: r.sequence_id for r in mixed}
+
+
 def test_pipeline_with_clashing_columns_equals_the_chain_in_plain_python(spark, tmp_path, prose):
     """Without labels all documents are kept; copies, personal data, order and tokens are worked out document by document."""
     texts = [f"{prose(i, 50)} mail user{i}@example.com now" for i in range(12)]
