@@ -314,13 +314,29 @@ def lit_escape(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+#: Rows that a task takes apart into cells, about, and the most such tasks (more would need memory for their writing).
+PROFILE_ROWS, PROFILE_TASKS = 50_000, 200
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """Distinct values, nulls and extremes (as text) of each column; columns must be told apart by their text.
+
+    Equal cells are counted first, by tasks of few rows, so that no task holds
+    all columns of a large file. Without rows there are no values and no nulls.
+    """
+    names = df.columns
+    spread = df.repartition(max(1, min(PROFILE_TASKS, -(-df.count() // PROFILE_ROWS))), *names)
+    cells = spread.select(F.explode(F.array(*[F.struct(F.lit(n).alias("of"), F.col(n).cast("string").alias("value")) for n in names])).alias("cell")).select("cell.*")
+    values = cells.groupBy("of", "value").agg(F.count(F.lit(1)).alias("n"))
+    mine = lambda n, x: F.when(F.col("of") == n, F.col(x))
+    nulls = lambda n: F.coalesce(F.sum(F.when((F.col("of") == n) & F.col("value").isNull(), F.col("n"))), F.lit(0))
+    made = [F.struct(F.lit(n).alias("column_name"), F.count(mine(n, "value")).alias("distinct_values"), nulls(n).alias("nulls"), F.min(mine(n, "value")).alias("least"), F.max(mine(n, "value")).alias("greatest")) for n in names]
+    return values.agg(F.array(*made).alias("made")).select(F.explode("made").alias("r")).select("r.*")
+
+
 def value_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct values, nulls and extremes of the columns of customer in one pass."""
-    c = read(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
-    names = c.columns
-    made = [x for n in names for x in (F.count_distinct(n).alias(f"d_{n}"), F.sum(F.col(n).isNull().cast("int")).cast("long").alias(f"n_{n}"), F.min(F.col(n).cast("string")).alias(f"l_{n}"), F.max(F.col(n).cast("string")).alias(f"h_{n}"))]
-    row = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(f"d_{n}").alias("distinct_values"), F.col(f"n_{n}").alias("nulls"), F.col(f"l_{n}").alias("least"), F.col(f"h_{n}").alias("greatest")) for n in names])
-    return c.agg(*made).select(F.explode(row).alias("r")).select("r.*")
+    """Distinct values, nulls and extremes of the columns of customer."""
+    return profile(read(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)")))
 
 
 def nth_parent(spark: SparkSession, d: str) -> DataFrame:

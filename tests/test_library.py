@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import cells, nouns, shapes
 from gneiss.operators import foreign_keys, graph, validate
-from gneiss.plans import synthesis
+from gneiss.plans import catalog_queries, synthesis
 from gneiss.sources import shared
 from gneiss.sources.catalog import SHOP, Reference, frames, from_struct, table
 from gneiss.streaming import incremental
@@ -198,3 +198,19 @@ def test_selection_brings_parents_unless_they_are_excluded(spark):
     left = synthesis.selected(SHOP, ["order_items"], ["products"])
     assert "products" not in left and synthesis.refusals(left) == {"order_items": "needs products, which is not in the catalog"}
     assert set(synthesis.generate(spark, left, {})) == {"orders", "users", "orgs"}
+
+
+def test_profile_counts_equal_cells_first(spark, monkeypatch):
+    """Nulls, repeats and empty tables; no plan that keeps the values of all columns beside one another."""
+    monkeypatch.setattr(catalog_queries, "PROFILE_ROWS", 3)
+    rows = [(i % 7, None if i % 4 == 0 else f"v{i}", "same") for i in range(20)] + [(None, None, "same")] * 3
+    df = spark.createDataFrame(rows, "a long, b string, c string")
+    out = catalog_queries.profile(df)
+    assert {tuple(r) for r in out.collect()} == {("a", 7, 3, "0", "6"), ("b", 15, 8, "v1", "v9"), ("c", 1, 0, "same", "same")}
+    assert {tuple(r) for r in catalog_queries.profile(df.where("false")).collect()} == {(n, 0, 0, None, None) for n in "abc"}
+
+
+def test_value_profile_spreads_its_rows(spark, capsys):
+    catalog_queries.value_profile(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "Expand" not in plan and "REPARTITION_BY_NUM" in plan
