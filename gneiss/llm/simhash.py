@@ -14,21 +14,24 @@ twenty times the copies. What goes beyond the radius is counted block by block,
 which leaves out most anchors that a ball over all bits would hold.
 
 Links are needed up to connectivity. Equal fingerprints are one row from the
-start. Each row is first held against one pivot of each anchor, the fingerprint
-that most documents have; once components of these links are known, only pairs
-of different components are compared, in a join that Spark can split however
-many fingerprints an anchor has.
+start. The fingerprints of an anchor meet in one shuffle; where they are at most
+``MEMBERS`` a task compares all of them and gives a link a fingerprint to the
+least one that it reaches there, so that work and links grow with the rows.
+Anchors with more are held against a pivot first, the fingerprint that most
+documents have; once components of all these links are known, only pairs of
+different components are compared, in a join that Spark can split however many
+fingerprints an anchor has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -42,6 +45,8 @@ HASHES = 65_536
 #: Fingerprints that are sent to their anchors at once, and about as many as a partition of them has.
 ROWS = 512
 PART_ROWS, PARTS = 5_000, 20_000
+#: Fingerprints of one anchor that a task compares with one another, and how many of them with all at once.
+MEMBERS, TOGETHER = 4_096, 256
 
 
 @dataclass(frozen=True)
@@ -171,17 +176,61 @@ def replicas(nodes: DataFrame, how: Nearness) -> DataFrame:
     return map_batches(nodes.select("bits", "docs"), run, ddl)
 
 
+def reached(bits: np.ndarray, most: int) -> np.ndarray:
+    """Of each of a few fingerprints, the position of the first one that links between them lead to."""
+    near = np.concatenate([np.bitwise_count(bits[at : at + TOGETHER, None] ^ bits) <= most for at in range(0, len(bits), TOGETHER)])
+    label = np.arange(len(bits))
+    if near.sum() == len(bits):
+        return label
+    while True:
+        new = np.array([label[x].min() for x in near])
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def within(lists: DataFrame, how: Nearness) -> DataFrame:
+    """a, b: links that connect the fingerprints of each anchor as all links between them do. Rows of an anchor follow one another."""
+    ddl, most = "a long, b long", how.bits
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor, bits = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for b in chain(batches, [None]):
+            if b is not None:
+                anchor = np.append(anchor, b.column("anchor").to_numpy())
+                bits = np.append(bits, b.column("bits").to_numpy().view(np.uint64))
+            ends = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+            ends = np.append(ends, len(anchor)) if b is None and len(anchor) else ends
+            out, at = [], 0
+            for end in ends.tolist():
+                group, at = bits[at:end], end
+                label = reached(group, most)
+                out.append(np.stack([group, group[label]])[:, label != np.arange(len(group))])
+            anchor, bits = anchor[at:], bits[at:]
+            if out:
+                a, c = np.concatenate(out, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], schema=schema)
+
+    return map_batches(lists.select("anchor", "bits"), run, ddl)
+
+
 def linked(nodes: DataFrame, how: Nearness) -> DataFrame:
     """id, component: of each fingerprint that is linked with another one, the least fingerprint it can reach."""
-    parts = min(PARTS, -(-nodes.count() // PART_ROWS))
-    every = written(replicas(nodes.repartition(max(1, parts), "bits"), how))
+    parts = max(1, min(PARTS, -(-nodes.count() // PART_ROWS)))
+    every = replicas(nodes.repartition(parts, "bits"), how)
     # An anchor with one fingerprint has no pair; with 2**33 anchors few have several by chance.
-    shared = written(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("anchor"))
-    members = written(every.join(shared.hint("merge"), "anchor"))  # the same join at every size
-    pivots = members.groupBy("anchor").agg(F.max(F.struct("docs", -F.col("bits"), "bits")).alias("p")).select("anchor", F.col("p.bits").alias("pivot"))
-    lists = written(members.select("anchor", "bits").join(pivots, "anchor"))
+    held = Window.partitionBy("anchor").orderBy(F.desc("docs"), "bits")
+    whole = held.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    every = every.repartition(parts, "anchor").select("anchor", "bits", F.first("bits").over(whole).alias("pivot"), F.count(F.lit(1)).over(whole).alias("rows"))
+    lists = written(every.where("rows > 1"))
+    small = lists.where(F.col("rows") <= MEMBERS)
+    links = within(small.repartition(max(1, min(PARTS, -(-lists.count() // PART_ROWS))), "anchor").sortWithinPartitions("anchor"), how)
+    lists = lists.where(F.col("rows") > MEMBERS).select("anchor", "bits", "pivot")
     near = F.bit_count(F.col("bits").bitwiseXOR(F.col("pivot"))) <= how.bits
-    stars = cut(lists.where(near & (F.col("bits") != F.col("pivot"))).select(F.col("bits").alias("a"), F.col("pivot").alias("b")).distinct())
+    stars = lists.where(near & (F.col("bits") != F.col("pivot"))).select(F.col("bits").alias("a"), F.col("pivot").alias("b"))
+    stars = cut(links.unionByName(stars).distinct())
     found = components(stars)
     known = counted(found)
     placed = lists.join(known, F.col("bits") == F.col("id"), "left").select("anchor", "bits", "pivot", F.coalesce("component", "bits").alias("own"))

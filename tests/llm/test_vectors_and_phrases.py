@@ -175,6 +175,26 @@ def test_linked_in_chains_and_clouds(spark, how):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+def test_links_of_small_anchors_connect_as_all_pairs(spark, monkeypatch):
+    """Links grow with the rows; anchors beyond ``MEMBERS`` go the other way, with the same components."""
+    r = random.Random(11)
+    middle = r.getrandbits(64)
+    prints = sorted({middle ^ sum(1 << b for b in r.sample(range(64), r.randrange(9))) for _ in range(400)})
+    label = simhash.reached(np.array(prints, np.uint64), 4)
+    least = {i: min(j for j, x in enumerate(label) if x == label[i]) for i in range(len(prints))}
+    want = naive_components(list(enumerate(prints)), 4)
+    assert least == want and (label <= np.arange(len(label))).all()
+    signed = [f - (1 << 64) if f >> 63 else f for f in prints]
+    lists = spark.createDataFrame([(a, f) for a in range(3) for f in signed], "anchor long, bits long").coalesce(1).sortWithinPartitions("anchor")
+    assert 0 < simhash.within(lists, Nearness()).count() <= 3 * len(prints)
+    nodes = spark.createDataFrame([(f, 1) for f in signed], "bits long, docs long")
+    found = []
+    for members in (4_096, 20, 1):
+        monkeypatch.setattr(simhash, "MEMBERS", members)
+        found.append({r.id: r.component for r in simhash.linked(nodes, Nearness()).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
 def test_near_of_nothing(spark):
     assert simhash.near(frame(spark, [])).count() == 0
     got = simhash.near(frame(spark, [(5, None, None, None), (3, "", "en", "s"), (4, " \n", "en", "s")])).collect()
